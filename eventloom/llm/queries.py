@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import repeats
+import corpus_pipeline
+
+from . import langid, mixing, neardup, packing, repeats
 from ._common import table
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_sizes(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_suffix_repeats": op3_suffix_repeats}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.TRAINING), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = langid.predict(docs, model, "doc_id")
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op3_suffix_repeats": op3_suffix_repeats,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_language_id": op9_language_id,
+    "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
+    "pipeline": corpus_pipeline.run,
+}
 
 ORACLE: dict[str, str] = {}

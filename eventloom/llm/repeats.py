@@ -145,7 +145,7 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 def _stretches(parts: int, length: int):
     def run(key: tuple, texts: pa.Table, asked: pa.Table) -> pa.Table:
         """One row a part: the distinct stretches of the group around shared anchors, with their least and greatest doc_id."""
-        out: dict[str, list] = {k: [] for k in ("g", "part", "first", "back", "low", "high", "size", "bytes")}
+        out: dict[str, list] = {k: [] for k in ("g", "part", "first", "hash", "low", "high", "size", "bytes")}
         if texts.num_rows and asked.num_rows:
             g = Group(texts, length)
             wanted = np.concatenate([np.frombuffer(x, U64) for x in asked.column("anchors").to_pylist()])
@@ -165,7 +165,7 @@ def _stretches(parts: int, length: int):
                 out["g"].append(key[0].as_py())
                 out["part"].append(int(part[own[0]]))
                 out["first"].append(first[own].astype(np.int64).tobytes())
-                out["back"].append(g.hash[first[own]].tobytes())
+                out["hash"].append(g.hash[first[own]].tobytes())
                 out["low"].append(low[own].tobytes())
                 out["high"].append(high[own].tobytes())
                 out["size"].append(np.array([len(pieces[i]) for i in own], np.uint16).tobytes())
@@ -216,7 +216,7 @@ def _classes(length: int):
             lows.append(np.frombuffer(rows.column("low")[k].as_py(), np.int64))
             highs.append(np.frombuffer(rows.column("high")[k].as_py(), np.int64))
             firsts.append(np.frombuffer(rows.column("first")[k].as_py(), np.int64))
-            hashes.append(np.frombuffer(rows.column("back")[k].as_py(), U64))
+            hashes.append(np.frombuffer(rows.column("hash")[k].as_py(), U64))
             owners.append(np.full(len(size), k))
         which_, low, high, first, h, owner = np.array(which, np.int64), *(np.concatenate(x) for x in (lows, highs, firsts, hashes, owners))
         texts, n = list(number), len(number)
@@ -298,7 +298,7 @@ def _removed(length: int, with_text: bool):
             "n_spans": pa.array(runs_before[g.at[1:]] - runs_before[g.at[:-1]], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         }
         if with_text:
-            out = {"row": g.rows.column("row"), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), "n_removed": out["n_removed"]}
+            out = {"whole": g.rows.column("whole"), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())}
         assert n == len(kept)
         return pa.table(out)
 
@@ -306,23 +306,27 @@ def _removed(length: int, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): what is left when every byte covered by a `length`-byte string that also starts in
-    a document with a smaller doc_id is gone.
+    """Per row of docs (doc_id, text, ...): what is left when every byte covered by a `length`-byte string that also
+    starts in a document with a smaller doc_id is gone.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256; or, `with_text`, (row, kept, n_removed) for docs with a
-    column row: `kept` is the text left, without the bytes of code points that a cut has split.
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256; or, `with_text`, those of docs with what is left as text,
+    without the bytes of code points that a cut has split.
 
     Null text is empty. A row of null doc_id neither loses bytes nor takes them from others. Rows of equal doc_id don't
     take from each other. Texts under `length` bytes stay as they are. An empty table gives no rows.
     """
-    columns = ["doc_id", "text", *["row"] * with_text]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, size // GROUP_BYTES)
     parts = 2 * groups
-    texts = docs.select(*columns).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    whole = F.struct(*[F.col(f"`{k}`") for k in docs.columns if k != "text"]).alias("whole")
+    key = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).alias("g")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key, *[whole] * with_text)
     buckets = texts.groupBy("g").applyInArrow(_buckets(parts, length), "g long, part long, several long, anchors binary")
     shared = buckets.groupBy("part").applyInArrow(_shared, "g long, part long, anchors binary")
-    sent = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_stretches(parts, length), "g long, part long, first binary, back binary, low binary, high binary, size binary, bytes binary")
+    sent = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_stretches(parts, length), "g long, part long, first binary, hash binary, low binary, high binary, size binary, bytes binary")
     found = sent.groupBy("part").applyInArrow(_classes(length), "g long, first binary, begin binary, end binary, least binary")
-    schema = "row long, kept string, n_removed long" if with_text else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return texts.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_removed(length, with_text), schema)
+    if not with_text:
+        return texts.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_removed(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = texts.select("whole").schema.add("kept", "string")
+    left = texts.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_removed(length, True), schema)
+    return left.select(*[F.col("kept").alias(k) if k == "text" else F.col(f"whole.`{k}`") for k in docs.columns])
