@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step holds; a longer text is one step of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U64 = np.uint64
 
 
@@ -91,7 +91,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0..n-1 and their inverses, modulo 2**64."""
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(20, int(n).bit_length()))
 
 
 def folded(lower: bool) -> np.ndarray:

@@ -77,21 +77,26 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "sig"])
 
 
+#: Pairs whose sets are held at once.
+PAIRS = 128
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            both = pa.concat_arrays([batch.column("ta"), batch.column("tb")])
-            text, at = byte_column(both)
-            each: list[np.ndarray] = []
-            for _lo, _hi, data, own in chunks(text, at):
-                h, first = distinct_sorted(*shingles(data, own))
-                each += np.split(h, first[1:-1])
-            keep = []
-            for x, y in zip(each[:n], each[n:], strict=True):
-                union = len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * (len(x) + len(y) - union) >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(lo, PAIRS)
+                n = batch.num_rows
+                text, at = byte_column(pa.concat_arrays([batch.column("ta"), batch.column("tb")]))
+                each: list[np.ndarray] = []
+                for _lo, _hi, data, own in chunks(text, at):
+                    h, first = distinct_sorted(*shingles(data, own))
+                    each += np.split(h, first[1:-1])
+                keep = []
+                for x, y in zip(each[:n], each[n:], strict=True):
+                    union = len(np.unique(np.concatenate([x, y])))
+                    keep.append(100 * (len(x) + len(y) - union) >= percent * union)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
