@@ -169,7 +169,7 @@ def _stretches(parts: int, length: int):
                 out["low"].append(low[own].tobytes())
                 out["high"].append(high[own].tobytes())
                 out["size"].append(np.array([len(pieces[i]) for i in own], np.uint16).tobytes())
-                out["bytes"].append(b"".join(pieces[i] for i in own))
+                out["bytes"].append(pa.compress(b"".join(pieces[i] for i in own), "zstd", asbytes=True))
         return pa.table({k: pa.array(v, pa.int64() if k in ("g", "part") else pa.binary()) for k, v in out.items()})
 
     return run
@@ -211,7 +211,8 @@ def _classes(length: int):
         groups = rows.column("g").to_pylist()
         for k in range(rows.num_rows):
             size = np.frombuffer(rows.column("size")[k].as_py(), np.uint16).astype(np.int64)
-            blob, end = rows.column("bytes")[k].as_py(), np.cumsum(size)
+            end = np.cumsum(size)
+            blob = pa.decompress(rows.column("bytes")[k].as_py(), int(end[-1]), "zstd", asbytes=True)
             which += [number.setdefault(blob[b - s : b], len(number)) for b, s in zip(end.tolist(), size.tolist(), strict=True)]
             lows.append(np.frombuffer(rows.column("low")[k].as_py(), np.int64))
             highs.append(np.frombuffer(rows.column("high")[k].as_py(), np.int64))
