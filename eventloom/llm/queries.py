@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import langid, mixing, neardup, packing, repeats
+from . import extraction, langid, licenses, mixing, neardup, packing, quality, repeats, spotsigs, topk
 from ._common import table
 
 
+def _crc(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample_sizes(table(spark, sf_dir, "documents"))
 
@@ -20,15 +28,34 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings"))
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = labels.where(quality.TRAINING).select("doc_id", F.col("quality").alias("label"))
+    weights, bias = quality.train(docs.select("doc_id", "text").join(labelled, "doc_id"))
+    found = quality.score(docs, weights, bias)
+    return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.TRAINING), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = langid.predict(docs, model, "doc_id")
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, "doc_id").select("doc_id", (_crc(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +63,14 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_spotsigs": op7_spotsigs,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
     "pipeline": corpus_pipeline.run,
