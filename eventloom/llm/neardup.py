@@ -6,8 +6,10 @@ agrees in one of the first COORDINATES - MATCHES + 1 (the prefix), and only thos
 the signatures of pairs that got that far (the skip). At a similarity of 0.85 a pair has fewer than 3 of 32 agreements
 with a probability of 4e-8. Pairs that pass are confirmed on their full shingle sets.
 
-Equal sets are one document. Within a posting list documents are first compared with one leader, in STARS rounds; then
-only documents of different components are paired, so that a list of copies never makes all its pairs.
+Equal sets are one document. Documents whose shingles mostly stand alone leave the lists first, as they can have no link.
+Within a posting list documents are then compared with one leader, in STARS rounds; last, only documents of different
+components are paired, and only if the parts they share with anyone are large enough. So a list of copies never makes all
+its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NOT_SPACE, U64, byte_column, chunks, mix, saved, seeds, span_hashes, spans
+from ._common import CHUNK, NOT_SPACE, U64, byte_column, chunks, mix, saved, seeds, span_hashes, spans
 from .graph import components
 
 WORDS, ROWS, COORDINATES, MATCHES, STARS = 5, 4, 32, 3, 2
@@ -101,14 +103,82 @@ def _confirm(percent: int):
     return run
 
 
+def _spread(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (part, hashes, owners, ids): the shingles of a run of documents, by part; one that several of them hold is
+        sent once, without an owner."""
+        for batch in batches:
+            text, at = byte_column(batch.column("text"))
+            for lo, hi, data, own in chunks(text, at, 4 * CHUNK):
+                h, first = distinct_sorted(*shingles(data, own))
+                row = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
+                order = np.argsort(h, kind="stable")
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = h[1:] != h[:-1]
+                begin = np.flatnonzero(new)
+                alone = np.diff(np.append(begin, len(h))) == 1
+                h, row = h[begin], np.where(alone, row[begin], -1).astype(np.int32)
+                part = (h % U64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ids = batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                each = [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[x[0]]) for x in each], pa.int64()), *(pa.array([v[x].tobytes() for x in each], pa.binary()) for v in (h, row)), pa.array([ids.tobytes()] * len(each), pa.binary())], ["part", "hashes", "owners", "ids"])
+
+    return run
+
+
+def _alone(key: tuple, rows: pa.Table) -> pa.Table:
+    """(doc_id, alone): how many of a part's shingles each document holds that no other does."""
+    each = [np.frombuffer(x, U64) for x in rows.column("hashes").to_pylist()]
+    values, counts = np.unique(np.concatenate(each), return_counts=True)
+    once = values[counts == 1]
+    ids, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own, owner, doc in zip(each, rows.column("owners").to_pylist(), rows.column("ids").to_pylist(), strict=True):
+        owner, doc = np.frombuffer(owner, np.int32), np.frombuffer(doc, np.int64)
+        hit = (owner >= 0) & (once[np.minimum(np.searchsorted(once, own), len(once) - 1)] == own if len(once) else False)
+        count = np.bincount(owner[hit], minlength=len(doc))
+        ids.append(doc[count > 0])
+        n.append(count[count > 0])
+    return pa.table({"doc_id": pa.array(np.concatenate(ids), pa.int64()), "alone": pa.array(np.concatenate(n), pa.int64())})
+
+
+#: Shingles of one part, and parts at least.
+PART_SHINGLES, LEAST_PARTS = 2_000_000, 64
+#: How often documents that can't have a link are taken out of the lists; each time more shingles stand alone.
+TURNS = 2
+
+
+def _linkable(signed: DataFrame, docs: DataFrame, several: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posts, texts, signed) of the documents that may have a link.
+
+    A posting list of one document tells of none. And a shingle that no other candidate holds is in no intersection; so
+    with `alone` such shingles of n, a document's similarity to any other is (n - alone) / n at most.
+    """
+    posts = signed.select(F.col("doc_id").alias("d"), F.explode(F.slice("sig", 1, PREFIX)).alias("v"))
+    for turn in range(TURNS):
+        posts = saved(posts.join(posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v", "left_semi").select("d", "v"))
+        ends = posts.select(F.col("d").alias("doc_id")).distinct()
+        docs = saved(docs.join(ends, "doc_id", "left_semi"))
+        signed = saved(signed.drop("alone").join(ends, "doc_id", "left_semi"))
+        parts = max(LEAST_PARTS, (signed.agg(F.sum("n_shingles")).first()[0] or 0) // PART_SHINGLES)
+        alone = docs.mapInArrow(_spread(parts), "part long, hashes binary, owners binary, ids binary").groupBy("part").applyInArrow(_alone, "doc_id long, alone long")
+        # of a doc_id with several sets it isn't known which of them holds a shingle
+        alone = alone.groupBy("doc_id").agg(F.sum("alone").alias("alone")).join(several, "doc_id", "left_anti")
+        signed = signed.join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        signed = saved(signed.where(F.lit(100) * (F.col("n_shingles") - F.col("alone")) >= percent * F.col("n_shingles")))
+        posts = posts.join(signed.select(F.col("doc_id").alias("d")).distinct(), "d", "left_semi")
+        if turn + 1 < TURNS:
+            docs = docs.join(signed.select("doc_id").distinct(), "doc_id", "left_semi")
+    return posts, docs, signed
+
+
 def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that agree in MATCHES coordinates and whose full sets are similar enough."""
     side = lambda name: signed.select(F.col("doc_id").alias(name), F.col("sig").alias(f"sig_{name}"))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    pairs = saved(pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= MATCHES).select("a", "b").distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ends, "doc_id", "left_semi")
-    text = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= MATCHES).select("a", "b").distinct()
+    text = lambda name: docs.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
     return saved(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long").distinct())
 
 
@@ -122,39 +192,47 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>"))
-    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    sets = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = saved(rows.select("doc_id", "n_shingles", "s1", "s2").join(sets, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep"))
     reps = sets.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2")
-    signed = saved(rows.join(reps, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "s1", "s2"]))
-    band = F.floor(F.log(F.col("n_shingles")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")  # sizes that allow a link are one band apart at most
-    posts = signed.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), band.alias("band"), F.explode(F.slice("sig", 1, PREFIX)).alias("v"))
-    posts = saved(posts.join(posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v", "left_semi"))
+    signed = saved(known.join(reps, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "s1", "s2"]))
     # equal doc_ids with several sets stay together
-    same = rows.join(sets, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    several = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    edges = same.join(several, F.col("a") == several.doc_id, "left_semi").distinct()
+    several = saved(known.select("doc_id", "n_shingles", "s1", "s2").distinct().groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    posts, docs, signed = _linkable(signed, docs, several, percent)
+    band = F.floor(F.log(F.col("n_shingles")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")  # sizes that allow a link are one band apart at most
+    sizes = signed.select(F.col("doc_id").alias("d"), F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("alone")).alias("m"), band.alias("band"))
+    posts = saved(posts.join(sizes, "d"))
+    # the intersection of two sets is the smaller of their shared parts at most
+    possible = lambda x, y: F.least(f"m{x}", f"m{y}") * (100 + percent) >= (F.col(f"n{x}") + F.col(f"n{y}")) * percent
+    named = lambda df, x: df.withColumnsRenamed({"d": x, "n": f"n{x}", "m": f"m{x}"})
+    edges = member.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     labels = None
     for turn in range(STARS):
         by = F.struct(F.when(F.lit(turn == 0), F.col("d")).otherwise(F.xxhash64("d", F.lit(turn))), F.col("d"))
-        now = posts if labels is None else posts.join(labels.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
-        if labels is not None:
-            mixed = now.groupBy("v", "band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v", "band")
-            now = saved(now.join(mixed, ["v", "band"], "left_semi"))
-        lead = now.groupBy("v", "band").agg(F.min(by).getField("d").alias("lead"), F.count("*").alias("c")).where("c > 1")
-        pairs = now.join(lead, ["v", "band"]).where("d <> lead").select(F.least("d", "lead").alias("a"), F.greatest("d", "lead").alias("b")).distinct()
-        edges = saved(edges.unionByName(_confirmed(pairs, signed, docs, percent)))
+        now = _labelled(posts, labels)
+        mixed = now.groupBy("v", "band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(by).getField("d").alias("a")).where("x <> y").select("v", "band", "a")
+        lead = named(now.select("v", F.col("d").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca")), "-").join(mixed, ["v", "a"]).distinct()
+        pairs = named(now, "b").join(lead, ["v", "band"]).where((F.col("component") != F.col("ca")) & (F.col("a") != F.col("b")) & possible("a", "b"))
+        edges = saved(edges.unionByName(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signed, docs, percent)))
         labels = saved(components(edges))
-    # what is left: documents of different components under one value, of sizes that allow a link
-    now = posts.join(labels.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    # what is left: documents of different components under one value, of sizes and shared parts that allow a link
+    now = _labelled(posts, labels)
     right = now.withColumn("k", F.explode(F.array("band", F.col("band") + 1)))
     mixed = right.groupBy("v", "k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v", "k")
     right = saved(right.join(mixed, ["v", "k"], "left_semi"))
-    left = right.where("k = band").select("v", "k", F.col("d").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = right.select("v", "k", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("k") == F.col("band")).alias("own"))
-    fits = f"ca <> cb and (not own or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    pairs = left.join(right, ["v", "k"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
-    pairs = pairs.where(F.col("c") + (COORDINATES - PREFIX) >= MATCHES).select("a", "b")
-    more = _confirmed(pairs, signed, docs, percent)
+    left = named(right.where("k = band").select("v", "k", "d", "n", "m", F.col("component").alias("ca")), "a")
+    right = named(right.withColumn("own", F.col("k") == F.col("band")).drop("band"), "b").withColumnRenamed("component", "cb")
+    pairs = left.join(right, ["v", "k"]).where((F.col("ca") != F.col("cb")) & (~F.col("own") | (F.col("a") < F.col("b"))) & possible("a", "b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
+    more = _confirmed(pairs.where(F.col("c") + (COORDINATES - PREFIX) >= MATCHES).select("a", "b"), signed, docs, percent)
     labels = components(edges.unionByName(more)) if more.take(1) else labels
     found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """posts with the component of their document so far: itself where nothing is known."""
+    if labels is None:
+        return posts.withColumn("component", F.col("d"))
+    return posts.join(labels.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
