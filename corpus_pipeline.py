@@ -16,7 +16,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: null texts and texts without a letter go."""
     model = langid.train(docs.where(langid.TRAINING), VOCABULARY)
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole"), "text")
+    return langid.predict(whole, model, "whole").where(F.col("lang_pred") != langid.UNKNOWN).select("whole.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays; rows without a doc_id stay as they are."""
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("whole"), rank.alias("rank")).where("rank = 1").select("whole.*")
+    named = docs.join(kept, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole"), rank.alias("rank")).where("rank = 1").select("whole.*")
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from ._common import ALPHA, U64, byte_column, chunks, mix, powers, seeds, span_hashes, spans
 
 #: About as many texts of each language are read to learn from, and as many of their most frequent words.
-SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 60_000
+SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 30_000
 ROUNDS, SMOOTH = 4, 0.2
 #: A word of more bytes is taken in parts of that many.
 LONGEST = 40
+#: Words whose segmentations are held at once while learning.
+BLOCK = 10_000
 UNKNOWN = "und"
 _VALUES = seeds(256, 23)
 _SLOTS = 20
@@ -151,12 +153,13 @@ def fit(texts: list[bytes], weight: np.ndarray, pieces: Pieces) -> np.ndarray:
     ends = np.cumsum([len(x) for x in texts])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    blocks = [np.arange(i, min(i + 20_000, len(texts))) for i in range(0, len(texts), 20_000)]
+    by_size = np.argsort(starts - ends, kind="stable")
+    lattices = [(own, Lattice(data, starts[own], ends[own], pieces)) for own in (by_size[i : i + BLOCK] for i in range(0, len(texts), BLOCK))]
     p = np.ones((pieces.n, weight.shape[1])) / pieces.n
     for _ in range(ROUNDS):
         count = np.full_like(p, SMOOTH)
-        for own in blocks:
-            count += Lattice(data, starts[own], ends[own], pieces).expected(p, weight[own])
+        for own, lattice in lattices:
+            count += lattice.expected(p, weight[own])
         p = count / count.sum(0)
     return p
 
@@ -230,7 +233,7 @@ def _predicted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            text, at = byte_column(batch.column("text"))
+            text, at = byte_column(batch.column(batch.num_columns - 1))
             for lo, hi, data, own in chunks(text, at):
                 n = hi - lo
                 best, score = np.full(n, len(names) - 1), np.zeros(n)
@@ -254,8 +257,8 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
     lang_pred is `und`, with score 0, where the text is null or has no letter or nothing was learned.
     """
-    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return docs.select(*keep, "text").mapInArrow(_predicted(model), ", ".join([*fields, "lang_pred string", "score double"]))
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    return docs.select(*keep, "text").mapInArrow(_predicted(model), schema)
 
 
 #: The documents to learn from; the others are held out.
