@@ -149,9 +149,18 @@ def labelled_text(html: Column) -> Column:
     return decode_entities(c)
 
 
-def labelled_values(text: Column, label: str) -> Column:
-    """The values of a label: what follows it in its line, or the next line if it stands alone."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), "\n"), lambda x: F.regexp_replace(x, rf"\A{WS}+|{WS}+\z", "")), lambda x: x != "")
+def once(c: Column) -> Column:
+    """c, computed once a row: as it depends on a row's number, it isn't copied into the expressions that use it."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text that have more than white space, without it at their ends."""
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"[ \t]*\n[ \t]*", "\n"), "\n"), lambda x: F.regexp_replace(x, rf"\A{WS}+|{WS}+\z", "")), lambda x: x != "")
+
+
+def labelled_values(lines: Column, label: str) -> Column:
+    """The values of a label: what follows it in its line, or the next line if it stands alone. `lines` is a column."""
     alone, inline = rf"\A(?:{label})\z", rf"\A(?:{label})(?:{WS}*[:：]|{WS}+)(.+)\z"
     pick = lambda x, i: F.when(x.rlike(alone), F.get(lines, i + 1)).otherwise(nothing(F.regexp_extract(x, inline, 1)))
     return F.filter(F.transform(F.transform(lines, pick), clean_value), lambda x: x.isNotNull())

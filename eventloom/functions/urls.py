@@ -181,6 +181,10 @@ def _url(raw: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: pd.Series([None if r is None else r[k] for r in rows], dtype=object) for k in _FIELDS})
 
 
+#: Not to be copied into every place that uses its result: each address is parsed once.
+_url = _url.asNondeterministic()
+
+
 def url(raw: Column, base: Column | None = None) -> Column:
     """The struct of a URL (href is null where it can't be parsed); all else below works on it."""
     return _url(raw, F.lit(None).cast("string") if base is None else base)
