@@ -209,10 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     edges = member.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     labels = None
     for turn in range(STARS):
-        by = F.struct(F.when(F.lit(turn == 0), F.col("d")).otherwise(F.xxhash64("d", F.lit(turn))), F.col("d"))
+        # the first leader is the document that shares most of its set, as the common source of copies does
+        by = F.struct(-F.col("m") / F.col("n") if turn == 0 else F.xxhash64("d", F.lit(turn)), F.col("d"))
         now = _labelled(posts, labels)
         mixed = now.groupBy("v", "band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(by).getField("d").alias("a")).where("x <> y").select("v", "band", "a")
-        lead = named(now.select("v", F.col("d").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca")), "-").join(mixed, ["v", "a"]).distinct()
+        lead = now.select("v", F.col("d").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca")).join(mixed, ["v", "a"]).distinct()
         pairs = named(now, "b").join(lead, ["v", "band"]).where((F.col("component") != F.col("ca")) & (F.col("a") != F.col("b")) & possible("a", "b"))
         edges = saved(edges.unionByName(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signed, docs, percent)))
         labels = saved(components(edges))
@@ -220,14 +221,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     now = _labelled(posts, labels)
     right = now.withColumn("k", F.explode(F.array("band", F.col("band") + 1)))
     mixed = right.groupBy("v", "k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v", "k")
-    right = saved(right.join(mixed, ["v", "k"], "left_semi"))
-    left = named(right.where("k = band").select("v", "k", "d", "n", "m", F.col("component").alias("ca")), "a")
-    right = named(right.withColumn("own", F.col("k") == F.col("band")).drop("band"), "b").withColumnRenamed("component", "cb")
-    pairs = left.join(right, ["v", "k"]).where((F.col("ca") != F.col("cb")) & (~F.col("own") | (F.col("a") < F.col("b"))) & possible("a", "b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c"))
-    more = _confirmed(pairs.where(F.col("c") + (COORDINATES - PREFIX) >= MATCHES).select("a", "b"), signed, docs, percent)
+    right = saved(right.join(mixed, ["v", "k"], "left_semi").join(signed.select(F.col("doc_id").alias("d"), "sig"), "d"))
+    left = named(right.where("k = band").select("v", "k", "d", "n", "m", F.col("component").alias("ca"), F.col("sig").alias("sa")), "a")
+    right = named(right.withColumn("own", F.col("k") == F.col("band")).drop("band"), "b").withColumnsRenamed({"component": "cb", "sig": "sb"})
+    # a pair comes once, from the first value its documents share, and only if they share enough of them
+    same = F.zip_with("sa", "sb", lambda x, y: x == y)
+    counted = (F.array_position(same, F.lit(True)) == F.array_position("sa", F.col("v"))) & (F.size(F.filter(same, lambda x: x)) >= MATCHES)
+    pairs = left.join(right, ["v", "k"]).where((F.col("ca") != F.col("cb")) & (~F.col("own") | (F.col("a") < F.col("b"))) & possible("a", "b") & counted)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _confirmed(pairs, signed, docs, percent)
     labels = components(edges.unionByName(more)) if more.take(1) else labels
-    found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
