@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import nothing, squeezed
+from .text import let, nothing, squeezed
 
 SOON_DAYS = 14
 #: Texts that say a date isn't known yet.
@@ -20,7 +20,7 @@ def is_iso_date(c: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    return F.when(is_iso_date(c), c)
+    return let(c, lambda x: F.when(is_iso_date(x), x))
 
 
 def registration_status(deadline: Column, event_date: Column, as_of: Column) -> Column:
@@ -38,15 +38,20 @@ def registration_status(deadline: Column, event_date: Column, as_of: Column) ->
 
 def structured_date(c: Column) -> Column:
     """struct(kind, value, raw) of a structured date: absent, valid (the date as written, no shift of zones) or invalid."""
-    form = r"\A(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?:Z|([+-])(\d{2}):(\d{2}))?\z"
-    part = lambda i: F.regexp_extract(c, form, i)
-    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    zone = (number(6) <= 14) & (number(7) <= 59) & ((number(6) < 14) | (number(7) == 0))
-    timed = c.rlike(form) & is_iso_date(part(1)) & (number(2) <= 23) & (number(3) <= 59) & (number(4) <= 59) & zone
-    value = F.when(is_iso_date(c), c).when(timed, part(1))
-    absent = c.isNull() | F.lower(squeezed(c)).isin(PLACEHOLDERS)
-    kind = F.when(absent, "absent").when(value.isNotNull(), "valid").otherwise("invalid")
-    return F.struct(kind.alias("kind"), F.when(~absent, value).alias("value"), F.when(kind == "invalid", c).alias("raw"))
+    form = r"\A(\d{4}-\d{2}-\d{2})T(\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?:Z|[+-](\d{2}):(\d{2}))?\z"
+
+    def of(x: Column) -> Column:
+        parts = F.split(F.regexp_replace(x, form, "$1,$2,$3,$4,$5,$6"), ",")
+        number = lambda p, i: F.coalesce(F.get(p, F.lit(i)).try_cast("int"), F.lit(0))
+        zone = lambda p: (number(p, 4) <= 14) & (number(p, 5) <= 59) & ((number(p, 4) < 14) | (number(p, 5) == 0))
+        timed = lambda p: F.when(is_iso_date(F.get(p, F.lit(0))) & (number(p, 1) <= 23) & (number(p, 2) <= 59) & (number(p, 3) <= 59) & zone(p), F.get(p, F.lit(0)))
+        value = F.when(is_iso_date(x), x).when(x.rlike(form), let(parts, timed))
+        absent = x.isNull() | F.lower(squeezed(x)).isin(PLACEHOLDERS)
+        kind = lambda v: F.when(v.isNotNull(), "valid").otherwise("invalid")
+        known = let(value, lambda v: F.struct(kind(v).alias("kind"), v.alias("value"), F.when(v.isNull(), x).alias("raw")))
+        return F.when(absent, F.struct(F.lit("absent").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("raw"))).otherwise(known)
+
+    return let(c, of)
 
 
 def padded(c: Column, pattern: str) -> Column:

@@ -49,6 +49,11 @@ PLACEHOLDER_NAME = r"(?i)\A(?:마라톤 대회|KorMarathon|대회 등록 안내)
 MARKUP_VENUE = r"\bclass=|\">|<[^>]+>"
 
 
+def let(c: Column, body) -> Column:
+    """body(x), x being the value of c, computed once however often body has it."""
+    return F.get(F.transform(F.array(c), lambda x: body(x)), F.lit(0))
+
+
 def remove(c: Column, pattern: str) -> Column:
     return F.regexp_replace(c, pattern, "")
 
@@ -168,10 +173,9 @@ def labelled_values(lines: Column, label: str) -> Column:
 
 def price(text: Column) -> Column:
     """The first amount with a currency; 0 if the word for `free` comes before it."""
-    amount = nothing(F.regexp_extract(text, r"(?i)([0-9][0-9,]*)\s*(?:원|KRW)", 1))
-    at = F.when(amount.isNotNull(), F.length(F.regexp_extract(text, r"(?is)\A(.*?)[0-9][0-9,]*\s*(?:원|KRW)", 1)))
-    free = F.instr(text, "무료")
-    return F.when((free > 0) & (at.isNull() | (free - 1 < at)), F.lit(0).cast("bigint")).otherwise(F.replace(amount, F.lit(",")).try_cast("bigint"))
+    found = F.struct(F.regexp_extract(text, r"(?i)([0-9][0-9,]*)\s*(?:원|KRW)", 1).alias("amount"), F.regexp_instr(text, F.lit(r"(?i)[0-9][0-9,]*\s*(?:원|KRW)")).alias("at"), F.instr(text, "무료").alias("free"))
+    value = lambda f: F.when((f["free"] > 0) & ((f["at"] == 0) | (f["free"] < f["at"])), F.lit(0).cast("bigint")).otherwise(F.replace(f["amount"], F.lit(",")).try_cast("bigint"))
+    return let(found, value)
 
 
 def structured_price(value: Column) -> Column:
@@ -194,12 +198,11 @@ def canonical_courses(raw: Column) -> Column:
 def by_name(courses: Column, keep_last: bool = False) -> Column:
     """One course a name, in order of first appearance: the first with a price; with none, the first (or last) of all."""
 
-    def chosen(name: Column) -> Column:
-        own = F.filter(courses, lambda c: c["name"] == name)
-        priced = F.filter(own, lambda c: c["price"].isNotNull())
-        return F.coalesce(F.get(priced, F.lit(0)), F.get(own, F.size(own) - 1 if keep_last else F.lit(0)))
+    def chosen(all_: Column, name: Column) -> Column:
+        priced = lambda own: F.get(F.filter(own, lambda c: c["price"].isNotNull()), F.lit(0))
+        return let(F.filter(all_, lambda c: c["name"] == name), lambda own: F.coalesce(priced(own), F.get(own, F.size(own) - 1 if keep_last else F.lit(0))))
 
-    return F.transform(F.array_distinct(F.transform(courses, lambda c: c["name"])), chosen).cast(COURSE_TYPE)
+    return let(courses, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda c: c["name"])), lambda name: chosen(all_, name))).cast(COURSE_TYPE)
 
 
 def body_courses(value: Column) -> Column:

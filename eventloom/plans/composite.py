@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates
 from ..operators import dedupe, discover, ordered, resolve, traverse
 from .registry import query, table
 
@@ -27,8 +27,7 @@ def official_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _identified(spark: SparkSession, sf: str) -> DataFrame:
-    rows = resolve.parsed(official_pages(spark, sf))
-    return rows.withColumn("identity", text.once(resolve.identity(F.col("name"), F.col("event_date"), F.col("page"))))
+    return resolve.identified(resolve.parsed(official_pages(spark, sf)))
 
 
 @query("""

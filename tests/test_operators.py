@@ -168,3 +168,14 @@ def test_files_and_documents(spark, tmp_path):
         page_files.write_events(row, metadata.where("id = 'a'"), str(tmp_path / "out"))
     page_files.write_events(row, metadata, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 1
+
+
+def test_listings_arrive_once(spark, tmp_path):
+    from eventloom.streaming.listings import follow
+
+    row = '<h2 id="race-2026-05-0%d"></h2><tr><td><a href="/races/%d/run/">Run %d</a></td></tr>'
+    for i in (1, 2):
+        spark.createDataFrame([(i, row % (i, i, i))], "page_id bigint, html string").write.mode("append").parquet(f"{tmp_path}/in")
+        follow(spark, f"{tmp_path}/in", listing.gorunning, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    got = sorted((r.page_id, r["name"], r.event_date) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "Run 1", "2026-05-01"), (2, "Run 2", "2026-05-02")]
