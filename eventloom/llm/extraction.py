@@ -31,6 +31,7 @@ CHROME = frozenset("nav footer aside form noscript template iframe button select
 CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices
 popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies respond share sharing social related
 recommended newsletter subscribe subscription signup login search widget pagination pager toolbar contentinfo complementary""".split())
+CHROME_STARTS = tuple("comment advert sidebar cookie newsletter subscri breadcrumb sponsor footer navig navbar popup banner disqus".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article content post entry story".split())
 BLOCKS = frozenset("""p div section article main header footer aside nav h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote
@@ -60,7 +61,7 @@ def _kind(name: str, attributes: str) -> tuple[bool, bool, bool, int]:
                 hidden |= "display:none" in value.replace(" ", "")
             else:
                 hidden |= key == "hidden" or value == "true"
-    chrome = name in CHROME or hidden or bool(words & CHROME_WORDS)
+    chrome = name in CHROME or hidden or bool(words & CHROME_WORDS) or any(w.startswith(CHROME_STARTS) for w in words)
     head = name == "header" or bool(words & HEAD_WORDS)
     main = 3 if name == "article" or role == "article" else 2 if name == "main" or role == "main" else 1 if name in ("div", "section", "td") and words & MAIN_WORDS else 0
     return chrome, head, main

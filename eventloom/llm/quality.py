@@ -80,14 +80,16 @@ def _fitted(rows: pa.Table) -> pa.Table:
     return pa.table({"feature": pa.array(np.append(index, -1), pa.int64()), "weight": pa.array(np.append(w[index], bias), pa.float64())})
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled (doc_id, text, label 0/1). Rows of null label are left out; null texts are empty."""
-    labelled = labelled.where("label in (0, 1)")
-    size = labelled.count()
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and bias from docs (doc_id, text) and labels (doc_id, label 0/1). Rows of null label are left out; null
+    texts are empty. The labels are sampled first; as the sample is bounded, it is sent to where the texts are."""
+    labels = labels.where("label in (0, 1)").select("doc_id", "label")
+    size = labels.count()
     if not size:
         return np.zeros(1 << BITS), 0.0
     order = F.xxhash64("doc_id", F.lit(5))
-    sample = labelled.where(F.pmod(order, F.lit(1_000_000)) < min(1.0, SAMPLE_TEXTS / size) * 1_000_000)
+    sample = labels.where(F.pmod(order, F.lit(1_000_000)) < min(1.0, SAMPLE_TEXTS / size) * 1_000_000)
+    sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     one = sample.select(order.alias("order"), "text", "label", F.lit(0).alias("all")).groupBy("all")
     found = one.applyInArrow(_fitted, "feature long, weight double").toArrow()
     weights, bias = np.zeros(1 << BITS), 0.0

@@ -47,7 +47,7 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labelled = labels.where(quality.TRAINING).select("doc_id", F.col("quality").alias("label"))
-    weights, bias = quality.train(docs.select("doc_id", "text").join(labelled, "doc_id"))
+    weights, bias = quality.train(docs, labelled)
     found = quality.score(docs, weights, bias)
     return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -297,12 +297,13 @@ def test_spotsigs(docs, empty, spark):
 
 def test_quality(docs, empty, spark):
     rows = [(i, prose(30) if i % 2 else " ".join(w + "!!" for w in prose(30).split()), None, None) for i in range(400)]
-    frame = make(spark, rows).withColumn("label", (F.col("doc_id") % 2).cast("int"))
-    weights, bias = quality.train(frame.where("doc_id < 300"))
+    frame = make(spark, rows)
+    labels = frame.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    weights, bias = quality.train(frame, labels.where("doc_id < 300"))
     got = quality.score(frame, weights, bias).collect()
     assert np.mean([(r.score >= 0.7) == r.doc_id % 2 for r in got if r.doc_id >= 300]) > 0.97
     assert all(0 <= r.score <= 1 for r in quality.score(docs, weights, bias).collect()) and quality.score(empty, weights, bias).count() == 0
-    assert quality.train(frame.where("false"))[1] == 0
+    assert quality.train(frame, labels.where("false"))[1] == 0
 
 
 PAGES = [
