@@ -12,6 +12,11 @@ from .registry import query, table
 AS_OF = "1998-06-15 12:00:00"
 
 
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders on all cores: one small file is one task, and a page costs far more than its order."""
+    return table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism)
+
+
 def official_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Of each order, an event (name, event_date) and a page that is said to be about it: by its text, by structured data,
     of another date, of another name, with a wrong date, without a venue."""
@@ -23,7 +28,7 @@ def official_pages(spark: SparkSession, sf: str) -> DataFrame:
     start = F.when(k == 4, "2026-02-30").otherwise(F.concat(d, F.lit("T09:00:00+09:00")))
     data = F.concat(F.lit('<script type="application/ld+json">{"@context":"x","@graph":[{"@type":"Event","name":"'), name, F.lit('","startDate":"'), start, F.lit('","location":{"name":"Arena '), F.col("o_custkey"), F.lit('"},"offers":[{"name":"10km","price":"30000"}]}]}</script>'))
     source = F.concat(F.when(k.isin(1, 4), data).otherwise(""), body)
-    return table(spark, sf, "orders").select("o_orderkey", name.alias("name"), d.alias("event_date"), F.concat(F.lit("https://www.order"), F.col("o_custkey"), F.lit(".example.com/race/"), F.col("o_orderkey")).alias("page_url"), source.alias("html"))
+    return _spread(spark, sf).select("o_orderkey", name.alias("name"), d.alias("event_date"), F.concat(F.lit("https://www.order"), F.col("o_custkey"), F.lit(".example.com/race/"), F.col("o_orderkey")).alias("page_url"), source.alias("html"))
 
 
 def _identified(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +70,7 @@ def discover_links(spark: SparkSession, sf: str) -> DataFrame:
     data = F.concat(F.lit('<script type="application/ld+json">{"@type":"Event","name":"order RUN, '), key, F.lit('","startDate":"'), day, F.lit('","url":"https://event'), cust, F.lit('.example.com/e"}</script>'))
     noise = F.lit('<nav><a href="https://other.example.com/a">공식 홈페이지</a></nav><a href="https://x.com/p">공식 홈페이지</a><a href="/own">대회 홈페이지</a><a href="https://f.example.com/form.pdf">접수</a>')
     source = F.concat(F.when(key % 2 == 0, F.concat(apply_, apply_)).otherwise(""), F.when(key % 3 == 0, home).otherwise(""), F.when(key % 5 == 0, data).otherwise(""), noise)
-    pages = table(spark, sf, "orders").select(key.alias("page_id"), F.concat(F.lit("https://list.example.org/d/"), key).alias("page_url"), name.alias("name"), day.alias("event_date"), source.alias("html"))
+    pages = _spread(spark, sf).select(key.alias("page_id"), F.concat(F.lit("https://list.example.org/d/"), key).alias("page_url"), name.alias("name"), day.alias("event_date"), source.alias("html"))
     return discover.discovered(pages, F.array(F.lit("list.example.org"))).select("page_id", "url", "kind", "evidence")
 
 
