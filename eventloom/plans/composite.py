@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators import dedupe, discover, ordered, resolve, traverse
 from .registry import query, table
 
 AS_OF = "1998-06-15 12:00:00"
+#: Order keys of one traversal run.
+RUN_KEYS = 512
 
 
 def _spread(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,8 +82,9 @@ def discover_links(spark: SparkSession, sf: str) -> DataFrame:
 WITH c AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n, o_orderpriority AS p FROM orders)
 SELECT count(*) AS chains, sum((k <> 3)::INT)::BIGINT AS accepted, sum(CASE WHEN k = 2 THEN 2 ELSE 1 END)::BIGINT AS fetched, sum((k = 3)::INT)::BIGINT AS identity, sum(CASE WHEN k = 2 THEN 3 ELSE 0 END)::BIGINT AS depth FROM c""")
 def traverse_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains made of orders, in sixteen runs: official seeds, failing ones, and applications with four children, of
-    which one is fetched and three are beyond the chain's depth."""
+    """Chains made of orders: official seeds, failing ones, and applications with four children, of which one is fetched
+    and three are beyond the chain's depth. A run is a block of order keys, so runs grow in number and not in size; its
+    budget is without end, as the SQL knows none."""
     key, k = F.col("o_orderkey"), F.col("o_orderkey") % 4
     url, host = F.concat(F.lit("https://h"), key, F.lit(".example.com/")), F.concat(F.lit("h"), key)
     none = F.array().cast("array<string>")
@@ -88,8 +93,8 @@ def traverse_chains(spark: SparkSession, sf: str) -> DataFrame:
     seed = step(url, F.when(k == 3, "identity").otherwise("ok"), F.when(k == 2, children).otherwise(none))
     below = F.when(k == 2, F.transform(children, lambda c: step(c, F.lit("ok"), none))).otherwise(F.array().cast(f"array<{traverse.STEP}>"))
     steps = F.concat(F.array(seed).cast(f"array<{traverse.STEP}>"), below.cast(f"array<{traverse.STEP}>"))
-    chains = table(spark, sf, "orders").select((F.col("o_custkey") % 16).alias("run_id"), key.alias("ord"), url.alias("chain"), F.when(k == 2, "application").otherwise("official").alias("kind"), steps.alias("steps"))
-    found = traverse.traversed(chains, run=1000, per_host=1000)
+    chains = table(spark, sf, "orders").select(F.floor(key / RUN_KEYS).alias("run_id"), key.alias("ord"), url.alias("chain"), F.when(k == 2, "application").otherwise("official").alias("kind"), steps.alias("steps"))
+    found = traverse.traversed(chains, run=sys.maxsize, per_host=sys.maxsize)
     return traverse.totals(found).select(F.col("seed").alias("chains"), "accepted", "fetched", "identity", "depth")
 
 

@@ -38,3 +38,12 @@ def test_plans_stay_native(spark):
     for name in ("filter_exact_and", "group_by_month", "registration_status", "greedy_clusters", "host_run_budget", "normalize_name", "bigram_similarity"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_traversal_of_more_chains(spark, sql):
+    """Runs are bounded and none is cut off, however many chains there are."""
+    larger = SF.replace("sf0.001", "sf0.01")
+    got = catalogue.QUERIES["traverse_chains"](spark, larger).toPandas()
+    want = duckdb.sql(catalogue.ORACLE["traverse_chains"].replace("FROM orders", f"FROM '{larger}/orders.parquet'")).df()
+    assert want["chains"][0] == 15000
+    assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
