@@ -11,6 +11,8 @@ from eventloom.llm._common import saved, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Per cent of Jaccard similarity from which documents are copies; op10's 85 is that query's own.
+SIMILARITY = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id. Of rows of one doc_id, the first text
     stays; rows without a doc_id stay as they are."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, percent=SIMILARITY).where("kept").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.join(kept, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole"), rank.alias("rank")).where("rank = 1").select("whole.*")
     return named.unionByName(docs.where("doc_id is null"))

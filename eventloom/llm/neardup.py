@@ -4,7 +4,7 @@ A signature has COORDINATES numbers, each made of ROWS min-values, so two sets o
 probability s**ROWS. Documents are posted under their coordinate values. A pair has to agree in MATCHES coordinates; so it
 agrees in one of the first COORDINATES - MATCHES + 1 (the prefix), and only those are joined; the others are looked up in
 the signatures of pairs that got that far (the skip). At a similarity of 0.85 a pair has fewer than 3 of 32 agreements
-with a probability of 4e-8. Pairs that pass are confirmed on their full shingle sets.
+with a probability of 4e-8, at 0.8 with one of 1.2e-5. Pairs that pass are confirmed on their full shingle sets.
 
 Equal sets are one document. Documents whose shingles mostly stand alone leave the lists first, as they can have no link.
 Within a posting list documents are then compared with one leader, in STARS rounds; last, only documents of different

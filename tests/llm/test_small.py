@@ -337,3 +337,30 @@ def test_pipeline(docs, spark):
     mixed = stages["mix_sources"](spark, docs, "")
     assert mixed.columns == docs.columns and 0 < mixed.count() <= 3 * len(ROWS)
     assert stages["best_fit_packing"](spark, docs, "").select("sequence_id", "offset").distinct().count() > 0
+
+
+def test_pipeline_copies(spark):
+    """The stage's copies are those of a similarity of 0.8 or more, by brute force."""
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(130)]
+        texts.append(base)
+        for edits in (1, 2, 2, 3, 3, 4):  # of the text: 0.73 to 0.92
+            w = list(base)
+            for k in rng.sample(range(0, 130, 7), edits):
+                w[k] = f"edit{rng.random()}"
+            texts.append(w)
+    rows = [(i, " ".join(w), "en", "a") for i, w in enumerate(texts)]
+    sets = {i: each[0] for i, each in sets_of(rows).items()}
+
+    def kept(percent):
+        label = {i: i for i in sets}
+        for a in sets:
+            for b in sets:
+                if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    low, high = sorted((label[a], label[b]))
+                    label = {k: low if v == high else v for k, v in label.items()}
+        return sorted(i for i, c in label.items() if i == c)
+
+    assert len(kept(80)) < len(kept(85))
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, make(spark, rows), "").collect()) == kept(80)
