@@ -3,8 +3,8 @@
 A page is parsed once into blocks of text, each with a zone: the article, chrome (menus, headers, footers, sidebars,
 notices, adverts, forms, comments) or open (none of both). The words of all blocks outside articles are concatenated, page
 by page (a block's end ends a run), and the suffixes of a host's pages are bucketed by their first RUN words: a bucket with
-suffixes of two pages is a repeated run, and longer repeats are chains of such buckets. Covered words are boilerplate; unique runs of open blocks
-stay. A page that marks its article has its text from there: what an article says may well stand on other pages.
+suffixes of enough of the host's pages is a repeated run, and longer repeats are chains of such buckets. Repeats of LONG words and whole
+repeated blocks are boilerplate; all else of open blocks stays. A page that marks its article has its text from there: what an article says may well stand on other pages.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from ._common import U64, mix, saved, seeds
 
-#: Words of the shortest repeat that counts as boilerplate.
-RUN = 6
+#: Words of the shortest repeat that is looked for, and of the shortest that counts as boilerplate within a block.
+RUN, LONG = 6, 20
+#: A repeat stands on one of so many pages of its host at least, and on so many pages, or on all of a smaller host's.
+ONE_OF, LEAST_PAGES = 10, 5
 #: Pages whose blocks are held at once.
 PAGES = 256
 
@@ -179,14 +181,25 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unique_text(blocks: list[str], repeated: np.ndarray) -> str:
-    """Blocks without the words that repeated runs cover; what is left of a block is joined."""
-    each, kept = [b.split() for b in blocks], []
+    """Blocks without their boilerplate; what is left of a block is joined. Boilerplate are stretches of LONG words that
+    repeated runs cover, and wholly covered blocks: of RUN words, or shorter ones between two that are covered too."""
+    each, covered = [b.split() for b in blocks], []
     for words, own in zip(each, runs(each), strict=True):
         mark = np.zeros(len(words) + RUN + 1, np.int64)
         hit = np.flatnonzero(np.isin(own, repeated))
         np.add.at(mark, hit, 1)
         np.add.at(mark, hit + min(RUN, len(words)), -1)
-        if left := [w for w, n in zip(words, np.cumsum(mark)) if not n]:
+        covered.append(np.cumsum(mark)[: len(words)] > 0)
+    full, kept = [bool(mark.all()) for mark in covered], []
+    for i, (words, mark) in enumerate(zip(each, covered, strict=True)):
+        if full[i]:
+            drop = np.full(len(words), len(words) >= RUN or len(full) > 1 and all(full[max(i - 1, 0) : i + 2]))
+        else:
+            drop = np.zeros(len(words), bool)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
+            for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+                drop[lo:hi] = hi - lo >= LONG
+        if left := [w for w, gone in zip(words, drop, strict=True) if not gone]:
             kept.append(" ".join(left))
     return "\n".join(kept)
 
@@ -201,16 +214,19 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html).
 
     Null or empty html, and pages without main text, have the empty text. Rows stand for themselves, whatever their
-    page_id; a row repeated on a host counts as another page of it only if its url differs. A null url is a host of its
+    page_id; rows of equal text, whatever their urls, are one page of their host. A null url is a host of its
     own. An empty table gives no rows.
     """
     kinds = [f"{k} {pages.schema[k].dataType.simpleString()}" for k in ("page_id", "url")]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = saved(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_parsed, ", ".join([*kinds, "host string, main string, open array<string>, runs array<long>"])))
-    # the host's suffixes, by their first words: a bucket of two pages is a repeat
-    suffixes = rows.select("host", F.xxhash64("url").alias("page"), F.explode("runs").alias("run"))
-    repeated = suffixes.groupBy("host", "run").agg(F.min("page").alias("x"), F.max("page").alias("y")).where("x <> y").select("host", "run")
     left = rows.where("main is null").withColumn("row", F.monotonically_increasing_id())
+    # the host's suffixes, by their first words: a bucket of enough pages is a repeat; hosts that mark all pages need none
+    paged = rows.join(left.select("host").distinct(), "host", "left_semi").where("main is not null or size(runs) > 0").select("host", F.xxhash64("main", "open").alias("page"), "runs")
+    sizes = paged.groupBy("host").agg(F.count_distinct("page").alias("n"))
+    enough = F.greatest(F.lit(2), F.least("n", F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / ONE_OF))))
+    counted = paged.select("host", "page", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count_distinct("page").alias("c"))
+    repeated = counted.where("c > 1").join(sizes, "host").where(F.col("c") >= enough).select("host", "run")
     found = left.select("row", "host", F.explode("runs").alias("run")).join(repeated, ["host", "run"], "left_semi").groupBy("row").agg(F.collect_set("run").alias("repeated"))
     open_ = left.join(found, "row", "left").select("page_id", "url", "open", "repeated").mapInArrow(_unique, ", ".join([*kinds, "text string"]))
     whole = rows.where("main is not null").select("page_id", "url", F.col("main").alias("text")).unionByName(open_)

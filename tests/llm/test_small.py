@@ -364,3 +364,19 @@ def test_pipeline_copies(spark):
 
     assert len(kept(80)) < len(kept(85))
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, make(spark, rows), "").collect()) == kept(80)
+
+
+def test_extraction_repeats(spark):
+    """Of pages that mark nothing, what a few of them share stays; what the host repeats goes."""
+    menu = "<ul><li>Home</li><li>About us</li><li>Latest news</li></ul><div>all rights reserved by the owner of this site</div>"
+    own = {i: f"page{i} says {prose(30)}" for i in range(40)}
+    quote = "a sentence that two of the pages of this host quote"
+    pages = {i: [own[i]] for i in range(40)}
+    pages[1], pages[2] = [own[1], quote], [quote, own[2]]
+    pages[3] = pages[4] = ["Summary", own[3]]  # one article under two addresses
+    for i in range(5, 30):
+        pages[i] = ["Summary", own[i]]
+    rows = [(i, f"https://h.com/{i}", menu + "".join(f"<p>{b}</p>" for b in blocks)) for i, blocks in pages.items()]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extraction.main_text(frame).collect()} == {i: "\n".join(blocks) for i, blocks in pages.items()}
+    assert extraction.main_text(frame.where("page_id in (3, 4)")).where("text = ''").count() == 0
