@@ -33,9 +33,11 @@ CHROME = frozenset("nav footer aside form noscript template iframe button select
 CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices
 popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies respond share sharing social related
 recommended newsletter subscribe subscription signup login search widget pagination pager toolbar contentinfo complementary""".split())
-CHROME_STARTS = tuple("comment advert sidebar cookie newsletter subscri breadcrumb sponsor footer navig navbar popup banner disqus".split())
+CHROME_STARTS = tuple("commentlist commentform advert sidebar cookie newsletter subscri breadcrumb sponsor footer navig navbar popup banner disqus".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article content post entry story".split())
+#: What a class name may say before the word that tells what the element is.
+PLACES = MAIN_WORDS | frozenset("site page main global primary secondary top bottom left right blog".split())
 BLOCKS = frozenset("""p div section article main header footer aside nav h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote
 pre figure figcaption form fieldset details summary address hr body html head title dialog menu option select template noscript iframe""".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
@@ -45,36 +47,53 @@ SELF_CLOSING = frozenset("p li dt dd tr td th option thead tbody".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+
+
+def _names_chrome(name: str) -> bool:
+    """Whether a class name as a whole says chrome: site-footer and related-posts do, has-sidebar and ad-free don't."""
+    parts = _WORD.findall(name)
+    while parts and parts[0] in PLACES:
+        parts.pop(0)
+    return bool(parts) and parts[-1] not in ("free", "less") and (parts[0] in CHROME_WORDS or parts[0].startswith(CHROME_STARTS))
+
+
 ARTICLE, OPEN, NONE = 0, 1, 2
+HARD, SOFT, RESET = 1, 2, 3
+#: Forms may well wrap a whole page.
+FORMS = frozenset(("form", "fieldset"))
 
 
-def _kind(name: str, attributes: str) -> tuple[bool, bool, bool, int]:
-    """Whether an element is chrome anywhere, whether outside articles, and its rank as the place of the main text (0: none)."""
-    words, hidden, role = set(), False, ""
+def _kind(name: str, attributes: str) -> tuple[int, bool, int]:
+    """Whether an element is chrome anywhere (SOFT: unless it holds the page's only main element), whether outside articles, and its rank as the place of the main text (0: none)."""
+    words, names, hidden, role = set(), [], False, ""
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 words.update(_WORD.findall(value))
+                names += value.split()
             elif key == "role":
                 role = value
                 words.update(_WORD.findall(value))
+                names.append(value)
             elif key == "style":
                 hidden |= "display:none" in value.replace(" ", "")
             else:
                 hidden |= key == "hidden" or value == "true"
-    chrome = name in CHROME or hidden or bool(words & CHROME_WORDS) or any(w.startswith(CHROME_STARTS) for w in words)
-    head = name == "header" or bool(words & HEAD_WORDS)
+    # the page itself and its main elements are what they are, whatever their classes say
+    whole = name in ("html", "body", "main", "article") or role in ("main", "article") or any((w := _WORD.findall(n)) and MAIN_WORDS.issuperset(w) for n in names)
+    chrome = HARD if hidden or name in CHROME and name not in FORMS else SOFT if name in FORMS or not whole and any(map(_names_chrome, names)) else 0
+    head = name == "header" or not whole and bool(words & HEAD_WORDS)
     main = 3 if name == "article" or role == "article" else 2 if name == "main" or role == "main" else 1 if name in ("div", "section", "td") and words & MAIN_WORDS else 0
     return chrome, head, main
 
 
-def parse(source: str) -> list[tuple[str, int, bool]]:
-    """(text, rank of the main element around it, whether it is chrome) of each block, in order."""
-    blocks: list[tuple[str, int, bool]] = []
+def parse(source: str) -> list[tuple[str, int, int]]:
+    """(text, rank of the main element around it, whether it is chrome: HARD, SOFT, or RESET in a main element within soft chrome) of each block, in order."""
+    blocks: list[tuple[str, int, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # name, rank, chrome
-    rank, chrome = 0, False
+    stack: list[tuple[str, int, int]] = []  # name, rank, chrome
+    rank, chrome = 0, 0
 
     def flush() -> None:
         if held:
@@ -86,7 +105,7 @@ def parse(source: str) -> list[tuple[str, int, bool]]:
     def pop_to(depth: int) -> None:
         nonlocal rank, chrome
         del stack[depth:]
-        rank, chrome = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        rank, chrome = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -121,8 +140,10 @@ def parse(source: str) -> list[tuple[str, int, bool]]:
         if stack and (name in SELF_CLOSING and stack[-1][0] == name or name in BLOCKS and stack[-1][0] == "p"):
             pop_to(len(stack) - 1)
         own, head, main = _kind(name, m[4])
-        new_rank = max(rank, main) if not (chrome or own) else rank
-        new_chrome = chrome or own or (head and not new_rank)
+        new_chrome = HARD if HARD in (chrome, own) else SOFT if own else RESET if chrome and main >= 2 else chrome
+        new_rank = rank if new_chrome in (HARD, SOFT) else max(rank, main)
+        if head and not new_rank and not new_chrome:
+            new_chrome = SOFT
         if new_chrome != chrome:
             flush()
         if m[4].endswith("/") and name not in BLOCKS:
@@ -139,8 +160,10 @@ def parse(source: str) -> list[tuple[str, int, bool]]:
 
 def zones(source: str) -> list[tuple[str, int]]:
     """(text, zone) of each block: with an element of the main text, its blocks are the article; without, all but chrome
-    are open."""
+    are open. A main element within soft chrome counts only if there is none elsewhere."""
     found = parse(source)
+    if not any(r for _, r, chrome in found if not chrome):
+        found = [(text, r, 0 if chrome == RESET else chrome) for text, r, chrome in found]
     most = max((r for _, r, chrome in found if not chrome), default=0)
     return [(text, NONE if chrome or most and r < most else ARTICLE if most else OPEN) for text, r, chrome in found]
 

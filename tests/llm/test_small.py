@@ -380,3 +380,11 @@ def test_extraction_repeats(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extraction.main_text(frame).collect()} == {i: "\n".join(blocks) for i, blocks in pages.items()}
     assert extraction.main_text(frame.where("page_id in (3, 4)")).where("text = ''").count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar"><article>whole text</article></body>', '<main class="no-comments"><p>whole text</p></main>', '<article class="post ad-free">whole text</article>', '<div class="entry-content social">whole text</div>',
+    '<div class="commentary"><article>whole text</article></div>', '<form><nav>menu</nav><main>whole text</main></form>', '<div class="sidebar"><article>whole text</article></div>', '<div class="related-posts"><article>other</article></div><div class="site-footer">f</div><div class="content">whole text</div>',
+])
+def test_extraction_of_classes(page):
+    assert [t for t, z in extraction.zones(page) if z == extraction.ARTICLE] == ["whole text"]
