@@ -244,8 +244,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = saved(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_parsed, ", ".join([*kinds, "host string, main string, open array<string>, runs array<long>"])))
     left = rows.where("main is null").withColumn("row", F.monotonically_increasing_id())
-    # the host's suffixes, by their first words: a bucket of enough pages is a repeat; hosts that mark all pages need none
-    paged = rows.join(left.select("host").distinct(), "host", "left_semi").where("main is not null or size(runs) > 0").select("host", F.xxhash64("main", "open").alias("page"), "runs")
+    # the host's suffixes, by their first words: a bucket of enough pages is a repeat
+    paged = rows.where("main is not null or size(runs) > 0").select("host", F.xxhash64("main", "open").alias("page"), "runs")
     sizes = paged.groupBy("host").agg(F.count_distinct("page").alias("n"))
     enough = F.greatest(F.lit(2), F.least("n", F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / ONE_OF))))
     counted = paged.select("host", "page", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count_distinct("page").alias("c"))
