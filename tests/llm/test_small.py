@@ -272,6 +272,24 @@ def test_top_k(spark):
     assert topk.top(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 10**4, 10**7])
+def test_search_eliminates(scale):
+    """Far clusters are never scored, and the best are those of brute force, ties and huge components included."""
+    r = np.random.default_rng(3)
+    centres = r.integers(-60, 60, (20, 16))
+    x = (centres[r.integers(0, 20, 20000)] + r.integers(-1, 2, (20000, 16))) * scale
+    x[50:900] = x[7]
+    ids = r.permutation(30000)[:20000]
+    asked = np.arange(0, 20000, 200)
+    p = topk.pivots(x[::10].astype(float))
+    q, rows, score, scored = topk.search(x[asked], ids[asked], x, ids, p, 20)
+    assert scored < 0.5 * len(asked) * len(x)
+    for i, a in enumerate(asked):
+        each = [int(v) for v in x @ x[a]]
+        want = sorted((-each[j], int(ids[j])) for j in range(20000) if ids[j] != ids[a])[:20]
+        assert sorted(zip((-score[q == i]).tolist(), ids[rows[q == i]].tolist(), strict=True)) == want
+
+
 def test_spotsigs(docs, empty, spark):
     got = spotsigs.fingerprints(docs).collect()
     order = sorted(ROWS, key=lambda r: (-(r[0] if r[0] is not None else -(2**62)), r[1] is not None, r[1] or ""))
