@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ._common import ALPHA, U64, byte_column, chunks, mix, powers, seeds, span_hashes, spans
 
-#: About as many texts of each language are read to learn from, and as many of their most frequent words.
-SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 30_000
+#: About as many texts of each language are read to learn from, with all their words.
+SAMPLE_TEXTS = 1500
 ROUNDS, SMOOTH = 4, 0.2
 #: A word of more bytes is taken in parts of that many.
 LONGEST = 40
@@ -201,8 +201,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, vocabulary: str) -> Model:
-    """A model of the languages in labelled (doc_id, text, lang): from about SAMPLE_TEXTS texts each, chosen by a hash of
-    doc_id, and their SAMPLE_WORDS most frequent words. Rows of null text or lang are left out."""
+    """A model of the languages in labelled (doc_id, text, lang): from all words of about SAMPLE_TEXTS texts each, chosen by
+    a hash of doc_id. Rows of null text or lang are left out; rows of one doc_id are chosen together, and repeated ones count
+    as often as they come. Without a row there is no language."""
     labelled = labelled.where("text is not null and lang is not null")
     sizes = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     pieces = load(vocabulary)
@@ -210,13 +211,14 @@ def train(labelled: DataFrame, vocabulary: str) -> Model:
         return Model([], pieces, np.ones((pieces.n, 0)))
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_TEXTS / n))])[F.col("lang")]
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
-    counts = sample.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    languages, number, rows = sorted(sizes), {}, []
-    for k, lang in enumerate(languages):
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).select("word", "n").toArrow()
-        rows += [(number.setdefault(w, len(number)), k, n) for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)]
+    found = sample.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(sizes)
+    place, number = {lang: k for k, lang in enumerate(languages)}, {}
+    # in order of the words, so that reruns add up in the same order
+    rows = sorted(zip(found.column("word").to_pylist(), found.column("lang").to_pylist(), found.column("n").to_pylist(), strict=True))
+    which = [(number.setdefault(w, len(number)), place[lang], n) for w, lang, n in rows]
     weight = np.zeros((len(number), len(languages)))
-    for w, k, n in rows:
+    for w, k, n in which:
         weight[w, k] = n
     return Model(languages, pieces, fit(list(number), weight, pieces))
 
@@ -255,7 +257,8 @@ def _predicted(model: Model):
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score (the language's share of the probability, 0 to 1).
 
-    lang_pred is `und`, with score 0, where the text is null or has no letter or nothing was learned.
+    lang_pred is `und`, with score 0, where the text is null or has no letter or nothing was learned. Whole texts count,
+    however long; equal texts get equal results; an empty table gives no rows.
     """
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return docs.select(*keep, "text").mapInArrow(_predicted(model), schema)

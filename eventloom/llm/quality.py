@@ -1,7 +1,8 @@
 """A quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader, sparse dot products.
 
 A text's tokens are its runs of letters and digits and its runs of other signs. Features are hashed n-grams of one and two
-tokens (a token that comes again is one n-gram for all tokens); a feature's value is its share of the text's n-grams, times SCALE.
+tokens, and delexicalised n-grams of PATTERN tokens, that say only which of them are equal; a feature's value is its share
+of the text's n-grams, times SCALE.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ BITS = 20
 #: About as many labelled texts are read to learn from, chosen by a hash of doc_id.
 SAMPLE_TEXTS, EPOCHS = 8000, 4
 SCALE, ALPHA, BETA, L1, L2 = 20.0, 0.5, 1.0, 0.02, 0.01
-#: The n-gram of a token that follows itself, with one other between at most, whichever it is.
-AGAIN = U64(0xA24BAED4963EE407)
+#: Tokens of a delexicalised n-gram.
+PATTERN = 4
 SIGN = NOT_SPACE & ~ALNUM
 TRAINING = "crc32(cast(doc_id as string)) % 4 <> 2"
 
@@ -35,7 +36,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = np.searchsorted(starts, at)
     one = span_hashes(data, starts, ends, lower=False)
     count = np.diff(row)
-    first = np.concatenate([[0], np.cumsum(np.maximum(2 * count - 1, 0))])
+    first = np.concatenate([[0], np.cumsum(np.maximum(2 * count - 1, 0) + np.maximum(count - PATTERN + 1, 0))])
     out = np.empty(first[-1], np.int64)
     owner = np.repeat(np.arange(len(count)), count)
     k = np.arange(len(one)) - row[owner]
@@ -43,9 +44,13 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[first[owner] + k] = (one >> shift).astype(np.int64)
     pair = np.flatnonzero(owner[1:] == owner[:-1])
     two = mix(one[pair] * U64(0x9E3779B97F4A7C15) + one[pair + 1])
-    before = np.maximum(pair - 1, 0)
-    two[(one[pair] == one[pair + 1]) | (one[before] == one[pair + 1]) & (owner[before] == owner[pair]) & (before < pair)] = AGAIN
     out[first[owner[pair]] + count[owner[pair]] + k[pair]] = (two >> shift).astype(np.int64)
+    many = np.flatnonzero(k + PATTERN <= count[owner])
+    equal = np.zeros(len(many), U64)
+    for i in range(PATTERN):
+        for j in range(i + 1, PATTERN):
+            equal = equal * U64(2) + (one[many + i] == one[many + j])
+    out[first[owner[many]] + 2 * count[owner[many]] - 1 + k[many]] = (mix(equal + U64(0xA24BAED4963EE407)) >> shift).astype(np.int64)
     return out, first
 
 
@@ -82,7 +87,7 @@ def _fitted(rows: pa.Table) -> pa.Table:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and bias from docs (doc_id, text) and labels (doc_id, label 0/1). Rows of null label are left out; null
-    texts are empty. The labels are sampled first; as the sample is bounded, it is sent to where the texts are."""
+    texts are empty; repeated rows of either count as often as they meet. The labels are sampled first; as the sample is bounded, it is sent to where the texts are."""
     labels = labels.where("label in (0, 1)").select("doc_id", "label")
     size = labels.count()
     if not size:

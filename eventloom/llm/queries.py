@@ -12,8 +12,9 @@ from . import extraction, langid, licenses, mixing, neardup, packing, quality, r
 from ._common import table
 
 
-def _crc(modulus: int):
-    return F.crc32(F.col("doc_id").cast("string")) % modulus
+def _held_out(modulus: int, remainder: int):
+    """Whether a document is held out; one without a doc_id isn't learned from, so it is."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(True))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +50,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labels.where(quality.TRAINING).select("doc_id", F.col("quality").alias("label"))
     weights, bias = quality.train(docs, labelled)
     found = quality.score(docs, weights, bias)
-    return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.TRAINING), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return langid.predict(docs, model, "doc_id").select("doc_id", (_crc(5) == 0).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, "doc_id").select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
