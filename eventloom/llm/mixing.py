@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import saved
@@ -10,7 +10,8 @@ from .ranks import ranked
 
 #: Weights of the sources in order of name, repeating; a target is CAP times its source's size at most.
 WEIGHTS, CAP = (5, 2, 1), 3
-SEED = 17
+#: Random offsets that are tried for each source; the one that brings its words nearest to its target is its offset.
+SEED, OFFSETS = 17, 16
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -34,17 +35,40 @@ def targets(sizes: DataFrame) -> DataFrame:
     return caps.select("src", "missing", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("free") * F.col("weight")).alias("target"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """rows (size, src, missing, doc_id, tie, ...) with source_size, target and copies."""
-    shares = targets(rows.groupBy("src", "missing").agg(F.sum("size").alias("source_size")))
-    shares = shares.withColumn("step", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    # a multiple of 2**-20, so that a rank and the offset add exactly
-    shares = shares.withColumn("start", F.pmod(F.xxhash64("src", "missing", F.lit(SEED)), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+def _crossed(start: Column) -> Column:
+    """The integers that a document's step of the prefix sum, from `low` to `high`, crosses."""
+    return F.least(F.floor(F.col("high") + start) - F.floor(F.col("low") + start), F.lit(CAP))
+
+
+def _ranked(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """rows with their source's shares and their step of the prefix sum."""
     level = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
     rows = ranked(rows.withColumn("level", level), ["src", "missing"], "level", [F.col(k) for k in ("size", "doc_id", "tie")])
-    rows = rows.join(shares, ["src", "missing"])
-    crossed = F.floor(F.col("rank") * F.col("step") + F.col("start")) - F.floor((F.col("rank") - 1) * F.col("step") + F.col("start"))
-    return rows.withColumn("copies", F.least(crossed, F.lit(CAP)).cast("long"))
+    return rows.join(shares, ["src", "missing"]).withColumn("high", F.col("rank") * F.col("step")).withColumn("low", (F.col("rank") - 1) * F.col("step"))
+
+
+def offsets(sizes: DataFrame) -> DataFrame:
+    """Of each source of sizes (size, src, missing, doc_id, tie): source_size, target, step (copies expected of a document)
+    and start (its offset)."""
+    shares = targets(sizes.groupBy("src", "missing").agg(F.sum("size").alias("source_size")))
+    shares = shares.withColumn("step", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    # multiples of 2**-20, so that a rank and an offset add exactly
+    random = F.transform(F.sequence(F.lit(SEED), F.lit(SEED + OFFSETS - 1)), lambda i: F.pmod(F.xxhash64("src", "missing", i), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    shares = saved(shares.withColumn("starts", random))
+    rows = _ranked(sizes, F.broadcast(shares) if shares.count() <= FEW else shares)
+    words = [F.sum(_crossed(F.get("starts", F.lit(i))) * F.col("size")).alias(f"t{i}") for i in range(OFFSETS)]
+    tried = rows.groupBy("src", "missing").agg(*words).select("src", "missing", F.array(*[f"t{i}" for i in range(OFFSETS)]).alias("words"))
+    off = F.zip_with("words", "starts", lambda w, s: F.struct(F.abs(w - F.col("target")).alias("off"), s.alias("start")))
+    return saved(shares.join(tried, ["src", "missing"]).withColumn("start", F.array_min(off)["start"]).drop("starts", "words"))
+
+
+#: Sources up to which their shares are sent to every task.
+FEW = 10_000
+
+
+def _placed(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """rows (size, src, missing, doc_id, tie, ...) with source_size, target and copies."""
+    return _ranked(rows, F.broadcast(shares) if shares.count() <= FEW else shares).withColumn("copies", _crossed(F.col("start")).cast("long"))
 
 
 def _sized(docs: DataFrame, *more) -> DataFrame:
@@ -58,17 +82,19 @@ def sample_sizes(docs: DataFrame) -> DataFrame:
     A document of a source is expected target / source_size times. Documents of a source stand in order of size (in
     steps of a tenth or so), then of a hash; the expected copies are summed along it from one random offset a source, and
     a document is emitted once for each integer that its step of the sum crosses. So a source's words come near its
-    target, and a document comes CAP times at most.
+    target, and a document comes CAP times at most. Of OFFSETS random offsets a source takes the one that comes nearest.
 
     Null text has size 0. Sources stand in order of code points, null last, as a source of its own. Equal rows are
     interchangeable: the results are the same whichever gets which count. Sources without words have target 0. An empty
     table gives no rows.
     """
-    rows = _placed(saved(_sized(docs)))
+    sizes = saved(_sized(docs))
+    rows = _placed(sizes, offsets(sizes))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as sample_sizes() counts it."""
-    rows = _placed(_sized(docs, F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole")))
+    """The rows of docs, each as often as sample_sizes() counts it; no rows of an empty table."""
+    shares = offsets(saved(_sized(docs)))
+    rows = _placed(_sized(docs, F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole")), shares)
     return rows.where("copies > 0").select("whole", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("whole.*")
