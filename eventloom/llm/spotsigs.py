@@ -1,6 +1,8 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
-A spot is a common word (anchor) and the next CHAIN words that aren't common; the text's start counts as an anchor. A
+A spot is a common word (anchor) and the next CHAIN words that aren't common; the text's start counts as an anchor. In a
+text where common words are rarer than one in SPARSE, as in other languages than theirs, words whose hash is a multiple of
+SPARSE are anchors too, so that its spots follow from all of it. A
 fingerprint is the set of a text's spots, each a 32-bit hash, in order, in hex. Two fingerprints are compared by Jaccard
 similarity; where only those of a least similarity matter, sets whose lengths differ too much are never compared.
 """
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import ALNUM, CHUNK, U64, mix, span_hashes, spans
@@ -25,7 +27,9 @@ der die und das den dem von mit ist im zu ein eine auf nicht als für auch sich
 de la le et les des un une que qui dans pour par sur du est pas au en plus
 el los las y por con para una del se al lo como más su sus
 """.split()
-ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 2048, 64, 4096
+#: Without enough common words, about one word in so many is an anchor.
+SPARSE = 16
+ROWS_A_PART, LEAST_PARTS, SAMPLE, FANOUT = 2048, 64, 64, 64
 _FIRST = np.iinfo(np.int64).min
 
 
@@ -44,13 +48,17 @@ def spots(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     starts, ends, row = spans(data, at, ALNUM)
     h = span_hashes(data, starts, ends)
     common = _COMMON[np.minimum(np.searchsorted(_COMMON, h), len(_COMMON) - 1)] == h
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(row))
+    count = np.diff(row)
+    owner = np.repeat(np.arange(len(at) - 1), count)
+    sparse = np.bincount(owner[common], minlength=len(count)) * SPARSE < count
+    extra = sparse[owner] & ~common & (h % U64(SPARSE) == 0)
     content = np.flatnonzero(~common)
     words, whose = np.append(h[content], np.zeros(CHAIN, U64)), np.append(owner[content], np.full(CHAIN, -1))
     # anchors: common words, and the start of each row
-    anchors = np.flatnonzero(common)
-    begin = np.flatnonzero(np.diff(row))
-    where = np.concatenate([np.searchsorted(content, anchors), np.searchsorted(content, row[:-1][begin])])
+    anchors = np.flatnonzero(common | extra)
+    begin = np.flatnonzero(count)
+    # the words after an anchor; an anchor that is a content word itself isn't in its own chain
+    where = np.concatenate([np.searchsorted(content, anchors + 1), np.searchsorted(content, row[:-1][begin])])
     mine = np.concatenate([owner[anchors], begin])
     spot = np.concatenate([h[anchors], np.zeros(len(begin), U64)])
     whole = np.ones(len(where), bool)
@@ -134,6 +142,18 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, size = rows[-1:], len(text)
 
 
+def _range_of(k: Column, cuts: list[int]) -> Column:
+    """How many of the cuts are below k: a search tree of FANOUT branches a level."""
+    levels = [cuts]
+    while len(levels[0]) > FANOUT:
+        levels.insert(0, levels[0][FANOUT - 1 :: FANOUT])
+    below = F.lit(0)
+    for i, level in enumerate(levels):
+        near = F.slice(F.lit(level), below * FANOUT + 1, FANOUT) if i else F.lit(level)
+        below = (below * FANOUT if i else F.lit(0)) + F.size(F.filter(near, lambda x: x < k))
+    return below if cuts else F.lit(0)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs
     (doc_id, text). The next document is the one of the next smaller doc_id; after the last comes the first.
@@ -147,9 +167,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.coalesce("doc_id", F.lit(_FIRST)))
     spark, ids = docs.sparkSession, docs.select("k")
     n = ids.count()
-    parts = min(MOST_PARTS, max(LEAST_PARTS, n // ROWS_A_PART))
-    cuts = sorted(set(ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("k"))) if cuts else F.lit(0)
+    parts = max(LEAST_PARTS, n // ROWS_A_PART)
+    # cuts from a sample of ids, SAMPLE a part
+    rate = min(1.0, parts * SAMPLE / max(n, 1)) * 1_000_000
+    some = ids.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate).toArrow().column("k").to_numpy()
+    cuts = np.unique(np.quantile(some, np.arange(1, parts) / parts, method="lower")).tolist() if len(some) else []
+    part = _range_of(F.col("k"), cuts)
     # the greatest id of each range, and the range above it, where its row is carried; the greatest of all goes to the lowest
     greatest = [tuple(r) for r in ids.groupBy(part.alias("part")).agg(F.max("k").alias("k")).orderBy("part").collect()]
     above = [p for p, _ in greatest[1:] + greatest[:1]]

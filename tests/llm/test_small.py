@@ -313,6 +313,41 @@ def test_spotsigs(docs, empty, spark):
     assert pairs == {(1, 3)}
 
 
+def brute_spots(text):
+    """Spots as (anchor, chain) of a text, by the rule as the module states it."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    common = set(spotsigs.COMMON)
+    sparse = sum(w in common for w in words) * spotsigs.SPARSE < len(words)
+    hashed = lambda w: int(spotsigs._hashed([w])[0]) % spotsigs.SPARSE == 0
+    chain = lambda at: tuple([w for w in words[at:] if w not in common][: spotsigs.CHAIN])
+    found = {(w, chain(i + 1)) for i, w in enumerate(words) if (w in common or sparse and hashed(w)) and len(chain(i + 1)) == spotsigs.CHAIN}
+    if words:
+        found.add(("", chain(0) or tuple(words)))
+    return found
+
+
+def test_spots_by_brute_force(docs):
+    """Fingerprints and likenesses of all rows, from sets of words."""
+    order = sorted(ROWS, key=lambda r: (-(r[0] if r[0] is not None else -(2**62)), r[1] is not None, r[1] or ""))
+    want = {}
+    for k, (i, t, *_) in enumerate(order):
+        t, n = t or "", order[(k + 1) % len(order)][1] or ""
+        a, b, c = brute_spots(t), brute_spots(t[: len(t) - len(t) // 2] + n[: len(t) // 2]), brute_spots(n)
+        share = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        want.setdefault(i, []).append((len(a), len(b), round(share(a, b), 9), round(share(a, c), 9)))
+    got = {}
+    for r in spotsigs.fingerprints(docs).collect():
+        got.setdefault(r.doc_id, []).append((len(r.fingerprint) // 8, len(r.edited_fingerprint) // 8, round(r.near_edited, 9), round(r.near_next, 9)))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
+def test_ranges(spark):
+    for n in (0, 1, 64, 65, 5000):
+        cuts = sorted(rng.sample(range(20000), n))
+        for r in spark.range(0, 20000, 97).select("id", spotsigs._range_of(F.col("id"), cuts).alias("p")).collect():
+            assert r.p == sum(c < r.id for c in cuts)
+
+
 def test_quality(docs, empty, spark):
     rows = [(i, prose(30) if i % 2 else " ".join(w + "!!" for w in prose(30).split()), None, None) for i in range(400)]
     frame = make(spark, rows)
