@@ -249,9 +249,47 @@ def test_licenses(docs, empty, spark):
 
 
 def test_automata():
-    machine = licenses.Automaton("a [[b (c|d)]] {2} e")
-    accepts = lambda s: machine.accepts(s.split(), 0)
-    assert all(map(accepts, ["a e", "a b c e", "a b d x y e", "a x e"])) and not any(map(accepts, ["a", "a x y z e", "b c e", "a b"]))
+    def accepts(template, text):
+        return bool(licenses.Automaton({"x": [template]}).accepted(text.split()))
+
+    t = "a [[b (c|d)]] {2} e"
+    assert all(accepts(t, x) for x in ["a e", "q a b c e", "a b d x y e r", "a x e", "a a a e"]) and not any(accepts(t, x) for x in ["a", "a x y z e", "b c e", "a b", ""])
+    t = "a (b c|d|{1}) [[x [[y]]|z]] f"
+    assert all(accepts(t, x) for x in ["a b c f", "a d f", "a f", "a q x f", "a x y f", "a d z f"]) and not any(accepts(t, x) for x in ["a b c d f", "a d y f", "a d z z f"])
+    assert licenses.mandatory(t) == ["a", "f"]
+
+
+def test_licences_by_brute_force(docs):
+    """All base columns of all rows, and each template's own wording with its markup left out, put in or replaced."""
+    for r in licenses.scan(docs).collect():
+        words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for i, t, *_ in ROWS if i == r.doc_id]
+        want = []
+        for w in words:
+            at = sorted(i for p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+            want.append((len(w), len(at), at[0] if at else None, at[-1] if at else None))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) in want
+    scanner = licenses.Scanner()
+
+    def made(template, full):
+        template = re.sub(r"\s+", " ", template)
+        while "[[" in template:
+            template = re.sub(r"\[\[((?:(?!\[\[|\]\]).)*)\]\]", lambda m: f"({m[1]})" if full else " ", template)
+        template = re.sub(r"\{\d+\}", "someone" if full else " ", template)
+        while "(" in template:
+            template = re.sub(r"\(([^()]*)\)", lambda m: m[1].split("|")[-1 if full else 0], template)
+        return template.split()
+
+    for label, each in licenses.TEMPLATES.items():
+        for template in each:
+            for full in (False, True):
+                words = made(template, full)
+                assert label in scanner.machine.accepted(["before", *words, "after"])
+                keep = max(licenses.mandatory(template), key=len)
+                at = words.index(keep)
+                single = licenses.Automaton({label: [template]})
+                assert single.accepted(words) and not single.accepted([*words[:at], "otherword", *words[at + 1 :]])
+    # a long text of starts alone is read in one pass
+    assert scanner.machine.accepted(["licensed", "under", "copyright"] * 50_000) == set()
 
 
 def test_top_k(spark):
