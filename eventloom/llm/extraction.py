@@ -1,14 +1,20 @@
 """Main text of web pages: a host suffix array finds what its pages repeat.
 
 A page is parsed once into blocks of text, each with a zone: the article, chrome (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) or open (none of both). The words of all blocks outside articles are concatenated, page
-by page (a block's end ends a run), and the suffixes of a host's pages are bucketed by their first RUN words: a bucket with
-suffixes of enough of the host's pages is a repeated run, and longer repeats are chains of such buckets. Repeats of LONG words and whole
-repeated blocks are boilerplate; all else of open blocks stays. A page that marks its article has its text from there: what an article says may well stand on other pages.
+notices, adverts, forms, comments) or open (none of both). The words of all blocks are concatenated, page by page (a
+block's end ends a run), and the suffixes of a host's pages are bucketed by their first RUN words: a bucket with suffixes of
+enough of the host's pages is a repeated run, and a longer repeat is a chain of such buckets, one suffix after the other.
+Covered boilerplate goes: of open blocks, stretches of LONG words and whole repeated blocks; of a marked article, which may
+well say what other pages say, stretches of LONG words that stand on half of the host's pages.
+
+An article's suffixes are many, so of every LONG words only the suffix of least hash (the anchor) is counted first: a repeat
+of LONG words has its anchors wherever it stands. All suffixes are counted only of the few blocks with an anchor that is
+frequent enough.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -16,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import U64, mix, saved, seeds
 
 #: Words of the shortest repeat that is looked for, and of the shortest that counts as boilerplate within a block.
 RUN, LONG = 6, 20
-#: A repeat stands on one of so many pages of its host at least, and on so many pages, or on all of a smaller host's.
-ONE_OF, LEAST_PAGES = 10, 5
+#: A repeat stands on one of so many pages of its host at least (in articles: ARTICLE_ONE_OF), and on so many pages, or on
+#: all of a smaller host's (articles of those are left alone).
+ONE_OF, ARTICLE_ONE_OF, LEAST_PAGES = 10, 2, 5
+#: Repeated runs up to which they are sent to every task.
+FEW = 1_000_000
 #: Pages whose blocks are held at once.
 PAGES = 256
 
@@ -44,7 +53,9 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 #: Elements that their next sibling, or a block in the case of p, closes.
 SELF_CLOSING = frozenset("p li dt dd tr td th option thead tbody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+# Every alternative takes what it has begun to its end or the page's, so no place is read twice.
+_VALUES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b{_VALUES}(?:>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_VALUES})(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -93,6 +104,7 @@ def parse(source: str) -> list[tuple[str, int, int]]:
     blocks: list[tuple[str, int, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int, int]] = []  # name, rank, chrome
+    opened: dict[str, int] = {}  # how many of a name are on the stack
     rank, chrome = 0, 0
 
     def flush() -> None:
@@ -104,6 +116,8 @@ def parse(source: str) -> list[tuple[str, int, int]]:
 
     def pop_to(depth: int) -> None:
         nonlocal rank, chrome
+        for element in stack[depth:]:
+            opened[element[0]] -= 1
         del stack[depth:]
         rank, chrome = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
 
@@ -129,7 +143,7 @@ def parse(source: str) -> list[tuple[str, int, int]]:
         elif name in ("td", "th"):
             held.append(" ")
         if m[2]:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in () if not opened.get(name) else range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     if name in BLOCKS or not any(s[0] in BLOCKS and s[0] not in SELF_CLOSING for s in stack[depth + 1 :]):
                         if stack[depth][2] != chrome:
@@ -150,10 +164,10 @@ def parse(source: str) -> list[tuple[str, int, int]]:
             continue
         if name in BLOCKS or new_rank != rank or new_chrome != chrome:
             stack.append((name, new_rank, new_chrome))
+            opened[name] = opened.get(name, 0) + 1
             rank, chrome = new_rank, new_chrome
     if at < len(source):
-        tail = source[at:]
-        held.append(re.sub(r"<[a-zA-Z/!][^<]*\Z", "", tail))
+        held.append(source[at:])
     flush()
     return blocks
 
@@ -187,34 +201,83 @@ def runs(blocks: list[list[str]]) -> list[np.ndarray]:
     return out
 
 
+def anchors(own: np.ndarray) -> np.ndarray:
+    """Of a block's runs: the least of each LONG - RUN + 1 in a row, which a window of LONG words holds; none of a shorter block."""
+    wide, width = LONG - RUN + 1, 1
+    if len(own) < wide:
+        return own[:0]
+    least = own.copy()
+    while width * 2 <= wide:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    step = wide - width
+    return np.unique(np.minimum(least[:-step], least[step:]) if step else least)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _unique(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
+_ROWS = "row long, host long, page long, article boolean, blocks array<string>, runs array<long>"
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their article's blocks, or their open ones; `runs` are the anchors of an article, or all runs of open blocks
+    and chrome."""
     for whole in batches:
         for lo in range(0, whole.num_rows, PAGES):
             batch = whole.slice(lo, PAGES)
-            texts, opens, suffixes = [], [], []
-            for x in batch.column("html"):
-                blocks = zones(x.as_py() or "")
-                marked = any(z == ARTICLE for _, z in blocks)
-                texts.append("\n".join(t for t, z in blocks if z == ARTICLE) if marked else None)
-                opens.append(None if marked else [t for t, z in blocks if z == OPEN])
-                own = runs([t.split() for t, z in blocks if z != ARTICLE])
-                suffixes.append(np.unique(np.concatenate(own)) if own else [])
-            columns = [batch.column(k) for k in ("page_id", "url", "host")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))], ["page_id", "url", "host", "main", "open", "runs"])
-
-
-def unique_text(blocks: list[str], repeated: np.ndarray) -> str:
+            hosts, pages, marked, texts, suffixes = [], [], [], [], []
+            for x, host in zip(batch.column("html"), batch.column("host").to_pylist(), strict=True):
+                found = zones(x.as_py() or "")
+                article = any(z == ARTICLE for _, z in found)
+                blocks = [t for t, z in found if z == (ARTICLE if article else OPEN)]
+                if article:
+                    own = [anchors(r) for r in runs([t.split() for t in blocks])]
+                else:
+                    own = runs([t.split() for t, _ in found])
+                hosts.append(_hash(host))
+                pages.append(_hash("\n".join(blocks)))
+                marked.append(article)
+                texts.append(blocks)
+                suffixes.append(_unique(own))
+            columns = [pa.array(hosts, pa.int64()), pa.array(pages, pa.int64()), pa.array(marked), pa.array(texts, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("page_id", "url", "row")), *columns], ["page_id", "url", "row", "host", "page", "article", "blocks", "runs"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of the blocks of articles that have one of the anchors `repeated`."""
+    for batch in batches:
+        out = []
+        for blocks, hot in zip(batch.column("blocks").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
+            each = runs([b.split() for b in blocks])
+            out.append(_unique([r for r in each if np.isin(anchors(r), hot).any()]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "host", "page")), pa.array(out, pa.list_(pa.int64()))], ["row", "host", "page", "runs"])
+
+
+def covered(words: list[str], own: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Which words of a block its repeated runs cover."""
+    mark = np.zeros(len(words) + RUN + 1, np.int64)
+    hit = np.flatnonzero(np.isin(own, repeated))
+    np.add.at(mark, hit, 1)
+    np.add.at(mark, hit + min(RUN, len(words)), -1)
+    return np.cumsum(mark)[: len(words)] > 0
+
+
+def unique_text(blocks: list[str], repeated: np.ndarray, article: bool = False) -> str:
     """Blocks without their boilerplate; what is left of a block is joined. Boilerplate are stretches of LONG words that
-    repeated runs cover, and wholly covered blocks: of RUN words, or shorter ones between two that are covered too."""
-    each, covered = [b.split() for b in blocks], []
-    for words, own in zip(each, runs(each), strict=True):
-        mark = np.zeros(len(words) + RUN + 1, np.int64)
-        hit = np.flatnonzero(np.isin(own, repeated))
-        np.add.at(mark, hit, 1)
-        np.add.at(mark, hit + min(RUN, len(words)), -1)
-        covered.append(np.cumsum(mark)[: len(words)] > 0)
-    full, kept = [bool(mark.all()) for mark in covered], []
-    for i, (words, mark) in enumerate(zip(each, covered, strict=True)):
+    repeated runs cover, and outside articles wholly covered blocks: of RUN words, or shorter ones between two that are
+    covered too."""
+    if not len(repeated):
+        return "\n".join(blocks)
+    each, kept = [b.split() for b in blocks], []
+    marks = [covered(words, own, repeated) for words, own in zip(each, runs(each), strict=True)]
+    full = [not article and bool(mark.all()) for mark in marks]
+    for i, (words, mark) in enumerate(zip(each, marks, strict=True)):
         if full[i]:
             drop = np.full(len(words), len(words) >= RUN or len(full) > 1 and all(full[max(i - 1, 0) : i + 2]))
         else:
@@ -227,30 +290,49 @@ def unique_text(blocks: list[str], repeated: np.ndarray) -> str:
     return "\n".join(kept)
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unique_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [unique_text(b or [], np.array(r or [], np.int64)) for b, r in zip(batch.column("open").to_pylist(), batch.column("repeated").to_pylist(), strict=True)]
+        columns = (batch.column(k).to_pylist() for k in ("blocks", "repeated", "article"))
+        texts = [unique_text(b, np.array(r or [], np.int64), article) for b, r, article in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def _repeated(rows: DataFrame, sizes: DataFrame, enough: Column) -> DataFrame:
+    """(row, repeated): of rows (row, host, page, runs), the runs that stand on enough pages of the host; rows without any
+    are left out. Pages are counted by their text, partially before the shuffle."""
+    each = rows.select("host", "page", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count_distinct("page").alias("c"))
+    found = saved(each.where("c > 1").join(sizes, "host").where(F.col("c") >= enough).select("host", "run"))
+    found = F.broadcast(found) if found.count() <= FEW else found
+    return rows.select("row", "host", F.explode("runs").alias("run")).join(found, ["host", "run"], "left_semi").groupBy("row").agg(F.collect_set("run").alias("repeated"))
+
+
+def _few(found: DataFrame) -> DataFrame:
+    """A table of (row, repeated), to be sent to every task where it is small."""
+    found = saved(found)
+    runs_ = found.agg(F.sum(F.size("repeated"))).first()[0] or 0
+    return F.broadcast(found) if runs_ <= FEW else found
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html).
 
     Null or empty html, and pages without main text, have the empty text. Rows stand for themselves, whatever their
     page_id; rows of equal text, whatever their urls, are one page of their host. A null url is a host of its
-    own. An empty table gives no rows.
+    own. An empty table gives no rows. A page of any length, however its quotes and elements are closed, is read in one pass.
     """
     kinds = [f"{k} {pages.schema[k].dataType.simpleString()}" for k in ("page_id", "url")]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = saved(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_parsed, ", ".join([*kinds, "host string, main string, open array<string>, runs array<long>"])))
-    left = rows.where("main is null").withColumn("row", F.monotonically_increasing_id())
-    # the host's suffixes, by their first words: a bucket of enough pages is a repeat
-    paged = rows.where("main is not null or size(runs) > 0").select("host", F.xxhash64("main", "open").alias("page"), "runs")
-    sizes = paged.groupBy("host").agg(F.count_distinct("page").alias("n"))
-    enough = F.greatest(F.lit(2), F.least("n", F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / ONE_OF))))
-    counted = paged.select("host", "page", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count_distinct("page").alias("c"))
-    repeated = counted.where("c > 1").join(sizes, "host").where(F.col("c") >= enough).select("host", "run")
-    found = left.select("row", "host", F.explode("runs").alias("run")).join(repeated, ["host", "run"], "left_semi").groupBy("row").agg(F.collect_set("run").alias("repeated"))
-    open_ = left.join(found, "row", "left").select("page_id", "url", "open", "repeated").mapInArrow(_unique, ", ".join([*kinds, "text string"]))
-    whole = rows.where("main is not null").select("page_id", "url", F.col("main").alias("text")).unionByName(open_)
-    return whole.withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"), host.alias("host"), "html")
+    rows = saved(rows.mapInArrow(_parsed, ", ".join([*kinds, _ROWS])))
+    # hosts of several pages of different text; others repeat nothing
+    sizes = saved(rows.where("size(blocks) > 0").groupBy("host").agg(F.count_distinct("page").alias("n")).where("n > 1"))
+    share = lambda one_of: F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / one_of))
+    articles = rows.where("article")
+    hot = _few(_repeated(articles, sizes, share(ARTICLE_ONE_OF)))
+    suffixes = saved(articles.select("row", "host", "page", "blocks").join(hot, "row").mapInArrow(_suffixes, "row long, host long, page long, runs array<long>"))
+    inside = _repeated(suffixes, sizes, share(ARTICLE_ONE_OF))
+    # of pages without an article all runs count, chrome's too; those of articles' pages don't stand in open blocks
+    outside = _repeated(rows.where("not article"), sizes, F.greatest(F.lit(2), F.least("n", share(ONE_OF))))
+    found = _few(inside.unionByName(outside))
+    texts = rows.join(found, "row", "left").select("page_id", "url", "blocks", "repeated", "article").mapInArrow(_unique_texts, ", ".join([*kinds, "text string"]))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -473,6 +474,53 @@ def test_extraction_repeats(spark):
     assert extraction.main_text(frame.where("page_id in (3, 4)")).where("text = ''").count() == 0
 
 
+def test_article_repeats(spark):
+    """What half a host's pages say inside their article goes, to the word; what fewer of them say stays. By brute force:
+    runs of RUN words that stand on enough pages of different text, in stretches of LONG words."""
+    notice, quote = prose(34), prose(60)
+    own = {i: [prose(50), prose(9)] for i in range(30)}
+    for i in range(30):
+        if i % 5 < 3:
+            own[i][0] = own[i][0] + " " + notice + " " + prose(25)
+        if i % 3 == 0:
+            own[i].append(quote)
+    own[7] = own[6]
+    rows = [(i, "https://h.com/x", "<nav>menu</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") for i, blocks in own.items()]
+    rows.append((99, "https://other.com/x", f"<article><p>{notice}</p></article>"))
+    grams = lambda b: [tuple(b.split()[k : k + extraction.RUN]) for k in range(len(b.split()) - extraction.RUN + 1)]
+    pages = {"\n".join(blocks) for blocks in own.values()}
+    often = {}
+    for page in pages:
+        for g in {g for b in page.split("\n") for g in grams(b)}:
+            often[g] = often.get(g, 0) + 1
+    want = {99: notice}
+    for i, blocks in own.items():
+        kept = []
+        for b in blocks:
+            w, gone = b.split(), set()
+            for k, g in enumerate(grams(b)):
+                if 2 * often[g] >= len(pages):
+                    gone |= set(range(k, k + extraction.RUN))
+            runs = [r for r in "".join("x" if k in gone else " " for k in range(len(w))).split(" ") if r]
+            assert all(len(r) >= extraction.LONG for r in runs)
+            kept.append(" ".join(x for k, x in enumerate(w) if k not in gone))
+        want[i] = "\n".join(k for k in kept if k)
+    got = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and all(notice not in got[i] for i in own) and got[0].endswith(quote)
+
+
+@pytest.mark.parametrize("page", ['<a "' * 400_000, "<div>" * 200_000 + "</p>" * 200_000, "<p a='" + "x" * 5_000_000, '<a b="' * 300_000 + ">", "<script>" * 200_000, "</" * 900_000, "<!" * 900_000, "<b =" * 400_000])
+def test_extraction_of_broken_pages(page):
+    """Each is read in one pass, in seconds."""
+    began = time.time()
+    extraction.zones(page)
+    assert time.time() - began < 20
+
+
+def test_extraction_of_quotes():
+    assert [t for t, _ in extraction.zones('<article><p title=\'a > b\'>one <b x="y>z">two</b> it\'s <i "odd" >three</i></p></article>')] == ["one two it's three"]
+
+
 @pytest.mark.parametrize("page", [
     '<body class="has-sidebar"><article>whole text</article></body>', '<main class="no-comments"><p>whole text</p></main>', '<article class="post ad-free">whole text</article>', '<div class="entry-content social">whole text</div>',
     '<div class="commentary"><article>whole text</article></div>', '<form><nav>menu</nav><main>whole text</main></form>', '<div class="sidebar"><article>whole text</article></div>', '<div class="related-posts"><article>other</article></div><div class="site-footer">f</div><div class="content">whole text</div>',
