@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import saved
-from .ranks import ranked
+from .ranks import ranked, salts_of
 
 #: Weights of the sources in order of name, repeating; a target is CAP times its source's size at most.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -40,14 +40,14 @@ def _crossed(start: Column) -> Column:
     return F.least(F.floor(F.col("high") + start) - F.floor(F.col("low") + start), F.lit(CAP))
 
 
-def _ranked(rows: DataFrame, shares: DataFrame) -> DataFrame:
+def _ranked(rows: DataFrame, shares: DataFrame, salts: int) -> DataFrame:
     """rows with their source's shares and their step of the prefix sum."""
     level = F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
-    rows = ranked(rows.withColumn("level", level), ["src", "missing"], "level", [F.col(k) for k in ("size", "doc_id", "tie")])
+    rows = ranked(rows.withColumn("level", level), ["src", "missing"], "level", [F.col(k) for k in ("size", "doc_id", "tie")], salts)
     return rows.join(shares, ["src", "missing"]).withColumn("high", F.col("rank") * F.col("step")).withColumn("low", (F.col("rank") - 1) * F.col("step"))
 
 
-def offsets(sizes: DataFrame) -> DataFrame:
+def offsets(sizes: DataFrame, salts: int) -> DataFrame:
     """Of each source of sizes (size, src, missing, doc_id, tie): source_size, target, step (copies expected of a document)
     and start (its offset)."""
     shares = targets(sizes.groupBy("src", "missing").agg(F.sum("size").alias("source_size")))
@@ -55,7 +55,7 @@ def offsets(sizes: DataFrame) -> DataFrame:
     # multiples of 2**-20, so that a rank and an offset add exactly
     random = F.transform(F.sequence(F.lit(SEED), F.lit(SEED + OFFSETS - 1)), lambda i: F.pmod(F.xxhash64("src", "missing", i), F.lit(1 << 20)) / F.lit(float(1 << 20)))
     shares = saved(shares.withColumn("starts", random))
-    rows = _ranked(sizes, F.broadcast(shares) if shares.count() <= FEW else shares)
+    rows = _ranked(sizes, F.broadcast(shares) if shares.count() <= FEW else shares, salts)
     words = [F.sum(_crossed(F.get("starts", F.lit(i))) * F.col("size")).alias(f"t{i}") for i in range(OFFSETS)]
     tried = rows.groupBy("src", "missing").agg(*words).select("src", "missing", F.array(*[f"t{i}" for i in range(OFFSETS)]).alias("words"))
     off = F.zip_with("words", "starts", lambda w, s: F.struct(F.abs(w - F.col("target")).alias("off"), s.alias("start")))
@@ -66,9 +66,11 @@ def offsets(sizes: DataFrame) -> DataFrame:
 FEW = 10_000
 
 
-def _placed(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    """rows (size, src, missing, doc_id, tie, ...) with source_size, target and copies."""
-    return _ranked(rows, F.broadcast(shares) if shares.count() <= FEW else shares).withColumn("copies", _crossed(F.col("start")).cast("long"))
+def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (size, src, missing, doc_id, tie, ...) with source_size, target and copies; `sizes` are the same rows alone."""
+    salts = salts_of(sizes.count())
+    shares = offsets(sizes, salts)
+    return _ranked(rows, F.broadcast(shares) if shares.count() <= FEW else shares, salts).withColumn("copies", _crossed(F.col("start")).cast("long"))
 
 
 def _sized(docs: DataFrame, *more) -> DataFrame:
@@ -89,12 +91,11 @@ def sample_sizes(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     sizes = saved(_sized(docs))
-    rows = _placed(sizes, offsets(sizes))
+    rows = _placed(sizes, sizes)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as sample_sizes() counts it; no rows of an empty table."""
-    shares = offsets(saved(_sized(docs)))
-    rows = _placed(_sized(docs, F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole")), shares)
+    rows = _placed(_sized(docs, F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole")), saved(_sized(docs)))
     return rows.where("copies > 0").select("whole", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("whole.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import saved
-from .ranks import ranked
+from .ranks import ranked, salts_of
 
 CAPACITY, END = 1024, 2
 _SPECIAL = "<|endoftext|>"
@@ -124,7 +124,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     counts = {x["length"]: x["n"] for x in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     spark = docs.sparkSession
     ranges = spark.createDataFrame(plan(counts, capacity) or [], "length long, low long, high long, first long, offset long")
-    rows = ranked(pieces.withColumn("level", F.lit(0)), ["length"], "level", [F.col(k) for k in (key, "piece", "start", "ids_crc32")])
+    rows = ranked(pieces.withColumn("level", F.lit(0)), ["length"], "level", [F.col(k) for k in (key, "piece", "start", "ids_crc32")], salts_of(sum(counts.values())))
     # a length has as many ranges as gap sizes at most: a join on the length and the rank's place among the ranges
     starts = ranges.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "first", "offset"))).alias("ranges"))
     rows = rows.join(F.broadcast(starts), "length")

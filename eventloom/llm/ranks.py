@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of one (group, level); a hot group is dealt over that many tasks.
-SALTS = 16
+#: Least number of blocks of one (group, level), and rows of a block if one group had them all.
+SALTS, BLOCK_ROWS = 16, 1 << 16
 
 
-def ranked(rows: DataFrame, group: list[str], level: str, ties: list[Column], salts: int = SALTS) -> DataFrame:
+def salts_of(n: int) -> int:
+    """Blocks that a (group, level) of n rows at most is dealt over: they grow in number, not in size."""
+    return max(SALTS, n // BLOCK_ROWS)
+
+
+def ranked(rows: DataFrame, group: list[str], level: str, ties: list[Column], salts: int) -> DataFrame:
     """rows with `rank` (from 1, long) within each group, in order of level, then of a hash of `ties`, then of `ties`.
 
     Group columns are not null. `level` has a bounded number of values, so a group has a bounded number of blocks.
