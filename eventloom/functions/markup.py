@@ -108,9 +108,14 @@ def page(source: pd.Series) -> pd.DataFrame:
 page = page.asNondeterministic()
 
 
+def lines(p: Column, element: Column) -> Column:
+    """An element's text, blocks in lines of their own."""
+    return F.substr(p["text"], element["a"] + 1, element["b"] - element["a"])
+
+
 def shown(p: Column, element: Column) -> Column:
     """An element's text, white space squeezed."""
-    return squeezed(F.substr(p["text"], element["a"] + 1, element["b"] - element["a"]))
+    return squeezed(lines(p, element))
 
 
 def near(p: Column, element: Column, radius: int) -> Column:

@@ -49,9 +49,14 @@ def reserved(rows: DataFrame, host: str, ord_: str, run: int = 40, per_host: int
     return rows.withColumn("outcome", F.when(F.col("_used") >= run, "run").when(F.col("_fits"), "reserved").otherwise("host")).drop("_fits", "_used")
 
 
+def in_locale_order(links: Column) -> Column:
+    """Addresses in the order of their letters, not of their bytes."""
+    return F.transform(F.array_sort(F.transform(links, lambda x: F.struct(F.collate(x, "UNICODE").alias("k"), x.alias("x")))), lambda x: x["x"])
+
+
 def top_children(links: Column, most: int = 3) -> Column:
     """struct(taken, left): the first links in order, and how many are left over."""
-    ordered = F.array_sort(F.array_distinct(links))
+    ordered = in_locale_order(F.array_distinct(links))
     return F.struct(F.slice(ordered, 1, most).alias("taken"), F.greatest(F.size(ordered) - most, F.lit(0)).alias("left"))
 
 

@@ -138,8 +138,7 @@ def emarathon(pages: DataFrame) -> DataFrame:
 
 def context(radius: int, owner: str = "item") -> Column:
     """The text of the row or item around an element, or else the text around it."""
-    own = of(E_[owner])
-    return F.when(E_[owner].isNotNull(), markup.shown(P_, own)).otherwise(markup.near(P_, E_, radius))
+    return F.when(E_[owner].isNotNull(), markup.lines(P_, of(E_[owner]))).otherwise(markup.near(P_, E_, radius))
 
 
 def maedal(pages: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def maedal(pages: DataFrame) -> DataFrame:
     rows = first_of_each(links(pages, MAEDAL).withColumn("at", E_["at"]).withColumn("k", E_["href"]), ["page_id", "k"], "at")
     own = of(E_["item"])
     label = markup.first(F.when(E_["item"].isNotNull(), F.concat(F.array(own), markup.inside(P_, own))).otherwise(F.array(E_)), lambda x: sized(x["label"], 4, 80).isNotNull())["label"]
-    foreign = F.get(F.filter(F.transform(F.split(context(500), r"\s{2,}|\n"), F.trim), lambda t: F.length(t).between(4, 60) & ~t.rlike("[가-힣]")), F.lit(0))
+    foreign = F.get(F.filter(F.transform(F.split(context(500), r"\n"), lambda t: F.trim(t)), lambda t: F.length(t).between(4, 60) & ~t.rlike("[가-힣]")), F.lit(0))
     return entries(rows, F.coalesce(label, foreign, F.lit("마라톤 대회")), dates.list_date(context(500)), E_["href"])
 
 
@@ -161,11 +160,11 @@ def marathonmoa(pages: DataFrame) -> DataFrame:
     """Anchor cards; in pages without any, items by class."""
     heading = markup.first(markup.inside(P_, E_), lambda x: x["tag"].isin("h2", "h3", "h4"))
     cards = links(pages, MARATHONMOA)
-    first = entries(cards, sized(markup.shown(P_, heading), 4, 100), dates.list_date(F.col("label")), E_["href"], part(F.substr(P_["text"], E_["a"] + 1, E_["b"] - E_["a"]), r"장소\s+([^\n]{2,80})"))
+    first = entries(cards, sized(markup.shown(P_, heading), 4, 100), dates.list_date(F.col("label")), E_["href"], part(markup.lines(P_, E_), r"장소\s+([^\n]{2,80})"))
     items = elements(pages.join(first.select("page_id").distinct(), "page_id", "left_anti")).where(E_["item"] == E_["at"])
     link = markup.first(markup.inside(P_, E_), lambda x: (x["tag"] == "a") & x["href"].isNotNull())
     name = F.coalesce(sized(markup.shown(P_, link), 4, 80), sized(markup.shown(P_, heading), 4, 80))
-    second = entries(items, name, dates.list_date(markup.shown(P_, E_)), link["href"], part(F.substr(P_["text"], E_["a"] + 1, E_["b"] - E_["a"]), PLACE))
+    second = entries(items, name, dates.list_date(markup.shown(P_, E_)), link["href"], part(markup.lines(P_, E_), PLACE))
     return first.unionByName(second)
 
 

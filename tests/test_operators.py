@@ -82,9 +82,15 @@ def step(url, outcome="ok", official=True, children=(), host=None, final=None):
     return {"url": url, "host": host or url, "final": final or url, "outcome": outcome, "official": official, "application": False, "children": list(children), "child_policy": 0}
 
 
+def walked(url, kind, steps):
+    chain = traverse.Chain([url], kind == "application")
+    traverse.fold(iter([(chain, steps)]), 40, 10)
+    return chain.counts, chain.accepted
+
+
 def test_four_children_fetch_one():
     steps = {s["url"]: s for s in (step("s", children="abcd"), *map(step, "abcd"))}
-    counts, accepted = traverse.walk({"url": "s", "kind": "application"}, steps, traverse._Run(40, 10))
+    counts, accepted = walked("s", "application", steps)
     assert (counts["fetched"], counts["depth"], counts["accepted"], accepted) == (2, 3, 1, ["a"])
 
 
@@ -97,9 +103,9 @@ def test_budget_is_shared_in_order(spark):
 
 def test_skips_of_walk():
     steps = {"s": step("s", official=False, children=["s", "b"]), "b": step("b", host="s")}
-    counts, accepted = traverse.walk({"url": "s", "kind": "official"}, steps, traverse._Run(40, 10))
+    counts, accepted = walked("s", "official", steps)
     assert counts["cycle"] == 1 and accepted == ["b"]
-    counts, _ = traverse.walk({"url": "x", "kind": "official"}, {}, traverse._Run(40, 10))
+    counts, _ = walked("x", "official", {})
     assert counts["fetch"] == 1
 
 
