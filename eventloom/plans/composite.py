@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
-from ..operators import dedupe, discover, ordered, resolve, traverse
+from ..functions import dates, text
+from ..operators import chains, collect, dedupe, discover, ordered, resolve, traverse
 from .registry import query, table
 
 AS_OF = "1998-06-15 12:00:00"
@@ -17,8 +17,10 @@ RUN_KEYS = 512
 
 
 def _spread(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders on all cores: one small file is one task, and a page costs far more than its order."""
-    return table(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism)
+    """Orders on all cores: one small file is one task, and a page costs far more than its order. A table of more files, or of
+    larger ones, is read as it lies."""
+    orders, cores = table(spark, sf, "orders"), spark.sparkContext.defaultParallelism
+    return orders.repartition(cores) if orders.rdd.getNumPartitions() < cores else orders
 
 
 def official_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,29 +100,177 @@ def traverse_chains(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.totals(found).select(F.col("seed").alias("chains"), "accepted", "fetched", "identity", "depth")
 
 
-@query()
-def collect_events(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole flow: listings of three sources in order of priority and verified pages, deduplicated, with their status
-    and their place in the calendar's order of a month."""
-    from pyspark.sql import Window
+@query("""
+WITH c AS (SELECT o_orderkey AS k, o_orderkey // 64 AS run, CASE WHEN o_orderkey % 3 = 0 THEN 'shared' ELSE 'h' || o_orderkey END AS host FROM orders),
+h AS (SELECT *, row_number() OVER (PARTITION BY run, host ORDER BY k) <= 10 AS fits FROM c), u AS (SELECT *, coalesce(sum(fits::INT) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
+SELECT run::BIGINT AS run_id, sum((used < 40 AND fits)::INT)::BIGINT AS accepted, sum((used < 40 AND NOT fits)::INT)::BIGINT AS host_budget, sum((used >= 40)::INT)::BIGINT AS run_budget FROM u GROUP BY run""")
+def traverse_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of which a third share a host, in runs of 64 order keys: budgets of 40 fetches a run and 10 a host."""
+    key = F.col("o_orderkey")
+    url, host = F.concat(F.lit("https://h"), key, F.lit(".example.com/")), F.when(key % 3 == 0, "shared").otherwise(F.concat(F.lit("h"), key))
+    step = F.struct(url.alias("url"), host.alias("host"), url.alias("final"), F.lit("ok").alias("outcome"), F.lit(True).alias("official"), F.lit(False).alias("application"), F.array().cast("array<string>").alias("children"), F.lit(0).alias("child_policy"))
+    rows = table(spark, sf, "orders").select(F.floor(key / 64).alias("run_id"), key.alias("ord"), url.alias("chain"), F.lit("official").alias("kind"), F.array(step.cast(traverse.STEP)).alias("steps"))
+    return traverse.traversed(rows).groupBy("run_id").agg(*[F.sum(k).alias(k) for k in ("accepted", "host_budget", "run_budget")])
+
+
+def _text(k: Column, *forms: str) -> Column:
+    """The form of a key's remainder, with {k} and {d} filled in."""
+    return F.get(F.array(*map(F.lit, forms)), (k % len(forms)).cast("int"))
+
+
+def _filled(form: Column, **values: Column) -> Column:
+    for name, value in values.items():
+        form = F.replace(form, F.lit("{" + name + "}"), value.cast("string"))
+    return form
+
+
+def seeded_chains(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(seeds, loaded pages) of orders: an accepted page; an application that leads to one; a page of another date; a page
+    that failed to load; an accepted one without a venue, filled up from a trusted detail; one without a venue at all; one
+    whose evidence has no date."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.date_format(F.add_months("o_orderdate", 360), "yyyy-MM-dd")
+    m = k % 7
+    name, site = F.concat(F.lit("Order Run "), k), F.concat(F.lit("https://www.order"), c, F.lit(".example.com"))
+    url = F.concat(site, F.when(m == 1, F.lit("/entry?id=")).otherwise("/race/"), k)
+    orders = _spread(spark, sf).select(k.alias("k"), c.alias("c"), m.alias("m"), day.alias("day"), name.alias("name"), site.alias("site"), url.alias("url"))
+    trusted = F.when(F.col("m") == 4, F.struct(F.concat(F.lit("https://marathongo.co.kr/raceDetail/domestic/r-"), F.col("k")).alias("source_detail_url"), F.col("day").alias("event_date"), F.lit("Trusted Hall").alias("venue")))
+    none = F.array().cast("array<string>")
+    evidence = F.struct(F.array(F.lit("Something Else 9"), F.col("name")).alias("title_hints"), F.when(F.col("m") == 6, none).otherwise(F.array("day")).alias("date_hints"), none.alias("organizer_hints"))
+    seeds = orders.select("url", F.when(F.col("m") == 1, "application").otherwise("official").alias("kind"), F.lit("marathongo").alias("source_id"), evidence.alias("evidence"), trusted.alias("trusted"), F.col("k").alias("ord"))
+    about = "<h1>{n}</h1><p>대회일시: {d}</p>"
+    form = _text(F.col("k"), about + "<p>장소: Hall {c}</p>", about + '<a href="{s}/race/home-{k}">대회 홈페이지</a>', "<h1>{n}</h1><p>대회일시: 2030-01-01</p><p>장소: Hall</p>", "", about, about, about)
+    fill = {"n": F.col("name"), "d": F.col("day"), "c": F.col("c"), "s": F.col("site"), "k": F.col("k")}
+    loaded = orders.select("url", F.lit(None).cast("string").alias("final_url"), _filled(form, **fill).alias("html"), F.when(F.col("m") == 3, "http-status").alias("reason"))
+    child = orders.where("m = 1").select(F.concat("site", F.lit("/race/home-"), "k").alias("url"), F.lit(None).cast("string").alias("final_url"), _filled(F.lit(about + "<p>장소: Child {c}</p>"), **fill).alias("html"), F.lit(None).cast("string").alias("reason"))
+    return seeds, loaded.unionByName(child)
+
+
+_LATER = "2020-01-01 12:00:00"
+_ENRICHED = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 7 AS m, strftime(o_orderdate + INTERVAL 360 MONTH, '%Y-%m-%d') AS d, 'https://www.order' || o_custkey || '.example.com/' AS s FROM orders),
+r AS (SELECT k, m, 'Order Run ' || k AS name, d AS event_date, CASE m WHEN 0 THEN 'Hall ' || c WHEN 1 THEN 'Child ' || c ELSE 'Trusted Hall' END AS venue, s || CASE WHEN m = 1 THEN 'race/home-' ELSE 'race/' END || k AS application_url,
+CASE WHEN m = 4 THEN 'official-sites,marathongo' ELSE 'official-sites' END AS sources FROM o WHERE m IN (0, 1, 4) AND d >= '2022-01-01')
+"""
+
+
+def _enriched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    seeds, loaded = seeded_chains(spark, sf)
+    run = F.floor(F.col("ord") / RUN_KEYS)
+    return collect.enriched(seeds, loaded, F.lit("2022-01-01"), F.lit(_LATER).cast("timestamp"), run, sys.maxsize, sys.maxsize)
+
+
+@query(_ENRICHED + "SELECT name, event_date, venue, application_url, sources FROM r")
+def enrich_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains joined to their pages and those pages' children, traversed, and turned into records. No run is cut off, as the
+    SQL knows no budget (traverse_budgets has one)."""
+    records, _ = _enriched(spark, sf)
+    return records.select("name", "event_date", "venue", "application_url", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey % 7 AS m FROM orders WHERE o_orderkey % 7 = 6 OR strftime(o_orderdate + INTERVAL 360 MONTH, '%Y-%m-%d') >= '2022-01-01')
+SELECT count(*) AS chains, sum((m IN (0, 1, 4, 5))::INT)::BIGINT AS accepted, sum((m IN (0, 1, 4))::INT)::BIGINT AS recorded, sum(CASE m WHEN 1 THEN 2 WHEN 6 THEN 0 ELSE 1 END)::BIGINT AS fetched, sum((m = 3)::INT)::BIGINT AS fetch,
+sum((m IN (2, 6))::INT)::BIGINT AS identity FROM o""")
+def enrich_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of the chains: accepted pages without a venue give no record, a chain without a dated event is rejected."""
+    _, counts = _enriched(spark, sf)
+    sums = [F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in ("accepted", "recorded", "fetched", "fetch", "identity")]
+    return counts.agg(F.count("*").alias("chains"), *sums)
+
 
+@query(_ENRICHED + """, l AS (SELECT o_orderkey AS k, o_custkey AS c, 'Order Run ' || o_orderkey AS name, strftime(o_orderdate + INTERVAL 360 MONTH, '%Y-%m-%d') AS event_date, 'https://www.order' || o_custkey || '.example.com/race/' || o_orderkey AS u, o_orderkey % 2 AS i FROM orders WHERE o_orderkey % 5 < 2),
+b AS (SELECT coalesce(r.name, l.name) AS name, coalesce(r.event_date, l.event_date) AS event_date, coalesce(r.venue, '미상') AS venue, coalesce(r.application_url, l.u) AS application_url,
+concat_ws(',', r.sources, CASE WHEN l.k IS NOT NULL THEN 'source' || l.i END) AS sources, ((r.k IS NOT NULL)::INT + (l.k IS NOT NULL)::INT)::BIGINT AS members, r.k IS NOT NULL AS verified FROM r FULL JOIN l ON r.k = l.k AND r.m <> 1)
+SELECT left(event_date, 7) AS month, name, event_date, venue, application_url, sources, members, verified, 'unknown' AS status FROM b""")
+def collect_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole flow: pages of chains verified, and listings of two sources, deduplicated, merged and dated. A listed event of
+    an unknown venue is the verified one of its date and name if both have one address."""
     c = F.col
-    none = F.lit(None).cast("string")
-    parts = table(spark, sf, "part").select(c("p_partkey"), "p_name", "p_type", c("p_size"))
-    day = F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), c("p_size") * 7), "yyyy-MM-dd")
-    empty = F.array().cast("array<struct<name:string,price:bigint,price_source:string>>")
-
-    def source(i: int) -> DataFrame:
-        own = parts.where(c("p_partkey") % 3 == i)
-        url = F.concat(F.lit("https://cup"), c("p_size"), F.lit(".example.com/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))))
-        return own.select(
-            c("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.lit("cup")).alias("name"), day.alias("event_date"), F.when(c("p_partkey") % 4 == 0, day).alias("registration_deadline"), F.concat(F.lit("서울 hall "), "p_type").alias("venue"), none.alias("region"), empty.alias("courses"),
-            url.alias("application_url"), none.alias("official_site_url"), none.alias("logo_url"), none.alias("notes"), none.alias("url_scheme"), F.array(F.lit(f"source{i}")).alias("sources"), F.lit(i == 0).alias("verified"), F.lit(AS_OF).cast("timestamp").alias("last_verified"), F.lit("unknown").alias("registration_status"),
-        )
-
-    listed = ordered.in_order(*[source(i) for i in range(3)]).withColumn("ord", c("source_index") * 10**12 + c("key"))
-    done = dedupe.deduplicated(listed, F.lit(AS_OF).cast("timestamp"))
-    status = dates.registration_status(c("registration_deadline"), c("event_date"), F.lit(AS_OF).cast("timestamp"))
-    place = F.row_number().over(Window.partitionBy("month").orderBy("event_date", F.collate("name", "ko"), "ord"))
-    rows = done.withColumn("status", status).withColumn("month", F.left("event_date", F.lit(7)))
-    return rows.select("month", place.alias("place"), "name", "event_date", "venue", "region", "status", F.array_join("sources", ",").alias("sources"), "members")
+    records, _ = _enriched(spark, sf)
+    none, k = F.lit(None).cast("string"), c("o_orderkey")
+    day = F.date_format(F.add_months("o_orderdate", 360), "yyyy-MM-dd")
+    url = F.concat(F.lit("https://www.order"), c("o_custkey"), F.lit(".example.com/race/"), k)
+    listed = table(spark, sf, "orders").where(k % 5 < 2).select(
+        k.alias("ord"), F.concat(F.lit("Order Run "), k).alias("name"), day.alias("event_date"), none.alias("registration_deadline"), F.lit("미상").alias("venue"), none.alias("region"), F.array().cast("array<struct<name:string,price:bigint,price_source:string>>").alias("courses"),
+        url.alias("application_url"), none.alias("official_site_url"), none.alias("logo_url"), none.alias("notes"), none.alias("url_scheme"), F.array(F.concat(F.lit("source"), k % 2)).alias("sources"), F.lit(False).alias("verified"), F.lit(None).cast("timestamp").alias("last_verified"), F.lit("unknown").alias("registration_status"),
+    )
+    done = collect.collected(listed, records.drop("chain"), F.lit(_LATER).cast("timestamp"))
+    status = dates.registration_status(c("registration_deadline"), c("event_date"), F.lit(_LATER).cast("timestamp"))
+    return done.select("month", "name", "event_date", "venue", "application_url", F.array_join("sources", ",").alias("sources"), "members", "verified", status.alias("status"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS m, o_custkey AS c FROM orders)
+SELECT k AS page_id, 'https://img' || c || '.example.com/' || CASE m WHEN 0 THEN 'logo' WHEN 1 THEN 'race-logo' ELSE 'mark' END || '-' || k || '.png' AS logo FROM o WHERE m < 3 UNION ALL SELECT k, NULL FROM o WHERE m >= 3""")
+def logo_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """An event's logo: of structured data, of an image there that says so, of a marked image in its card; none where two
+    differ, or where the address isn't safe."""
+    from ..functions import html, urls
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name, day = F.concat(F.lit("Order Run "), k, F.lit(" Cup")), F.date_format("o_orderdate", "yyyy-MM-dd")
+    data = '<script type="application/ld+json">{"@graph":[[{"@type":"SportsEvent","name":"{n}","startDate":"{d}",%s}]]}</script>'
+    form = _text(
+        k, data % '"logo":{"@type":"ImageObject","contentUrl":"https://img{c}.example.com/logo-{k}.png"},"image":"https://img{c}.example.com/logo-other.png"', data % '"image":"https://img{c}.example.com/race-logo-{k}.png"',
+        '<article><h3>{n}</h3><p>{d}</p><img src="https://img{c}.example.com/mark-{k}.png" alt="{n} 로고"></article>', (data % '"logo":"https://img{c}.example.com/a-{k}.png"') + (data % '"logo":"https://img{c}.example.com/b-{k}.png"'),
+        data % '"logo":"https://img{c}.example.com/favicon.png"',
+    )
+    pages = _spread(spark, sf).select(k.alias("page_id"), name.alias("name"), day.alias("event_date"), _filled(form, n=name, d=day, c=c, k=k).alias("html"))
+    rows = pages.withColumn("facts", html.page_facts("html")).withColumn("records", discover.records(F.col("facts.scripts")))
+    rows = resolve.logos(rows.withColumn("candidates", resolve.logo_candidates(F.col("facts"), F.col("records"))), ["page_id"])
+    return rows.select("page_id", urls.safe_logo(F.col("raw"), urls.url(F.col("raw"))).alias("logo"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 6 = 0 AS valid FROM orders""")
+def valid_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with one fault each, or none: an empty name, no such day, a foreign course, no source, an address that isn't safe."""
+    from ..functions import urls
+
+    k = F.col("o_orderkey")
+    m = k % 6
+    course = F.struct(F.when(m == 3, "21K").otherwise("하프").alias("name"), F.lit(50000).cast("bigint").alias("price"), F.lit("page").alias("price_source"))
+    site = F.concat(F.lit("https://www.order"), F.col("o_custkey"), F.lit(".example.com/race/"), k)
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(m == 1, "").otherwise("Run").alias("name"), F.when(m == 2, "2026-02-30").otherwise("2026-02-28").alias("event_date"), F.lit(None).cast("string").alias("registration_deadline"), F.lit("Hall").alias("venue"),
+        F.array(course).alias("courses"), F.when(m == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("official-sites"))).alias("sources"), F.when(m == 5, "http://127.0.0.1/race/1").otherwise(site).alias("application_url"),
+        site.alias("official_site_url"), F.lit("open").alias("registration_status"),
+    )
+    return rows.select("o_orderkey", resolve.is_valid(urls.url(F.col("application_url")), urls.url(F.col("official_site_url"))).alias("valid"))
+
+
+@query("""
+SELECT p_partkey, count(*) AS aliases, count(DISTINCT v)::BIGINT AS venues FROM (SELECT p_partkey, unnest([0, 1, 2]) AS v FROM part) GROUP BY p_partkey""")
+def alias_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part listed three times, at venues written in three ways: all keys lead to that of the first record."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(k, F.explode(F.array(*map(F.lit, range(3)))).alias("v"))
+    venue = F.concat(F.get(F.array(F.lit("Hall"), F.lit("Hall of"), F.lit("Hall of the")), F.col("v")), F.lit(" number "), k)
+    rows = rows.select("p_partkey", F.concat(F.lit("Alias Cup "), k).alias("name"), F.lit("2026-05-03").alias("event_date"), venue.alias("venue"), F.col("v"), (k * 3).alias("anchor"), (k * 3 + F.col("v")).alias("ord"))
+    records = rows.where("v = 0").select("name", "event_date", "venue", "ord", "p_partkey")
+    key = lambda df: text.dedup_key(df["name"], df["event_date"], df["venue"])
+    found = dedupe.aliases(rows, records).join(records.select(key(records).alias("key"), "p_partkey"), "key")
+    return found.groupBy("p_partkey").agg(F.count("*").alias("aliases"), F.count_distinct("alias").alias("venues"))
+
+
+@query("""
+SELECT o_orderkey, ['접수 중', '마감 임박', '접수 마감', '정보 확인 필요'][o_orderkey % 4 + 1] AS status, CASE WHEN o_orderkey % 3 = 0 THEN '코스 미정' ELSE '하프 · 5K' END AS courses FROM orders""")
+def display_labels(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.get(F.array(*map(F.lit, ("open", "closing-soon", "closed", "other"))), (k % 4).cast("int"))
+    course = lambda n: F.struct(F.lit(n).alias("name"))
+    courses = F.when(k % 3 == 0, F.slice(F.array(course("하프")), 1, 0)).otherwise(F.array(course("하프"), course("5K")))
+    return table(spark, sf, "orders").select("o_orderkey", text.lookup(status, text.STATUS_LABELS, text.STATUS_LABELS["unknown"]).alias("status"), text.courses_label(courses).alias("courses"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS m, o_custkey AS c FROM orders), e AS (SELECT k, c, unnest([1, 2]) AS j, m FROM o)
+SELECT k AS chain, 'Title ' || j || ' of ' || k AS name, (2 - j)::INTEGER AS turn FROM e WHERE m <> 0 UNION ALL SELECT k, 'Only ' || k, 0 FROM o WHERE m = 1""")
+def expected_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that chains may be about: of each dated evidence its titles, the last first."""
+    k = F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    both = F.struct(F.array(F.concat(F.lit("Title 1 of "), k), F.concat(F.lit("Title 2 of "), k)).alias("title_hints"), F.when(k % 3 == 0, none).otherwise(F.array(F.lit("bad"), F.lit("2026-05-03"))).alias("date_hints"), none.alias("organizer_hints"))
+    one = F.struct(F.array(F.concat(F.lit("Only "), k), F.lit(" ")).alias("title_hints"), F.when(k % 3 == 1, F.array(F.lit("2026-06-07"))).otherwise(none).alias("date_hints"), none.alias("organizer_hints"))
+    found = chains.expected(table(spark, sf, "orders").select(k.alias("chain"), F.array(both, one).alias("evidence")))
+    return found.select("chain", "name", F.when(F.col("name").startswith("Only"), 0).otherwise(F.col("at.j")).alias("turn"))

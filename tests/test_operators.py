@@ -127,7 +127,8 @@ def test_trusted_details_conflict(spark):
 def test_logos(spark):
     kinds = [("logo", "u1", "서울하프마라톤", "2026-05-01", "서울하프마라톤"), ("image", "u2", "서울하프마라톤", "2026-05-01", "서울하프마라톤"), ("logo", "u3", "다른 대회 이름", "2026-05-01", "다른 대회 이름")]
     rows = spark.createDataFrame([(kinds,), ([kinds[0], ("logo", "u9", *kinds[0][2:])],)], "c array<struct<kind:string,raw:string,name:string,date:string,evidence:string>>")
-    assert [r.v for r in rows.select(resolve.logo_of(F.col("c"), F.lit("2026 서울하프마라톤"), F.lit("2026-05-01")).alias("v")).collect()] == ["u1", None]
+    rows = rows.withColumnRenamed("c", "candidates").withColumns({"k": F.monotonically_increasing_id(), "name": F.lit("2026 서울하프마라톤"), "event_date": F.lit("2026-05-01")})
+    assert [r.raw for r in resolve.logos(rows, ["k"]).orderBy("k").collect()] == ["u1", None]
 
 
 @pytest.fixture()
