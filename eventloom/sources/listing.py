@@ -24,8 +24,15 @@ TITLE_NOTES = [r"\A(?:텍스트|파일첨부)\s*", r"(?i)\A\[(?:full|half|10k|5k
 KOREAN_DATE = r"(20\d{2})[.\-/년\s]+(\d{1,2})[.\-/월\s]+(\d{1,2})(?:일)?"
 PLACE = r"(?i)(?:장소명|장소|지역명|지역|위치)[^:：]{0,10}[:：]\s*([^\n]{2,30})"
 
-E_ = F.col("e")
-P_ = F.col("p")
+
+def E_() -> Column:  # noqa: N802
+    """The element of a row."""
+    return F.col("e")
+
+
+def P_() -> Column:  # noqa: N802
+    """The page of a row."""
+    return F.col("p")
 
 
 def elements(pages: DataFrame) -> DataFrame:
@@ -35,8 +42,8 @@ def elements(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame, path: str = "") -> DataFrame:
     """One row a link whose address is of the form `path`, with label, its text."""
-    rows = elements(pages).where((E_["tag"] == "a") & E_["href"].isNotNull() & (E_["href"] != ""))
-    return (rows.where(E_["href"].rlike(path)) if path else rows).withColumn("label", markup.shown(P_, E_))
+    rows = elements(pages).where((E_()["tag"] == "a") & E_()["href"].isNotNull() & (E_()["href"] != ""))
+    return (rows.where(E_()["href"].rlike(path)) if path else rows).withColumn("label", markup.shown(P_(), E_()))
 
 
 def of(place: Column) -> Column:
@@ -56,7 +63,7 @@ def sized(c: Column, least: int, most: int) -> Column:
 def entries(rows: DataFrame, name: Column, date: Column, detail: Column, venue: Column | None = None, at: Column | None = None) -> DataFrame:
     """Rows that have a name and a date."""
     place = F.coalesce(venue if venue is not None else F.lit(None), F.lit(text.UNKNOWN_VENUE))
-    out = rows.select("page_id", (E_["at"] if at is None else at).alias("at"), name.alias("name"), date.alias("event_date"), place.alias("venue"), detail.alias("detail"))
+    out = rows.select("page_id", (E_()["at"] if at is None else at).alias("at"), name.alias("name"), date.alias("event_date"), place.alias("venue"), detail.alias("detail"))
     return out.where("name is not null and event_date is not null")
 
 
@@ -73,13 +80,13 @@ def value(path: str) -> Column:
 def gorunning(pages: DataFrame) -> DataFrame:
     """Rows below dated headings, which give them their date; in a page without any, rows with a date of their own; without
     those, bare links, undated."""
-    heading = part(E_["id"], r"\Arace-(\d{4}-\d{2}-\d{2})\z")
+    heading = part(E_()["id"], r"\Arace-(\d{4}-\d{2}-\d{2})\z")
     # the last heading before each element: places are kept with the dates, and the page's text isn't sorted
     parsed = pages.select("page_id", markup.page("html").alias("p"))
     tr = F.col("p.elements")
     rows = parsed.select("page_id", "p", F.posexplode(F.filter(tr, lambda e: e["id"].rlike(r"\Arace-\d{4}-\d{2}-\d{2}\z") | (e["tag"] == "a") & e["href"].rlike(GORUNNING_ANY))).alias("k", "e"))
-    row_text = F.when(E_["row"].isNotNull(), markup.shown(P_, of(E_["row"])))
-    rows = rows.select("page_id", E_["at"].alias("at"), E_["href"].alias("detail"), E_["row"].alias("row"), heading.alias("heading"), markup.shown(P_, E_).alias("name"), part(row_text, r"(\d{4}-\d{2}-\d{2})").alias("own"))
+    row_text = F.when(E_()["row"].isNotNull(), markup.shown(P_(), of(E_()["row"])))
+    rows = rows.select("page_id", E_()["at"].alias("at"), E_()["href"].alias("detail"), E_()["row"].alias("row"), heading.alias("heading"), markup.shown(P_(), E_()).alias("name"), part(row_text, r"(\d{4}-\d{2}-\d{2})").alias("own"))
     before = Window.partitionBy("page_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("dated", F.last("heading", True).over(before)).where("detail is not null")
     kind = (
@@ -97,10 +104,10 @@ def gorunning(pages: DataFrame) -> DataFrame:
 
 def marathongo(pages: DataFrame) -> DataFrame:
     """Cards inside the main element, the first of each address; with organizer."""
-    rows = links(pages).where(E_["main"] & ~E_["aside"]).withColumn("path", F.regexp_replace(E_["href"], r"\Ahttps://marathongo\.co\.kr", "")).where(F.col("path").rlike(MARATHONGO))
-    named = lambda *words: F.coalesce(*[text.nothing(markup.shown(P_, markup.first(markup.inside(P_, E_), lambda x: markup.has_word(x, w)))) for w in words])
+    rows = links(pages).where(E_()["main"] & ~E_()["aside"]).withColumn("path", F.regexp_replace(E_()["href"], r"\Ahttps://marathongo\.co\.kr", "")).where(F.col("path").rlike(MARATHONGO))
+    named = lambda *words: F.coalesce(*[text.nothing(markup.shown(P_(), markup.first(markup.inside(P_(), E_()), lambda x: markup.has_word(x, w)))) for w in words])
     name = F.coalesce(named("race-title", "event-name", "title"), text.nothing(text.squeezed(F.regexp_replace("label", KOREAN_DATE, " "))))
-    out = rows.select("page_id", E_["at"].alias("at"), name.alias("name"), dates.padded(F.col("label"), KOREAN_DATE).alias("event_date"), F.lit(text.UNKNOWN_VENUE).alias("venue"), F.col("path").alias("detail"), named("organizer", "host").alias("organizer"))
+    out = rows.select("page_id", E_()["at"].alias("at"), name.alias("name"), dates.padded(F.col("label"), KOREAN_DATE).alias("event_date"), F.lit(text.UNKNOWN_VENUE).alias("venue"), F.col("path").alias("detail"), named("organizer", "host").alias("organizer"))
     return first_of_each(out.where("name is not null and event_date is not null"), ["page_id", "detail"], "at")
 
 
@@ -114,57 +121,57 @@ def kormarathon(pages: DataFrame) -> DataFrame:
     data = calls.withColumn("d", F.try_parse_json(F.regexp_extract("s.text", r'(?s)self\.__next_f\.push\((\[1,".*"\])\)', 1))).withColumn("d", F.try_variant_get("d", "$[1]", "string"))
     field = lambda k, form: part(F.col("d"), rf'"{k}":"({form})"')
     second = entries(data.where("d is not null"), field("name", '[^"]{4,80}'), field("date", r"\d{4}-\d{2}-\d{2}"), F.concat(F.lit("/ko/race/"), field("id", '[^"]+')), at=F.col("at"))
-    card = elements(pages).where((E_["tag"] == "div") & F.contains("e.cls", F.lit("race")))
-    heading = markup.first(markup.inside(P_, E_), lambda x: x["tag"].isin("h2", "h3"))
-    third = entries(card, text.nothing(markup.shown(P_, heading)), dates.list_date(markup.shown(P_, E_)), F.lit(None).cast("string"))
+    card = elements(pages).where((E_()["tag"] == "div") & F.contains("e.cls", F.lit("race")))
+    heading = markup.first(markup.inside(P_(), E_()), lambda x: x["tag"].isin("h2", "h3"))
+    third = entries(card, text.nothing(markup.shown(P_(), heading)), dates.list_date(markup.shown(P_(), E_())), F.lit(None).cast("string"))
     return first.unionByName(second).unionByName(third)
 
 
 def emarathon(pages: DataFrame) -> DataFrame:
     """Rows by class that hold no such row; the title is the gallery's or the link's text, without notes and course marks."""
     named = lambda x: x["tag"].isin("tr", "li", "div") & F.coalesce(x["cls"], F.lit("")).rlike("(?i)race|event|item|col-sm-12")
-    rows = elements(pages).where(named(E_)).where(~F.exists(markup.inside(P_, E_), named))
-    link = markup.first(markup.inside(P_, E_), lambda x: (x["tag"] == "a") & x["href"].isNotNull())
-    gallery = markup.first(markup.inside(P_, E_), lambda x: F.contains(x["cls"], F.lit("fz_gallery_title")))
-    content = markup.first(markup.inside(P_, E_), lambda x: F.contains(x["cls"], F.lit("fz_gallery_content")))
-    title = text.squeezed(F.substr(P_["text"], gallery["a"] + 1, F.least(gallery["b"], F.coalesce(content["a"], gallery["b"])) - gallery["a"]))
-    name = F.coalesce(text.nothing(title), text.nothing(markup.shown(P_, link)))
+    rows = elements(pages).where(named(E_())).where(~F.exists(markup.inside(P_(), E_()), named))
+    link = markup.first(markup.inside(P_(), E_()), lambda x: (x["tag"] == "a") & x["href"].isNotNull())
+    gallery = markup.first(markup.inside(P_(), E_()), lambda x: F.contains(x["cls"], F.lit("fz_gallery_title")))
+    content = markup.first(markup.inside(P_(), E_()), lambda x: F.contains(x["cls"], F.lit("fz_gallery_content")))
+    title = text.squeezed(F.substr(P_()["text"], gallery["a"] + 1, F.least(gallery["b"], F.coalesce(content["a"], gallery["b"])) - gallery["a"]))
+    name = F.coalesce(text.nothing(title), text.nothing(markup.shown(P_(), link)))
     for note in TITLE_NOTES:
         name = F.regexp_replace(name, note, "")
-    whole = markup.shown(P_, E_)
+    whole = markup.shown(P_(), E_())
     day = F.coalesce(dates.list_date(whole), dates.padded(whole, r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"))
     return entries(rows, name, day, link["href"])
 
 
 def context(radius: int, owner: str = "item") -> Column:
     """The text of the row or item around an element, or else the text around it."""
-    return F.when(E_[owner].isNotNull(), markup.lines(P_, of(E_[owner]))).otherwise(markup.near(P_, E_, radius))
+    return F.when(E_()[owner].isNotNull(), markup.lines(P_(), of(E_()[owner]))).otherwise(markup.near(P_(), E_(), radius))
 
 
 def maedal(pages: DataFrame) -> DataFrame:
     """Links to events, each once, named by what their item, or the text around, says."""
-    rows = first_of_each(links(pages, MAEDAL).withColumn("at", E_["at"]).withColumn("k", E_["href"]), ["page_id", "k"], "at")
-    own = of(E_["item"])
-    label = markup.first(F.when(E_["item"].isNotNull(), F.concat(F.array(own), markup.inside(P_, own))).otherwise(F.array(E_)), lambda x: sized(x["label"], 4, 80).isNotNull())["label"]
+    rows = first_of_each(links(pages, MAEDAL).withColumn("at", E_()["at"]).withColumn("k", E_()["href"]), ["page_id", "k"], "at")
+    own = of(E_()["item"])
+    label = markup.first(F.when(E_()["item"].isNotNull(), F.concat(F.array(own), markup.inside(P_(), own))).otherwise(F.array(E_())), lambda x: sized(x["label"], 4, 80).isNotNull())["label"]
     foreign = F.get(F.filter(F.transform(F.split(context(500), r"\n"), lambda t: F.trim(t)), lambda t: F.length(t).between(4, 60) & ~t.rlike("[가-힣]")), F.lit(0))
-    return entries(rows, F.coalesce(label, foreign, F.lit("마라톤 대회")), dates.list_date(context(500)), E_["href"])
+    return entries(rows, F.coalesce(label, foreign, F.lit("마라톤 대회")), dates.list_date(context(500)), E_()["href"])
 
 
 def kaaf(pages: DataFrame) -> DataFrame:
     """Links whose text is an event's and no label, dated by their table row or the text around."""
     rows = links(pages, r"\.asp").where(F.length("label").between(4, 80) & F.col("label").rlike(EVENT_WORDS) & ~F.col("label").rlike(SITE_LABEL))
-    return entries(rows, F.col("label"), dates.list_date(context(500, "row")), E_["href"])
+    return entries(rows, F.col("label"), dates.list_date(context(500, "row")), E_()["href"])
 
 
 def marathonmoa(pages: DataFrame) -> DataFrame:
     """Anchor cards; in pages without any, items by class."""
-    heading = markup.first(markup.inside(P_, E_), lambda x: x["tag"].isin("h2", "h3", "h4"))
+    heading = markup.first(markup.inside(P_(), E_()), lambda x: x["tag"].isin("h2", "h3", "h4"))
     cards = links(pages, MARATHONMOA)
-    first = entries(cards, sized(markup.shown(P_, heading), 4, 100), dates.list_date(F.col("label")), E_["href"], part(markup.lines(P_, E_), r"장소\s+([^\n]{2,80})"))
-    items = elements(pages.join(first.select("page_id").distinct(), "page_id", "left_anti")).where(E_["item"] == E_["at"])
-    link = markup.first(markup.inside(P_, E_), lambda x: (x["tag"] == "a") & x["href"].isNotNull())
-    name = F.coalesce(sized(markup.shown(P_, link), 4, 80), sized(markup.shown(P_, heading), 4, 80))
-    second = entries(items, name, dates.list_date(markup.shown(P_, E_)), link["href"], part(markup.lines(P_, E_), PLACE))
+    first = entries(cards, sized(markup.shown(P_(), heading), 4, 100), dates.list_date(F.col("label")), E_()["href"], part(markup.lines(P_(), E_()), r"장소\s+([^\n]{2,80})"))
+    items = elements(pages.join(first.select("page_id").distinct(), "page_id", "left_anti")).where(E_()["item"] == E_()["at"])
+    link = markup.first(markup.inside(P_(), E_()), lambda x: (x["tag"] == "a") & x["href"].isNotNull())
+    name = F.coalesce(sized(markup.shown(P_(), link), 4, 80), sized(markup.shown(P_(), heading), 4, 80))
+    second = entries(items, name, dates.list_date(markup.shown(P_(), E_())), link["href"], part(markup.lines(P_(), E_()), PLACE))
     return first.unionByName(second)
 
 
@@ -173,15 +180,15 @@ def runningmap(pages: DataFrame) -> DataFrame:
     items = structured(pages).select("page_id", "at", F.explode(F.try_variant_get("v", "$.itemListElement", "array<variant>")).alias("v"))
     name = F.trim(value("$.item.name"))
     first = entries(items, F.when(F.length(name) > 2, name), part(value("$.item.startDate"), r"\A(\d{4}-\d{2}-\d{2})"), value("$.url"), value("$.item.location.name"), F.col("at"))
-    around = markup.near(P_, E_, 300)
-    second = entries(links(pages, "race|event|마라톤"), sized(F.col("label"), 3, 80), dates.list_date(around), E_["href"], part(around, PLACE))
+    around = markup.near(P_(), E_(), 300)
+    second = entries(links(pages, "race|event|마라톤"), sized(F.col("label"), 3, 80), dates.list_date(around), E_()["href"], part(around, PLACE))
     return first.unionByName(second)
 
 
 def marathonmate(pages: DataFrame) -> DataFrame:
     """Links to races whose text is an event's, dated by their item or the text around."""
     rows = links(pages, "/race/").where(F.col("label").rlike("(?i)마라톤|marathon|run"))
-    return entries(rows, sized(F.col("label"), 3, 80), dates.list_date(context(300)), E_["href"])
+    return entries(rows, sized(F.col("label"), 3, 80), dates.list_date(context(300)), E_()["href"])
 
 
 def registration_links(html: Column) -> Column:
