@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, sig array<long>"))
     known = rows.where("n_shingles > 0 and doc_id is not null")
-    sets = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # a table, so that a hot set's rows meet its representative in a join of two shuffles, which Spark splits
+    sets = saved(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     member = saved(rows.select("doc_id", "n_shingles", "s1", "s2").join(sets, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep"))
     reps = sets.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2")
     signed = saved(known.join(reps, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "s1", "s2"]))

@@ -188,6 +188,18 @@ def test_packing(docs, empty):
     assert packing.packed(empty, TOKENIZER).count() == 0
 
 
+def best_fit(lengths):
+    """Best fit, longest first, one document at a time: what each sequence has left."""
+    bins = []
+    for length in sorted(lengths, reverse=True):
+        fits = [(g, k) for k, g in enumerate(bins) if g >= length]
+        if fits:
+            bins[min(fits)[1]] -= length
+        else:
+            bins.append(1024 - length)
+    return bins
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan(seed):
     r = random.Random(seed)
@@ -200,13 +212,7 @@ def test_packing_plan(seed):
             assert gaps[s] <= 1024
         places += high - low
     assert places == sum(counts.values())
-    bins = []  # best fit, longest first, one document at a time
-    for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
-        fits = [(g, k) for k, g in enumerate(bins) if g >= length]
-        if fits:
-            bins[min(fits)[1]] -= length
-        else:
-            bins.append(1024 - length)
+    bins = best_fit(n for n, c in counts.items() for _ in range(c))
     assert len(gaps) <= len(bins) * 1.01 + 1
 
 
@@ -431,6 +437,79 @@ def test_pipeline(docs, spark):
     assert stages["best_fit_packing"](spark, docs, "").select("sequence_id", "offset").distinct().count() > 0
 
 
+def test_empty_stages(empty, spark):
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, empty, "")
+        assert left.count() == 0 and (name == "best_fit_packing" or left.columns == empty.columns), name
+
+
+def test_pipeline_run(spark):
+    """The whole pipeline on the smallest tables: rejected documents, copies and repeats are gone, and sequences are gapless."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    lettered = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    got = corpus_pipeline.run(spark, sf).collect()
+    sets = {i: each[0] for i, each in sets_of(lettered).items()}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert {r.doc_id for r in got} <= {i for i, c in label.items() if i == c}
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(places) <= len(best_fit(r.length for r in got)) * 1.01 + 1
+
+
+@pytest.mark.parametrize(("name", "column", "label", "least"), [("op8_quality", "predicted", "quality", 0.95), ("op9_language_id", "lang_pred", "lang", 0.98)])
+def test_held_out_accuracy(spark, name, column, label, least):
+    """Of the documents that aren't learned from, on the given tables."""
+    from eventloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf}/{'labels' if label == 'quality' else 'documents'}.parquet").where(f"{label} is not null").select("doc_id", label)
+    rows = queries.QUERIES[name](spark, sf).where("held_out").join(truth, "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r[column] == r[label] for r in rows]) >= least
+
+
+def test_ftrl_by_hand():
+    """One feature, step by step, by the rule of the update; and scores as sparse dot products."""
+    rows, labels = [np.array([3, 3, 5]), np.array([5])], np.array([1.0, 0.0])
+    w, bias = quality.ftrl(rows, labels, epochs=2)
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * quality.L1) / ((quality.BETA + np.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for own, y in zip(rows, labels, strict=True):
+            x = {int(k): quality.SCALE * int((own == k).sum()) / len(own) for k in set(own.tolist())} | {-1: 1.0}
+            p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v, old in [(k, v, weight(k)) for k, v in x.items()]:
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - (np.sqrt(n.get(k, 0.0) + g * g) - np.sqrt(n.get(k, 0.0))) / quality.ALPHA * old
+                n[k] = n.get(k, 0.0) + g * g
+    assert np.isclose(w[3], weight(3)) and np.isclose(w[5], weight(5)) and np.isclose(bias, weight(-1)) and np.count_nonzero(w) == 2
+    text = "one two two !! Three".encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    index, first = quality.features(data, at)
+    r = np.random.default_rng(2).normal(size=1 << quality.BITS)
+    assert first[-1] == len(index) == 5 + 4 + 2
+    assert np.isclose(quality.scores(data, at, r, 0.25)[0], 1 / (1 + np.exp(-(0.25 + quality.SCALE * r[index].mean()))))
+
+
 def test_pipeline_copies(spark):
     """The stage's copies are those of a similarity of 0.8 or more, by brute force."""
     texts = []
