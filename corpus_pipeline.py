@@ -16,7 +16,8 @@ SIMILARITY = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null texts and texts without a letter go."""
+    """Documents whose text has a language: null texts and texts without a letter go. Rows stand for themselves, repeated
+    ones too; of an empty table, or without a labelled row to learn from, none stay."""
     model = langid.train(docs.where(langid.TRAINING), VOCABULARY)
     whole = docs.select(F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("whole"), "text")
     return langid.predict(whole, model, "whole").where(F.col("lang_pred") != langid.UNKNOWN).select("whole.*")
@@ -32,9 +33,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 bytes or more that documents of smaller doc_id hold too."""
+    """All documents, without the passages of 50 bytes or more that documents of smaller doc_id hold too; n_chars, where there
+    is such a column, follows the text."""
     left = repeats.remove_repeats(docs, with_text=True)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left if "n_chars" not in docs.columns else left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
