@@ -11,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# Workers are used again by later stages: what a task has freed goes back to the system, not to a pool of its own.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that one numpy step holds; a longer text is one step of its own.
 CHUNK = 1 << 20
 U64 = np.uint64
@@ -31,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows of df as a table in the shared folder: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -323,7 +323,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     kinds = [f"{k} {pages.schema[k].dataType.simpleString()}" for k in ("page_id", "url")]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"), host.alias("host"), "html")
-    rows = saved(rows.mapInArrow(_parsed, ", ".join([*kinds, _ROWS])))
+    rows = saved(rows.mapInArrow(_parsed, ", ".join([*kinds, _ROWS])), "zstd")
     # hosts of several pages of different text; others repeat nothing
     sizes = saved(rows.where("size(blocks) > 0").groupBy("host").agg(F.count_distinct("page").alias("n")).where("n > 1"))
     share = lambda one_of: F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") / one_of))

@@ -151,7 +151,7 @@ def _stretches(parts: int, length: int):
             wanted = np.concatenate([np.frombuffer(x, U64) for x in asked.column("anchors").to_pylist()])
             hits = np.flatnonzero(member(g.hash, wanted))
             number: dict[bytes, int] = {}
-            which = np.array([number.setdefault(g.text(i), len(number)) for i in hits.tolist()], np.int64)
+            which = np.fromiter((number.setdefault(g.text(i), len(number)) for i in hits.tolist()), np.int64, len(hits))
             docs, n = g.ids[g.row[hits]], len(number)
             low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, NO_ID)
             np.minimum.at(low, which, docs)
