@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,12 +155,13 @@ def fit(texts: list[bytes], weight: np.ndarray, pieces: Pieces) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     by_size = np.argsort(starts - ends, kind="stable")
-    lattices = [(own, Lattice(data, starts[own], ends[own], pieces)) for own in (by_size[i : i + BLOCK] for i in range(0, len(texts), BLOCK))]
     p = np.ones((pieces.n, weight.shape[1])) / pieces.n
     for _ in range(ROUNDS):
         count = np.full_like(p, SMOOTH)
-        for own, lattice in lattices:
-            count += lattice.expected(p, weight[own])
+        # made anew each round: all lattices at once would take hundreds of megabytes
+        for i in range(0, len(texts), BLOCK):
+            own = by_size[i : i + BLOCK]
+            count += Lattice(data, starts[own], ends[own], pieces).expected(p, weight[own])
         p = count / count.sum(0)
     return p
 
@@ -212,15 +214,17 @@ def train(labelled: DataFrame, vocabulary: str) -> Model:
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_TEXTS / n))])[F.col("lang")]
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
     found = sample.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(sizes)
-    place, number = {lang: k for k, lang in enumerate(languages)}, {}
     # in order of the words, so that reruns add up in the same order
-    rows = sorted(zip(found.column("word").to_pylist(), found.column("lang").to_pylist(), found.column("n").to_pylist(), strict=True))
-    which = [(number.setdefault(w, len(number)), place[lang], n) for w, lang, n in rows]
-    weight = np.zeros((len(number), len(languages)))
-    for w, k, n in which:
-        weight[w, k] = n
-    return Model(languages, pieces, fit(list(number), weight, pieces))
+    found = found.sort_by([("word", "ascending"), ("lang", "ascending")]).combine_chunks()
+    word, lang = (pc.dictionary_encode(found.column(k).combine_chunks()) for k in ("word", "lang"))
+    word, lang = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (word, lang))
+    languages = sorted(sizes)
+    place = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    weight = np.zeros((len(word.dictionary), len(languages)), np.float32)
+    weight[word.indices.to_numpy(), place[lang.indices.to_numpy()] if len(place) else []] = found.column("n").to_numpy()
+    texts = word.dictionary.to_pylist()
+    del found, word, lang
+    return Model(languages, pieces, fit(texts, weight, pieces))
 
 
 def lettered(text: bytes) -> bool:
