@@ -179,13 +179,25 @@ def enrich_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.agg(F.count("*").alias("chains"), *sums)
 
 
-@query(_ENRICHED + """, l AS (SELECT o_orderkey AS k, o_custkey AS c, 'Order Run ' || o_orderkey AS name, strftime(o_orderdate + INTERVAL 360 MONTH, '%Y-%m-%d') AS event_date, 'https://www.order' || o_custkey || '.example.com/race/' || o_orderkey AS u, o_orderkey % 2 AS i FROM orders WHERE o_orderkey % 5 < 2),
-b AS (SELECT coalesce(r.name, l.name) AS name, coalesce(r.event_date, l.event_date) AS event_date, coalesce(r.venue, '미상') AS venue, coalesce(r.application_url, l.u) AS application_url,
-concat_ws(',', r.sources, CASE WHEN l.k IS NOT NULL THEN 'source' || l.i END) AS sources, ((r.k IS NOT NULL)::INT + (l.k IS NOT NULL)::INT)::BIGINT AS members, r.k IS NOT NULL AS verified FROM r FULL JOIN l ON r.k = l.k AND r.m <> 1)
-SELECT left(event_date, 7) AS month, name, event_date, venue, application_url, sources, members, verified, 'unknown' AS status FROM b""")
+@query("WITH RECURSIVE" + _ENRICHED.replace("WITH", "", 1) + """, e AS (SELECT 0 AS i, r.k, r.m, o.c, name, event_date, venue, application_url, sources, true AS verified FROM r JOIN o ON r.k = o.k UNION ALL
+SELECT 1, k, m, c, 'Order Run ' || k, d, '미상', 'https://www.order' || c || '.example.com/race/' || k, 'source' || k % 2, false FROM o WHERE k % 5 < 2),
+n AS (SELECT *, 'order' || regexp_replace(k::VARCHAR, '20[0-9]{2}', '', 'g') AS x, lower(replace(venue, ' ', '')) AS v,
+row_number() OVER (PARTITION BY event_date, c ORDER BY i, i = 0 AND m <> 1, CASE i WHEN 0 THEN k::VARCHAR END, k) AS p FROM e),
+g AS (SELECT *, list_distinct([x[j:j+1] for j in range(1, length(x))]) AS gx, list_distinct([v[j:j+1] for j in range(1, length(v))]) AS gv FROM n),
+s AS (SELECT b.event_date, b.c, b.p, a.p AS q, a.k = b.k AND a.application_url = b.application_url AS same, len(list_intersect(a.gx, b.gx)) / len(list_distinct(a.gx || b.gx)) AS names,
+len(list_intersect(a.gv, b.gv)) / len(list_distinct(a.gv || b.gv)) AS venues FROM g b JOIN g a ON a.event_date = b.event_date AND a.c = b.c AND a.p < b.p),
+near AS (SELECT event_date, c, p, list(q) AS near FROM s WHERE same OR names >= 0.5 AND venues >= 0.35 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(near, []) AS near FROM n LEFT JOIN near USING (event_date, c, p)),
+w AS (SELECT event_date, c, p, p AS anchor, [p] AS anchors FROM f WHERE p = 1 UNION ALL
+SELECT f.event_date, f.c, f.p, coalesce(list_min(list_intersect(near, anchors)), f.p), CASE WHEN len(list_intersect(near, anchors)) = 0 THEN list_append(anchors, f.p) ELSE anchors END
+FROM w JOIN f ON f.event_date = w.event_date AND f.c = w.c AND f.p = w.p + 1),
+b AS (SELECT event_date, arg_min(name, p) AS name, coalesce(arg_min(venue, p) FILTER (venue <> '미상'), '미상') AS venue, arg_min(application_url, p) AS application_url,
+flatten(list(string_split(sources, ',') ORDER BY p)) AS z, count(*) AS members, bool_or(verified) AS verified FROM f JOIN w USING (event_date, c, p) GROUP BY event_date, c, anchor)
+SELECT left(event_date, 7) AS month, name, event_date, venue, application_url, array_to_string([z[j] for j in range(1, len(z) + 1) if list_position(z, z[j]) = j], ',') AS sources, members, verified, 'unknown' AS status FROM b""")
 def collect_events(spark: SparkSession, sf: str) -> DataFrame:
     """The whole flow: pages of chains verified, and listings of two sources, deduplicated, merged and dated. A listed event of
-    an unknown venue is the verified one of its date and name if both have one address."""
+    an unknown venue is the verified one of its date and name if both have one address; events of one host and date are one
+    where names and venues are alike."""
     c = F.col
     records, _ = _enriched(spark, sf)
     none, k = F.lit(None).cast("string"), c("o_orderkey")
