@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import extraction, langid, licenses, mixing, neardup, packing, quality, repeats, spotsigs, topk
+from . import alignment, extraction, histogram, langid, licenses, mixing, neardup, packing, quality, repeats, spotsigs, topk, turns
 from ._common import table
 
 
@@ -63,6 +63,18 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
@@ -74,6 +86,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_shortest_pack_first": op12_shortest_pack_first,
+    "op13_turn_repair": op13_turn_repair,
     "pipeline": corpus_pipeline.run,
 }
 
