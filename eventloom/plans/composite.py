@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import chains, collect, dedupe, discover, ordered, resolve, traverse
+from ..operators import chains, collect, dedupe, discover, frontier, ordered, resolve
 from .registry import query, table
 
 AS_OF = "1998-06-15 12:00:00"
-#: Order keys of one traversal run.
-RUN_KEYS = 512
 
 
 def _spread(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,20 +80,19 @@ def discover_links(spark: SparkSession, sf: str) -> DataFrame:
 WITH c AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 AS k, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n, o_orderpriority AS p FROM orders)
 SELECT count(*) AS chains, sum((k <> 3)::INT)::BIGINT AS accepted, sum(CASE WHEN k = 2 THEN 2 ELSE 1 END)::BIGINT AS fetched, sum((k = 3)::INT)::BIGINT AS identity, sum(CASE WHEN k = 2 THEN 3 ELSE 0 END)::BIGINT AS depth FROM c""")
 def traverse_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains made of orders: official seeds, failing ones, and applications with four children, of which one is fetched
-    and three are beyond the chain's depth. A run is a block of order keys, so runs grow in number and not in size; its
-    budget is without end, as the SQL knows none."""
+    """Chains made of orders, all of one run: official seeds, failing ones, and applications with four children, of which one is
+    fetched and three are beyond the chain's depth. The run has no budget; traverse_run and traverse_budgets have one."""
     key, k = F.col("o_orderkey"), F.col("o_orderkey") % 4
     url, host = F.concat(F.lit("https://h"), key, F.lit(".example.com/")), F.concat(F.lit("h"), key)
     none = F.array().cast("array<string>")
     children = F.transform(F.array(*map(F.lit, "abcd")), lambda c: F.concat(url, c))
     step = lambda u, ok, kids: F.struct(u.alias("url"), host.alias("host"), u.alias("final"), ok.alias("outcome"), F.lit(True).alias("official"), F.lit(False).alias("application"), kids.alias("children"), F.lit(0).alias("child_policy"))
     seed = step(url, F.when(k == 3, "identity").otherwise("ok"), F.when(k == 2, children).otherwise(none))
-    below = F.when(k == 2, F.transform(children, lambda c: step(c, F.lit("ok"), none))).otherwise(F.array().cast(f"array<{traverse.STEP}>"))
-    steps = F.concat(F.array(seed).cast(f"array<{traverse.STEP}>"), below.cast(f"array<{traverse.STEP}>"))
-    chains = table(spark, sf, "orders").select(F.floor(key / RUN_KEYS).alias("run_id"), key.alias("ord"), url.alias("chain"), F.when(k == 2, "application").otherwise("official").alias("kind"), steps.alias("steps"))
-    found = traverse.traversed(chains, run=sys.maxsize, per_host=sys.maxsize)
-    return traverse.totals(found).select(F.col("seed").alias("chains"), "accepted", "fetched", "identity", "depth")
+    below = F.when(k == 2, F.transform(children, lambda c: step(c, F.lit("ok"), none))).otherwise(F.array().cast(f"array<{frontier.STEP}>"))
+    steps = F.concat(F.array(seed).cast(f"array<{frontier.STEP}>"), below.cast(f"array<{frontier.STEP}>"))
+    chains = table(spark, sf, "orders").select(F.lit(0).alias("run_id"), key.alias("ord"), url.alias("chain"), F.when(k == 2, "application").otherwise("official").alias("kind"), steps.alias("steps"))
+    found = frontier.traversed(chains, run=None, per_host=None)
+    return frontier.totals(found).select(F.col("seed").alias("chains"), "accepted", "fetched", "identity", "depth")
 
 
 @query("""
@@ -109,8 +104,31 @@ def traverse_budgets(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
     url, host = F.concat(F.lit("https://h"), key, F.lit(".example.com/")), F.when(key % 3 == 0, "shared").otherwise(F.concat(F.lit("h"), key))
     step = F.struct(url.alias("url"), host.alias("host"), url.alias("final"), F.lit("ok").alias("outcome"), F.lit(True).alias("official"), F.lit(False).alias("application"), F.array().cast("array<string>").alias("children"), F.lit(0).alias("child_policy"))
-    rows = table(spark, sf, "orders").select(F.floor(key / 64).alias("run_id"), key.alias("ord"), url.alias("chain"), F.lit("official").alias("kind"), F.array(step.cast(traverse.STEP)).alias("steps"))
-    return traverse.traversed(rows).groupBy("run_id").agg(*[F.sum(k).alias(k) for k in ("accepted", "host_budget", "run_budget")])
+    rows = table(spark, sf, "orders").select(F.floor(key / 64).alias("run_id"), key.alias("ord"), url.alias("chain"), F.lit("official").alias("kind"), F.array(step.cast(frontier.STEP)).alias("steps"))
+    return frontier.traversed(rows).groupBy("run_id").agg(*[F.sum(k).alias(k) for k in ("accepted", "host_budget", "run_budget")])
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_custkey AS c, o_orderkey % 3 AS m FROM orders),
+w AS (SELECT 0::BIGINT AS n, 0 AS used, 0 AS shop, map([]::BIGINT[], []::INT[]) AS own, false AS seed, false AS child, 0 AS refused UNION ALL
+SELECT n, used + seed::INT + child::INT, shop + (m = 2 AND seed)::INT + (child AND kid = 0)::INT, map_concat(own, CASE WHEN child AND kid > 0 THEN map([c], [coalesce(own[c], 0) + 1]) ELSE map([]::BIGINT[], []::INT[]) END),
+seed, child, CASE WHEN NOT seed THEN 1 WHEN m > 0 THEN 0 WHEN child THEN kid ELSE 2 END FROM (
+SELECT *, seed AND m = 0 AND used + 1 < 40 AND kid < 2 AS child FROM (
+SELECT o.n, o.c, o.m, w.used, w.shop, w.own, w.used < 40 AND (o.m < 2 OR w.shop < 10) AS seed, CASE WHEN w.shop < 10 THEN 0 WHEN coalesce(w.own[o.c], 0) < 10 THEN 1 ELSE 2 END AS kid FROM w JOIN o ON o.n = w.n + 1 WHERE w.used < 40)))
+SELECT count(*) AS chains, (SELECT sum(seed::INT + child::INT) FROM w)::BIGINT AS fetched, (SELECT count(*) FROM w WHERE n > 0 AND child)::BIGINT + (SELECT count(*) FROM w JOIN o USING (n) WHERE seed AND m > 0)::BIGINT AS accepted,
+(SELECT count(*) FROM o) - (SELECT max(n) FROM w) + (SELECT coalesce(sum(CASE WHEN used = 40 AND seed AND m = 0 AND NOT child THEN 2 ELSE 0 END), 0) FROM w JOIN o USING (n))::BIGINT AS run_budget FROM o""")
+def traverse_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All chains made of orders in one run with the run's 40 fetches and ten of a host: an application leads to a page of a shared
+    host and to one of the customer's own, which is fetched once the shared one is used up; a third of the seeds share that
+    host, too."""
+    key, m = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    seed, none, no = F.concat(F.lit("https://seed"), key, F.lit(".example.com/")), F.array().cast("array<string>"), F.lit(False)
+    shop, own = F.concat(F.lit("https://shop.example.com/"), key), F.concat(F.lit("https://c"), F.col("o_custkey"), F.lit(".example.com/"), key)
+    step = lambda u, host, kids: F.struct(u, host, u, F.lit("ok"), F.lit(True), no, kids, F.lit(0)).cast(frontier.STEP)
+    first = step(seed, F.when(m == 2, "shop").otherwise(F.concat(F.lit("s"), key)), F.when(m == 0, F.array(shop, own)).otherwise(none))
+    steps = F.array(first, step(shop, F.lit("shop"), none), step(own, F.concat(F.lit("c"), F.col("o_custkey")), none))
+    rows = table(spark, sf, "orders").select(F.lit(0).alias("run_id"), key.alias("ord"), seed.alias("chain"), F.when(m == 0, "application").otherwise("official").alias("kind"), steps.alias("steps"))
+    return frontier.totals(frontier.traversed(rows)).select(F.col("seed").alias("chains"), "fetched", "accepted", "run_budget")
 
 
 def _text(k: Column, *forms: str) -> Column:
@@ -156,14 +174,12 @@ CASE WHEN m = 4 THEN 'official-sites,marathongo' ELSE 'official-sites' END AS so
 
 def _enriched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     seeds, loaded = seeded_chains(spark, sf)
-    run = F.floor(F.col("ord") / RUN_KEYS)
-    return collect.enriched(seeds, loaded, F.lit("2022-01-01"), F.lit(_LATER).cast("timestamp"), run, sys.maxsize, sys.maxsize)
+    return collect.enriched(seeds, loaded, F.lit("2022-01-01"), F.lit(_LATER).cast("timestamp"), F.lit(0), None, None)
 
 
 @query(_ENRICHED + "SELECT name, event_date, venue, application_url, sources FROM r")
 def enrich_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains joined to their pages and those pages' children, traversed, and turned into records. No run is cut off, as the
-    SQL knows no budget (traverse_budgets has one)."""
+    """Chains joined to their pages and those pages' children, traversed in one run without a budget, and turned into records."""
     records, _ = _enriched(spark, sf)
     return records.select("name", "event_date", "venue", "application_url", F.array_join("sources", ",").alias("sources"))
 

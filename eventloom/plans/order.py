@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import chains, ordered, traverse
+from ..operators import chains, frontier, ordered
 from .registry import query, table
 
 
@@ -99,9 +99,9 @@ SELECT count(DISTINCT user_id) AS seed, sum((event_type = 'view')::INT)::BIGINT
 def stage_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by outcome, summed over chains, and the message made of them."""
     rows = {"fetched": "view", "accepted": "purchase", "policy": "error", "fetch": "click"}
-    per_chain = table(spark, sf, "events").groupBy("user_id").agg(*[(F.count_if(F.col("event_type") == rows[k]) if k in rows else F.lit(0)).alias(k) for k in traverse.COUNTS])
-    counts = traverse.totals(per_chain)
-    return counts.select("seed", "fetched").crossJoin(traverse.message(counts))
+    per_chain = table(spark, sf, "events").groupBy("user_id").agg(*[(F.count_if(F.col("event_type") == rows[k]) if k in rows else F.lit(0)).alias(k) for k in frontier.COUNTS])
+    counts = frontier.totals(per_chain)
+    return counts.select("seed", "fetched").crossJoin(frontier.message(counts))
 
 
 @query("""

@@ -1,10 +1,11 @@
 """Golden cases of the operators."""
 
 import json
+import random
 
 import pytest
 from eventloom.functions import text
-from eventloom.operators import calendar, chains, dedupe, ordered, resolve, traverse
+from eventloom.operators import calendar, chains, dedupe, frontier, ordered, resolve
 from eventloom.sources import listing
 from eventloom.sources import pages as page_files
 from pyspark.sql import functions as F
@@ -82,30 +83,107 @@ def step(url, outcome="ok", official=True, children=(), host=None, final=None):
     return {"url": url, "host": host or url, "final": final or url, "outcome": outcome, "official": official, "application": False, "children": list(children), "child_policy": 0}
 
 
-def walked(url, kind, steps):
-    chain = traverse.Chain([url], kind == "application")
-    traverse.fold(iter([(chain, steps)]), 40, 10)
-    return chain.counts, chain.accepted
-
-
-def test_four_children_fetch_one():
-    steps = {s["url"]: s for s in (step("s", children="abcd"), *map(step, "abcd"))}
-    counts, accepted = walked("s", "application", steps)
+STEPS = f"run_id bigint, ord bigint, chain string, kind string, steps array<{frontier.STEP}>"
+
+
+def walked(spark, url, kind, steps):
+    row = frontier.traversed(spark.createDataFrame([(0, 1, url, kind, list(steps))], STEPS)).first()
+    return row.asDict(), row.accepted_urls
+
+
+def in_order(chains, run, per_host):
+    """Chains visited one after the other, with a queue, as the rules are told."""
+    used, by_host, out = 0, {}, {}
+    for _, chain, kind, steps in sorted(chains, key=lambda c: c[0]):
+        known = {}
+        for s in steps:
+            known.setdefault(s["url"], s)
+        n, good, seen, queue = dict.fromkeys(frontier.COUNTS, 0), [], set(), [(steps[0]["url"], True)]
+        while queue:
+            url, top = queue.pop(0)
+            s = known.get(url) or step(url, "fetch", False)
+            if url in seen or n["fetched"] == 2:
+                n["cycle" if url in seen else "depth"] += 1
+            elif used == run or by_host.get(s["host"], 0) == per_host:
+                n["run_budget" if used == run else "host_budget"] += 1
+            else:
+                used, by_host[s["host"]] = used + 1, by_host.get(s["host"], 0) + 1
+                n["fetched"] += 1
+                if s["outcome"] in ("policy", "fetch") or s["final"] in seen:
+                    n[s["outcome"] if s["outcome"] in ("policy", "fetch") else "cycle"] += 1
+                    continue
+                seen |= {url, s["final"]}
+                if s["outcome"] == "identity":
+                    n["identity"] += 1
+                    continue
+                look = top and (kind == "application" or not s["official"])
+                if look:
+                    n["policy"] += s["child_policy"]
+                    n["depth"] += max(len(s["children"]) - 3, 0)
+                    for child in s["children"][:3]:
+                        if child in seen:
+                            n["cycle"] += 1
+                        else:
+                            queue.append((child, False))
+                if look and s["children"]:
+                    continue
+                if s["official"]:
+                    n["accepted"] += 1
+                    good.append(s["final"])
+                elif not (look and s["child_policy"]):
+                    n["policy"] += 1
+        out[chain] = (*n.values(), good)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "run", "per_host"), [(1, 40, 10), (2, 25, 3), (3, 60, 4), (4, None, 5), (5, 30, None), (6, None, None)])
+def test_rounds_equal_walking_in_order(spark, seed, run, per_host):
+    rng = random.Random(seed)
+    chains = []
+    for i in range(120):
+        names = [f"p{i}-{k}" for k in range(5)]
+        steps = []
+        for name in names[: rng.randint(1, 5)]:
+            final = rng.choice([name, name, name, rng.choice(names)])
+            children = rng.sample([*names, "nowhere"], rng.randint(0, 5))
+            made = step(name, rng.choice(["ok"] * 6 + ["identity", "fetch", "policy"]), rng.random() < 0.5, children, f"h{rng.randint(0, 9)}", final)
+            steps.append(made | {"child_policy": rng.choice([0, 0, 2])})
+        chains.append((rng.randint(0, 10**6) * 200 + i, names[0], rng.choice(["application", "official"]), steps))
+    frame = spark.createDataFrame([(0, *c) for c in chains], STEPS)
+    got = {r.chain: (*(r[k] for k in frontier.COUNTS), r.accepted_urls) for r in frontier.traversed(frame, run, per_host).collect()}
+    assert got == in_order(chains, run, per_host)
+
+
+def test_one_run_of_many_chains_is_not_one_task(spark):
+    n = 100_000
+    url = F.concat(F.lit("u"), F.col("id"))
+    one = F.struct(url, F.concat(F.lit("h"), F.col("id") % 3), url, F.lit("ok"), F.lit(True), F.lit(False), F.array().cast("array<string>"), F.lit(0)).cast(frontier.STEP)
+    rows = spark.range(n).select(F.lit(0).alias("run_id"), F.col("id").alias("ord"), url.alias("chain"), F.lit("official").alias("kind"), F.array(one).alias("steps"))
+    found = frontier.traversed(rows, run=50_000, per_host=20_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    sums = frontier.totals(found).first()
+    assert (sums.fetched, sums.run_budget, sums.host_budget) == (50_000, 50_000, 0)
+    sums = frontier.totals(frontier.traversed(rows, run=None, per_host=20_000)).first()
+    assert (sums.fetched, sums.host_budget) == (60_000, 40_000)
+
+
+def test_four_children_fetch_one(spark):
+    counts, accepted = walked(spark, "s", "application", (step("s", children="abcd"), *map(step, "abcd")))
     assert (counts["fetched"], counts["depth"], counts["accepted"], accepted) == (2, 3, 1, ["a"])
 
 
 def test_budget_is_shared_in_order(spark):
-    schema = f"run_id bigint, ord bigint, chain string, kind string, steps array<{traverse.STEP}>"
+    schema = f"run_id bigint, ord bigint, chain string, kind string, steps array<{frontier.STEP}>"
     rows = [(0, i, f"c{i}", "official", [step(f"u{i}", host="h")]) for i in range(4)]
-    got = {r.chain: (r.accepted, r.host_budget, r.run_budget) for r in traverse.traversed(spark.createDataFrame(rows, schema), run=3, per_host=2).collect()}
+    got = {r.chain: (r.accepted, r.host_budget, r.run_budget) for r in frontier.traversed(spark.createDataFrame(rows, schema), run=3, per_host=2).collect()}
     assert got == {"c0": (1, 0, 0), "c1": (1, 0, 0), "c2": (0, 1, 0), "c3": (0, 1, 0)}
 
 
-def test_skips_of_walk():
-    steps = {"s": step("s", official=False, children=["s", "b"]), "b": step("b", host="s")}
-    counts, accepted = walked("s", "official", steps)
+def test_skips_of_walk(spark):
+    counts, accepted = walked(spark, "s", "official", (step("s", official=False, children=["s", "b"]), step("b", host="s")))
     assert counts["cycle"] == 1 and accepted == ["b"]
-    counts, _ = walked("x", "official", {})
+    counts, _ = walked(spark, "x", "official", [step("x", "fetch", False)])
     assert counts["fetch"] == 1
 
 
