@@ -36,6 +36,50 @@ def test_matching_is_against_anchors_only(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_anchors_equal_a_fold(spark, seed):
+    rng = random.Random(seed)
+    n = 150
+    made = sorted({(g, *sorted(rng.sample(range(n), 2))) for g in ("d", "e") for _ in range(rng.choice([40, 200, 900]))})
+    edges = spark.createDataFrame(made, "event_date string, a bigint, b bigint")
+    rows = spark.createDataFrame([(g, i) for g in "de" for i in range(n)], "event_date string, ord bigint")
+    want = {}
+    for g in "de":
+        anchors = []
+        for i in range(n):
+            own = next((x for x in anchors if (g, x, i) in set(made)), i)
+            want[g, i] = own
+            if own == i:
+                anchors.append(i)
+    assert {(r.event_date, r.ord): r.anchor for r in dedupe.greedy_anchors(rows, edges, "event_date").collect()} == want
+
+
+def test_anchors_of_one_hot_date(spark):
+    """A date of 200,000 events: each matches the four after it."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit("d").alias("event_date"), F.col("id").alias("ord"))
+    edges = rows.where("ord % 5 <> 4").select("event_date", F.col("ord").alias("a"), F.explode(F.sequence(F.col("ord") + 1, F.col("ord") - F.col("ord") % 5 + 4)).alias("b"))
+    got = dedupe.greedy_anchors(rows, edges, "event_date")
+    assert got.where(F.col("anchor") != F.col("ord") - F.col("ord") % 5).isEmpty() and got.count() == n
+
+
+def test_pairs_of_a_hot_host_equal_all_pairs(spark):
+    """One date and host: far fewer candidates than pairs, and none lost."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("가나다라마바사아자차카타파하강산들꽃길별달해") for _ in range(3)) for _ in range(150)]
+    rows = []
+    for i in range(600):
+        name = " ".join(rng.sample(words, 3)) if i % 3 else f"{rows[-1]['name']}{rng.choice(['', ' 대회', ' 10K', words[0]])}" if rows else "a"
+        site = rng.choice(["https://one.example.com/", "https://one.example.com/", f"https://s{i % 7}.example.com/"])
+        rows.append({"name": name, "venue": rng.choice(["미상", "서울 광장", "서울광장 앞", rng.choice(words), "", "x"]), "url": site + rng.choice(["", "race/1", "race/2", f"e/{i}"])})
+    frame = dedupe.profiled(events(spark, rows)).select("event_date", "ord", "p").cache()
+    left, right = (frame.select("event_date", F.col("ord").alias(k), F.col("p").alias(f"p{k}")) for k in "ab")
+    want = {(r.a, r.b) for r in left.join(right, "event_date").where("a < b").where(dedupe.same_event(F.col("pa"), F.col("pb"))).collect()}
+    assert {(r.a, r.b) for r in dedupe.pairs(frame).collect()} == want and len(want) > 50
+    share = dedupe.candidates(frame).count() / (600 * 599 / 2)
+    assert share < 0.25, share
+
+
 def test_junk_goes_and_markup_is_scrubbed(spark):
     got = deduplicated(spark, [{"name": "마라톤 대회"}, {"name": "대회 후기 모음"}, {"name": "A &amp; B Run", "venue": "<b>x</b>"}])
     assert [(r.name, r.venue) for r in got] == [("A & B Run", "미상")]
