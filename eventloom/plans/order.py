@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import chains, frontier, ordered
+from ..operators import addresses, chains, frontier, ordered
 from .registry import query, table
 
 
@@ -126,3 +128,25 @@ def ip_prefix(spark: SparkSession, sf: str) -> DataFrame:
     v = (F.col("o_orderkey") * 2654435761) % 4294967296
     octet = lambda i: F.floor(v / 2 ** (8 * i)) % 256
     return table(spark, sf, "orders").select("o_orderkey", urls.is_public_ipv4(F.concat_ws(".", *[octet(i).cast("string") for i in (3, 2, 1, 0)])).alias("public"))
+
+
+_GROUPS = ([0x2001, 0x2001, 0x2001, 0x2001, 0x2002, 0x3FFF, 0x2400, 0x64, 0xFE80, 0xFC00, 0, 0xFF02, 0x2620, 0x5F00, 0x2001, 0x2001], [0, 1, 2, 3, 0x1234, 0xFFF, 0xCB00, 0xFF9B, 0, 0, 0, 0, 0, 0, 0xDB8, 0x30])
+_RULES = ", ".join(f"({n.version}, '{int(n.network_address)}'::UHUGEINT, '{int(n.broadcast_address)}'::UHUGEINT, {i}, {v})" for i, (t, v) in enumerate(addresses.PUBLIC) for n in [ipaddress.ip_network(t)])
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS k, {_GROUPS[0]}[o_orderkey % 16 + 1] AS g1, {_GROUPS[1]}[o_orderkey % 16 + 1] AS g2 FROM orders), p(f, low, high, i, v) AS (VALUES {_RULES}),
+a AS (SELECT k, 4 AS f, ((k * 2654435761) % 4294967296)::UHUGEINT AS x FROM o UNION ALL
+SELECT k, 6, list_reduce(list_concat([g1::UHUGEINT, g2::UHUGEINT], [CASE WHEN k % 5 = 0 THEN 0 ELSE (k * j * 7919) % 65536 END::UHUGEINT for j in range(3, 8)], [(k % 4)::UHUGEINT]), lambda s, g: s * 65536::UHUGEINT + g) FROM o)
+SELECT k AS o_orderkey, a.f AS family, coalesce(arg_min(v, i), false) AS public FROM a LEFT JOIN p ON a.f = p.f AND x BETWEEN low AND high GROUP BY ALL""")
+def address_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Two addresses of each order, one a family, in several spellings: whether they are public by the table of prefixes."""
+    k, v = F.col("o_orderkey"), (F.col("o_orderkey") * 2654435761) % 4294967296
+    four = F.concat_ws(".", *[(F.floor(v / 2 ** (8 * i)) % 256).cast("string") for i in (3, 2, 1, 0)])
+    first = [F.get(F.array(*map(F.lit, g)), (k % 16).cast("int")) for g in _GROUPS]
+    group = lambda n: F.hex(n.cast("bigint"))
+    short = F.concat(group(first[0]), F.lit(":"), group(first[1]), F.lit("::"), group(k % 4))
+    long_ = F.concat_ws(":", *map(group, first), *[group((k * j * 7919) % 65536) for j in range(3, 8)], F.lpad(group(k % 4), 4, "0"))
+    six = F.when(k % 5 == 0, short).otherwise(F.lower(long_))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.explode(F.array(F.struct(F.lit(4).alias("family"), four.alias("address")), F.struct(F.lit(6).alias("family"), six.alias("address")))).alias("x")).select("o_orderkey", "x.*")
+    return addresses.judged(rows, addresses.intervals(spark)).select("o_orderkey", "family", "public")

@@ -1,11 +1,12 @@
 """Golden cases of the operators."""
 
+import ipaddress
 import json
 import random
 
 import pytest
-from eventloom.functions import text
-from eventloom.operators import calendar, chains, dedupe, frontier, ordered, resolve
+from eventloom.functions import text, urls
+from eventloom.operators import addresses, calendar, chains, dedupe, frontier, ordered, resolve
 from eventloom.sources import listing
 from eventloom.sources import pages as page_files
 from pyspark.sql import functions as F
@@ -308,3 +309,22 @@ def test_listings_arrive_once(spark, tmp_path):
         follow(spark, f"{tmp_path}/in", listing.gorunning, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     got = sorted((r.page_id, r["name"], r.event_date) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(1, "Run 1", "2026-05-01"), (2, "Run 2", "2026-05-02")]
+
+
+def test_addresses_of_both_families(spark):
+    """As the address library tells each, in every spelling; what is no address isn't public."""
+    rng = random.Random(4)
+    made = []
+    for net, _ in addresses.PUBLIC:
+        n = ipaddress.ip_network(net)
+        for at in (int(n.network_address) - 1, int(n.network_address), int(n.broadcast_address), int(n.broadcast_address) + 1, rng.randint(int(n.network_address), int(n.broadcast_address))):
+            if 0 <= at < 2 ** n.max_prefixlen:
+                a = (ipaddress.IPv4Address if n.version == 4 else ipaddress.IPv6Address)(at)
+                made += [(x, urls.is_public(a)) for x in {str(a), a.exploded, a.exploded.upper()}]
+    odd = ["", None, ":::", "1::2::3", "::g", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4::5:6:7:8", "256.1.1.1", "1.2.3", "::1.2.3.4", "2400::1%eth0", "2400:12345::"]
+    rows = spark.createDataFrame([(x, p, "t") for x, p in made + [(x, False) for x in odd] + [("2400::1", True)] * 2], "address string, want boolean, low string")
+    got = addresses.judged(rows, addresses.intervals(spark))
+    assert got.count() == len(made) + len(odd) + 2 and got.columns == ["address", "want", "low", "public"]
+    assert [tuple(r) for r in got.where("public <> want").collect()] == []
+    own = addresses.judged(rows, addresses.intervals(spark, [("2400::/16", False), ("2000::/3", True)]), verdict="mine")
+    assert {r.mine for r in own.where("address = '2400::1'").collect()} == {False}
