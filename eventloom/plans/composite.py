@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import chains, collect, dedupe, discover, frontier, ordered, resolve
+from ..operators.stages import folder, kept
+from ..sources import published
 from .registry import query, table
 
 AS_OF = "1998-06-15 12:00:00"
@@ -250,21 +254,47 @@ def logo_pages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", urls.safe_logo(F.col("raw"), urls.url(F.col("raw"))).alias("logo"))
 
 
-@query("""SELECT o_orderkey, o_orderkey % 6 = 0 AS valid FROM orders""")
-def valid_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with one fault each, or none: an empty name, no such day, a foreign course, no source, an address that isn't safe."""
-    from ..functions import urls
-
-    k = F.col("o_orderkey")
-    m = k % 6
-    course = F.struct(F.when(m == 3, "21K").otherwise("하프").alias("name"), F.lit(50000).cast("bigint").alias("price"), F.lit("page").alias("price_source"))
+def _faulty(spark: SparkSession, sf: str, faults: int) -> DataFrame:
+    """Events of orders with one fault each, or none."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    m = k % faults
+    course = F.struct(F.when(m == 3, "21K").otherwise("하프").alias("name"), F.when(m == 9, -1).otherwise(50000).cast("bigint").alias("price"), F.lit("structured").alias("price_source"))
     site = F.concat(F.lit("https://www.order"), F.col("o_custkey"), F.lit(".example.com/race/"), k)
-    rows = table(spark, sf, "orders").select(
-        "o_orderkey", F.when(m == 1, "").otherwise("Run").alias("name"), F.when(m == 2, "2026-02-30").otherwise("2026-02-28").alias("event_date"), F.lit(None).cast("string").alias("registration_deadline"), F.lit("Hall").alias("venue"),
-        F.array(course).alias("courses"), F.when(m == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("official-sites"))).alias("sources"), F.when(m == 5, "http://127.0.0.1/race/1").otherwise(site).alias("application_url"),
-        site.alias("official_site_url"), F.lit("open").alias("registration_status"),
+    logo = F.when(m == 6, "http://img.example.com/a.png").when(m == 7, "https://IMG.example.com/a.png").when(m == 11, F.concat(F.lit("https://img.example.com/"), k, F.lit(".png")))
+    return _spread(spark, sf).select(
+        k.alias("ord"), F.when(m == 1, "").otherwise(F.concat(F.lit("Run "), k)).alias("name"), F.when(m == 2, "2026-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("event_date"), F.when(m == 10, "2026-13-01").alias("registration_deadline"), F.lit("Hall").alias("venue"),
+        none.alias("region"), F.array(course).alias("courses"), F.when(m == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("official-sites"))).alias("sources"), F.when(m == 5, "http://127.0.0.1/race/1").otherwise(site).alias("application_url"), site.alias("official_site_url"),
+        logo.alias("logo_url"), F.when(m == 12, 'a "b"\n,c').alias("notes"), F.when(m == 8, "http://10.0.0.1/x").when(m == 11, site).alias("url_scheme"), F.lit(True).alias("verified"), F.lit(AS_OF).cast("timestamp").alias("last_verified"), F.lit(AS_OF).cast("timestamp").alias("updated_at"),
+        F.lit("open").alias("registration_status"),
     )
-    return rows.select("o_orderkey", resolve.is_valid(urls.url(F.col("application_url")), urls.url(F.col("official_site_url"))).alias("valid"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 13 IN (0, 11, 12) AS valid FROM orders""")
+def valid_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with one fault each, or none: an empty name, no such day, a foreign course, no source, links that aren't safe, a logo
+    of another spelling than its own, a negative price, a deadline in no month."""
+    return _faulty(spark, sf, 13).select(F.col("ord").alias("o_orderkey"), published.is_valid().alias("valid"))
+
+
+@query("""
+WITH r(rule, m) AS (VALUES ('name', 1), ('event-date', 2), ('courses', 3), ('sources', 4), ('application-url', 5), ('logo-url', 6), ('logo-url', 7), ('url-scheme', 8), ('courses', 9), ('registration-deadline', 10), ('venue', -1), ('official-site-url', -1), ('registration-status', -1))
+SELECT rule, count(o_orderkey) AS n FROM r LEFT JOIN orders ON o_orderkey % 13 = m GROUP BY rule""")
+def broken_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """How many events break each rule of the published document."""
+    return published.broken_rules(_faulty(spark, sf, 13), published.faults())
+
+
+@query("""
+SELECT 'Run ' || o_orderkey AS name, strftime(o_orderdate, '%Y-%m-%d') AS event_date, 'https://www.order' || o_custkey || '.example.com/race/' || o_orderkey AS link,
+CASE o_orderkey % 13 WHEN 11 THEN 'https://img.example.com/' || o_orderkey || '.png' END AS logo, CASE o_orderkey % 13 WHEN 12 THEN 'a "b"' || chr(10) || ',c' END AS notes, 50000 AS price FROM orders WHERE o_orderkey % 13 IN (0, 11, 12)""")
+def published_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The valid events of orders as a document that is written, checked, made the current one, and read again."""
+    path = f"{folder(spark)}/document-{uuid.uuid4().hex}"
+    events = _faulty(spark, sf, 13).where(F.col("ord") % 13 % 11 < 2).where(F.col("ord") % 13 != 1)
+    metadata = spark.createDataFrame([("b", True, True, 1, "ok"), ("a", True, False, 0, "no answer")], "id string, attempted boolean, succeeded boolean, record_count bigint, message string")
+    published.publish(kept(events), metadata, AS_OF, path)
+    read, _, _ = published.read(spark, published.current(spark, path))
+    return read.select("name", "event_date", published.race_link().alias("link"), F.col("logo_url").alias("logo"), "notes", F.col("courses")[0]["price"].alias("price"))
 
 
 @query("""

@@ -42,18 +42,6 @@ def loaded(seeds: DataFrame, index: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("skip", F.when(F.col("file").isNull(), "missing-mapping").when(F.col("html").isNull(), "missing-file"))
 
 
-RACE_TYPE = (
-    "name string, eventDate string, registrationDeadline string, venue string, region string, courses array<struct<name:string,price:bigint,priceSource:string>>, applicationUrl string, "
-    "officialSiteUrl string, logoUrl string, notes string, sources array<string>, verified boolean, lastVerified timestamp, updatedAt timestamp, generatedAt timestamp, registrationStatus string"
-)
-
-
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a published document; malformed ones fail."""
-    schema = f"generatedAt timestamp, races array<struct<{RACE_TYPE.replace(' ', ':').replace(',:', ',')}>>, collectionMetadata array<struct<id:string,attempted:boolean,succeeded:boolean,recordCount:bigint,message:string>>"
-    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
-
-
 def _field(name: str, c: Column, nullable: bool) -> Column:
     """A JSON member; an unknown optional one is left out, an unknown nullable one is null."""
     value = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
@@ -61,14 +49,15 @@ def _field(name: str, c: Column, nullable: bool) -> Column:
     return member if nullable else F.when(c.isNotNull(), member)
 
 
-def document_lines(events: DataFrame) -> DataFrame:
-    """One JSON object per event: deadline, verification and prices may be null, other unknown fields are left out."""
+def document_lines(events: DataFrame, also: list[str | Column] | None = None) -> DataFrame:
+    """One JSON object per event: deadline, verification and prices may be null, other unknown fields are left out; with columns
+    beside it that are asked for."""
     c = F.col
     names = {"name": ("name", True), "event_date": ("eventDate", True), "registration_deadline": ("registrationDeadline", True), "venue": ("venue", True), "region": ("region", False)}
     late = {"application_url": ("applicationUrl", True), "official_site_url": ("officialSiteUrl", False), "logo_url": ("logoUrl", False), "notes": ("notes", False), "sources": ("sources", True), "verified": ("verified", True), "last_verified": ("lastVerified", True), "updated_at": ("updatedAt", True), "generated_at": ("generatedAt", True), "registration_status": ("registrationStatus", True)}
     course = F.transform("courses", lambda x: F.concat(F.lit("{"), F.concat_ws(",", _field("name", x["name"], True), _field("price", x["price"], True), _field("priceSource", x["price_source"], False)), F.lit("}")))
     parts = [_field(n, c(k), null) for k, (n, null) in names.items()] + [F.concat(F.lit('"courses":['), F.array_join(course, ","), F.lit("]"))] + [_field(n, c(k), null) for k, (n, null) in late.items()]
-    return events.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+    return events.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"), *(also or []))
 
 
 def write_events(events: DataFrame, metadata: DataFrame, path: str, live: bool = True) -> None:

@@ -3,11 +3,12 @@
 import ipaddress
 import json
 import random
+from pathlib import Path
 
 import pytest
 from eventloom.functions import text, urls
 from eventloom.operators import addresses, calendar, chains, dedupe, frontier, ordered, resolve
-from eventloom.sources import listing
+from eventloom.sources import listing, published
 from eventloom.sources import pages as page_files
 from pyspark.sql import functions as F
 
@@ -328,3 +329,29 @@ def test_addresses_of_both_families(spark):
     assert [tuple(r) for r in got.where("public <> want").collect()] == []
     own = addresses.judged(rows, addresses.intervals(spark, [("2400::/16", False), ("2000::/3", True)]), verdict="mine")
     assert {r.mine for r in own.where("address = '2400::1'").collect()} == {False}
+
+
+def test_a_document_is_one_json_text_and_current_only_if_valid(spark, tmp_path):
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    rows = [{"name": "B Run", "date": "2026-05-02"}, {"name": "가 \"Run\"\n", "date": "2026-05-02", "notes": "x", "courses": [("10K", None, None)]}, {"name": "C Run", "date": "2026-04-30"}]
+    good = dedupe.merged(events(spark, rows).withColumn("anchor", F.col("ord")), now).withColumn("application_url", F.concat(F.lit("https://site.example.com/race/"), "ord")).cache()
+    sources = spark.createDataFrame([("b", True, True, 3, "ok"), ("a", False, False, 0, "")], "id string, attempted boolean, succeeded boolean, record_count bigint, message string")
+    path = str(tmp_path / "out")
+    version = published.publish(good, sources, "2026-01-02 03:04:05", path)
+    assert published.current(spark, path) == version
+    whole = json.loads("\n".join(p.read_text() for p in sorted(Path(version).glob("part-*"))))
+    assert [r["name"] for r in whole["races"]] == ["C Run", "B Run", "가 \"Run\"\n"] or [r["name"] for r in whole["races"]] == ["C Run", "가 \"Run\"\n", "B Run"]
+    assert [m["id"] for m in whole["collectionMetadata"]] == ["a", "b"] and whole["generatedAt"].startswith("2026-01-02T03:04:05") and "urlScheme" not in whole["races"][0]
+    back, metadata, _ = published.read(spark, version)
+    assert sorted(r["name"] for r in back.collect()) == sorted(r["name"] for r in good.collect()) and metadata.count() == 2
+    assert [r.id for r in published.failed_sources(metadata).collect()] == ["a"]
+    with pytest.raises(ValueError, match="venue 1"):
+        published.publish(good.withColumn("venue", F.when(F.col("ord") == 1, "").otherwise("x")), sources, "2026-01-02 03:04:05", path)
+    with pytest.raises(RuntimeError):
+        published.publish(good, sources.where("id = 'a'"), "2026-01-02 03:04:05", path)
+    assert published.current(spark, path) == version and len(list(Path(path).glob("v-*"))) == 1
+    later = published.publish(good.limit(0), sources, "2026-01-03 00:00:00", path)
+    assert published.current(spark, path) == later and published.read(spark, later)[0].count() == 0
+    (Path(later) / "part-zzz.txt").write_text("{}\n")
+    with pytest.raises(Exception, match="not a line of the document"):
+        published.checked(spark, later).collect()
