@@ -8,23 +8,28 @@ fitted by expectation-maximisation (forward-backward) on a bounded sample of lab
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALPHA, U64, byte_column, chunks, mix, powers, seeds, span_hashes, spans
+from ._common import ALPHA, U64, byte_column, chunks, mix, powers, saved, seeds, span_hashes, spans
 
 #: About as many texts of each language are read to learn from, with all their words.
 SAMPLE_TEXTS = 1500
 ROUNDS, SMOOTH = 4, 0.2
-#: A word of more bytes is taken in parts of that many.
+#: Words of fewer bytes are read many at a time; longer ones, which texts without blanks have, one by one. To learn from, those
+#: are taken in parts of that size.
 LONGEST = 40
+#: Expected counts are added up as whole numbers of this part of one, so that sums don't depend on their order.
+UNIT = 1 << 24
 #: Words whose segmentations are held at once while learning.
 BLOCK = 10_000
+#: Tasks that share the words to learn from.
+WORD_TASKS = 24
 UNKNOWN = "und"
 _VALUES = seeds(256, 23)
 _SLOTS = 20
@@ -70,6 +75,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)) | U64(1)
 
 
+@functools.lru_cache(maxsize=1)
 def load(path: str) -> Pieces:
     """The pieces of a .tiktoken file (a base64 piece and its rank a line)."""
     with open(path, "rb") as f:
@@ -77,16 +83,48 @@ def load(path: str) -> Pieces:
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words (letters and bytes from 0x80) in parts of LONGEST - 1 bytes, and each row's first."""
-    starts, ends, row = spans(data, at, ALPHA)
-    size, most = ends - starts, LONGEST - 1
-    if len(size) and size.max() > most:
-        parts = -(-size // most)
-        which = np.repeat(np.arange(len(size)), parts)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        row = np.concatenate([[0], np.cumsum(parts)])[row]
-        starts, ends = starts[which] + k * most, np.minimum(starts[which] + (k + 1) * most, ends[which])
-    return starts, ends, row
+    """Starts and ends of words (letters and bytes from 0x80), and each row's first."""
+    return spans(data, at, ALPHA)
+
+
+def parts(word: bytes) -> list[bytes]:
+    """A word in parts of fewer than LONGEST bytes that end where a character ends."""
+    out, lo = [], 0
+    while len(word) - lo >= LONGEST:
+        hi = lo + LONGEST - 1
+        while hi > lo + 1 and word[hi] & 0xC0 == 0x80:
+            hi -= 1
+        out.append(word[lo:hi])
+        lo = hi
+    return [*out, word[lo:]]
+
+
+def long_log(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """[language]: log probability of one word of any length, summed over all its segmentations. Of the places behind only as many
+    are held as the longest piece has bytes, brought back to size where they grow small."""
+    low = np.frombuffer(b" " + word, np.uint8).copy()
+    low[(low >= 65) & (low <= 90)] += 32
+    n, m = len(low), pieces.longest + 1
+    ends, sizes, found = [], [], []
+    for k in range(1, min(n, pieces.longest) + 1):
+        start = np.arange(n - k + 1)
+        got = pieces.find(hashes(low, start, start + k))
+        hit = np.flatnonzero(got < pieces.n)
+        ends.append(hit + k), sizes.append(np.full(len(hit), k)), found.append(got[hit])
+    end, size, got = (np.concatenate(x) for x in (ends, sizes, found))
+    order = np.argsort(end, kind="stable")
+    end, size, got = end[order], size[order], got[order]
+    edge = np.searchsorted(end, np.arange(n + 2))
+    window, scale = np.zeros((m, p.shape[1])), np.zeros(p.shape[1])
+    window[0] = 1
+    for j in range(1, n + 1):
+        own = slice(edge[j], edge[j + 1])
+        window[j % m] = (window[(j - size[own]) % m] * p[got[own]]).sum(0)
+        small = window.max(0) < 1e-100
+        if small.any():
+            window[:, small] *= 1e100
+            scale[small] -= np.log(1e100)
+    return np.log(np.maximum(window[n % m], 1e-300)) + scale
 
 
 class Lattice:
@@ -149,21 +187,32 @@ class Lattice:
         return out
 
 
-def fit(texts: list[bytes], weight: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Piece probabilities [piece, language] of words with weights [word, language]."""
+def expected(texts: list[bytes], weight: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Each piece's expected count in each language, of words with weights [word, language]."""
     ends = np.cumsum([len(x) for x in texts])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     by_size = np.argsort(starts - ends, kind="stable")
-    p = np.ones((pieces.n, weight.shape[1])) / pieces.n
-    for _ in range(ROUNDS):
-        count = np.full_like(p, SMOOTH)
-        # made anew each round: all lattices at once would take hundreds of megabytes
-        for i in range(0, len(texts), BLOCK):
-            own = by_size[i : i + BLOCK]
-            count += Lattice(data, starts[own], ends[own], pieces).expected(p, weight[own])
-        p = count / count.sum(0)
-    return p
+    count = np.zeros_like(p)
+    for i in range(0, len(texts), BLOCK):
+        own = by_size[i : i + BLOCK]
+        count += Lattice(data, starts[own], ends[own], pieces).expected(p, weight[own])
+    return count
+
+
+def _expected(vocabulary: str, p: np.ndarray):
+    """Words (word, n of each language) to the counts, in units, of the pieces they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, count = load(vocabulary), np.zeros_like(p)
+        for batch in batches:
+            weight = np.array(batch.column("n").to_pylist(), np.float64).reshape(batch.num_rows, p.shape[1])
+            count += expected(batch.column("word").to_pylist(), weight, pieces, p)
+        piece, language = np.nonzero(count)
+        units = np.rint(count[piece, language] * UNIT).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(language, pa.int32()), pa.array(units)], ["piece", "language", "units"])
+
+    return run
 
 
 class Model:
@@ -176,10 +225,13 @@ class Model:
         h = span_hashes(data, starts, ends)
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         first = first.astype(np.int64)
-        each = np.zeros((len(first), len(self.languages)))
-        by_size = np.argsort(starts[first] - ends[first], kind="stable")
+        each, size = np.zeros((len(first), len(self.languages))), (ends - starts)[first]
+        by_size = np.argsort(-size, kind="stable")
+        many = int((size >= LONGEST).sum())
+        for k in by_size[:many]:
+            each[k] = long_log(data[starts[first[k]] : ends[first[k]]].tobytes(), self.pieces, self.p)
         step = max(1000, 2_000_000 // ((LONGEST + 1) * len(self.languages)))
-        for i in range(0, len(first), step):
+        for i in range(many, len(first), step):
             own = by_size[i : i + step]
             each[own] = Lattice(data, starts[first[own]], ends[first[own]], self.pieces).log(self.p)
         total = np.zeros((len(starts) + 1, len(self.languages)))
@@ -197,15 +249,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes().lower()
             for i in range(len(row) - 1):
                 for s, e in zip(starts[row[i] : row[i + 1]].tolist(), ends[row[i] : row[i + 1]].tolist(), strict=True):
-                    key = (langs[lo + i], raw[s:e])
-                    count[key] = count.get(key, 0) + 1
+                    for part in parts(raw[s:e]):
+                        count[langs[lo + i], part] = count.get((langs[lo + i], part), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.binary()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
 
 
 def train(labelled: DataFrame, vocabulary: str) -> Model:
     """A model of the languages in labelled (doc_id, text, lang): from all words of about SAMPLE_TEXTS texts each, chosen by
     a hash of doc_id. Rows of null text or lang are left out; rows of one doc_id are chosen together, and repeated ones count
-    as often as they come. Without a row there is no language."""
+    as often as they come. Without a row there is no language. What comes to the driver is one number for each piece of the
+    vocabulary and language, whatever the texts."""
     labelled = labelled.where("text is not null and lang is not null")
     sizes = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     pieces = load(vocabulary)
@@ -213,18 +266,18 @@ def train(labelled: DataFrame, vocabulary: str) -> Model:
         return Model([], pieces, np.ones((pieces.n, 0)))
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, SAMPLE_TEXTS / n))])[F.col("lang")]
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
-    found = sample.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    # in order of the words, so that reruns add up in the same order
-    found = found.sort_by([("word", "ascending"), ("lang", "ascending")]).combine_chunks()
-    word, lang = (pc.dictionary_encode(found.column(k).combine_chunks()) for k in ("word", "lang"))
-    word, lang = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (word, lang))
     languages = sorted(sizes)
-    place = np.array([languages.index(x) for x in lang.dictionary.to_pylist()], np.int64)
-    weight = np.zeros((len(word.dictionary), len(languages)), np.float32)
-    weight[word.indices.to_numpy(), place[lang.indices.to_numpy()] if len(place) else []] = found.column("n").to_numpy()
-    texts = word.dictionary.to_pylist()
-    del found, word, lang
-    return Model(languages, pieces, fit(texts, weight, pieces))
+    found = sample.mapInArrow(_counted, "lang string, word binary, n long")
+    found = found.groupBy("word").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)) for k in languages]).alias("n"))
+    # each task's words in order, so that reruns add up in the same order
+    found = saved(found.repartition(WORD_TASKS, "word").sortWithinPartitions("word"))
+    p = np.ones((pieces.n, len(languages))) / pieces.n
+    for _ in range(ROUNDS):
+        sums = found.mapInArrow(_expected(vocabulary, p), "piece int, language int, units long").groupBy("piece", "language").agg(F.sum("units").alias("units")).toArrow()
+        count = np.full_like(p, SMOOTH)
+        count[sums.column("piece").to_numpy(), sums.column("language").to_numpy()] += sums.column("units").to_numpy() / UNIT
+        p = count / count.sum(0)
+    return Model(languages, pieces, p)
 
 
 def lettered(text: bytes) -> bool:

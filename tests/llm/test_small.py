@@ -243,6 +243,53 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(lattice.log(p)), [total(b" abbaab"), total(b" bba")])
 
 
+def test_words_of_any_length_are_summed_whole():
+    """A word over the lattice's width: the same sum, in logarithms, with no cut anywhere."""
+    pieces = langid.load(VOCABULARY)
+    r = np.random.default_rng(2)
+    p = r.random((pieces.n, 3)) / 50
+    for word in ("schön" * 30, "日本語テキスト" * 400, "é" * 39, "x" * 40):
+        raw = (" " + word).encode()
+        alpha, logs = [np.ones(3)], [np.zeros(3)]
+        # plain forward sums of scaled numbers, place by place
+        for j in range(1, len(raw) + 1):
+            total = np.zeros(3)
+            for k in range(1, min(j, pieces.longest) + 1):
+                x = np.frombuffer(raw[j - k : j], np.uint8)
+                found = int(pieces.find(langid.hashes(x, np.array([0]), np.array([k])))[0])
+                if found < pieces.n:
+                    total += alpha[j - k] * np.exp(logs[j - k] - logs[j - 1]) * p[found]
+            alpha.append(np.ones(3)), logs.append(logs[j - 1] + np.log(total))
+        model = langid.Model(["a", "b", "c"], pieces, p)
+        data = np.frombuffer(word.encode(), np.uint8)
+        got, n = model.scores(data, np.array([0, len(data)]))
+        assert n.tolist() == [1] and np.allclose(got[0], logs[-1], rtol=1e-9)
+
+
+def test_parts_to_learn_from_end_with_characters():
+    for word in ("é" * 60, "a" * 39, "a" * 40, "日" * 500, "", "aé" * 33):
+        parts = langid.parts(word.encode())
+        assert b"".join(parts) == word.encode() and all(len(x.decode().encode()) < langid.LONGEST for x in parts)
+
+
+def test_fit_in_tasks_equals_one_fit(spark):
+    """The rounds over tasks give the probabilities of the same rounds over all words at once."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["thing", "other", "Strasse", "schön", "x" * 90]) for _ in range(12)), ("xx", "yy")[i % 2], "a") for i in range(60)]
+    model = langid.train(make(spark, rows), VOCABULARY)
+    count = {}
+    for _, text, lang, _ in rows:
+        for word in text.split():
+            for part in langid.parts(word.lower().encode()):
+                count.setdefault(part, [0, 0])[("xx", "yy").index(lang)] += 1
+    texts = sorted(count)
+    p = np.ones((model.pieces.n, 2)) / model.pieces.n
+    for _ in range(langid.ROUNDS):
+        p = langid.SMOOTH + langid.expected(texts, np.array([count[x] for x in texts], float), model.pieces, p)
+        p /= p.sum(0)
+    assert np.allclose(model.p, p, rtol=1e-4, atol=1e-9)
+
+
 def test_licenses(docs, empty, spark):
     texts = {
         "Released under the MIT License.": ("mit", "mit", 1.0), "see the mit-license, Mit license": ("mit", "mit", 0.5), "Licensed under CC BY-NC 4.0.": ("", "cc-by-nc", 1.0), "This work is licensed under the GNU General Public License, version 3.": ("gpl", "gpl", 1.0),
