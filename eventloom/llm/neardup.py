@@ -7,7 +7,8 @@ the signatures of pairs that got that far (the skip). At a similarity of 0.85 a
 with a probability of 4e-8, at 0.8 with one of 1.2e-5. Pairs that pass are confirmed on their full shingle sets.
 
 Equal sets are one document. Documents whose shingles mostly stand alone leave the lists first, as they can have no link.
-Within a posting list documents are then compared with one leader, in STARS rounds; last, only documents of different
+Within a posting list documents are then compared with one leader, first each with the leader of most of its lists, then in STARS
+rounds with all; last, only documents of different
 components are paired, and only if the parts they share with anyone are large enough. So a list of copies never makes all
 its pairs.
 """
@@ -209,13 +210,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = lambda df, x: df.withColumnsRenamed({"d": x, "n": f"n{x}", "m": f"m{x}"})
     edges = member.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     labels = None
-    for turn in range(STARS):
+    for turn in range(STARS + 1):
         # the first leader is the document that shares most of its set, as the common source of copies does
-        by = F.struct(-F.col("m") / F.col("n") if turn == 0 else F.xxhash64("d", F.lit(turn)), F.col("d"))
+        by = F.struct(-F.col("m") / F.col("n") if turn < 2 else F.xxhash64("d", F.lit(turn)), F.col("d"))
         now = _labelled(posts, labels)
         mixed = now.groupBy("v", "band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(by).getField("d").alias("a")).where("x <> y").select("v", "band", "a")
         lead = now.select("v", F.col("d").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca")).join(mixed, ["v", "a"]).distinct()
         pairs = named(now, "b").join(lead, ["v", "band"]).where((F.col("component") != F.col("ca")) & (F.col("a") != F.col("b")) & possible("a", "b"))
+        if turn == 0:
+            # one leader a document, that of most of its values: copies of one source meet there, and what the others would
+            # tell of them needs no comparing any more; the next turns take all leaders of other components
+            pairs = pairs.groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
         edges = saved(edges.unionByName(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signed, docs, percent)))
         labels = saved(components(edges))
     # what is left: documents of different components under one value, of sizes and shared parts that allow a link
