@@ -43,8 +43,18 @@ CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising bann
 popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies respond share sharing social related
 recommended newsletter subscribe subscription signup login search widget pagination pager toolbar contentinfo complementary""".split())
 CHROME_STARTS = tuple("commentlist commentform advert sidebar cookie newsletter subscri breadcrumb sponsor footer navig navbar popup banner disqus".split())
+#: What says so as a class name's last word, too: reader-comments, wp-block-ad.
+LAST_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor promo banner cookie cookies consent gdpr notices alert legal disclaimer popup
+modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reviews discussion discussions disqus replies newsletter widget
+toolbar pagination pager""".split())
+#: Before such a word, what says that the element only has to do with it; after it, that it is without or only able to.
+ABOUT, WITHOUT = frozenset("has no not non with without is hide show js category tag".split()), frozenset("free less open closed enabled disabled".split())
+#: A reader's comment, and what else its class name may say: of articles these words count, whatever else they are.
+COMMENT_WORDS, COMMENT_PARTS = frozenset("comment comments reply replies discussion disqus".split()), frozenset("div li item list thread body reader readers user single parent child content entry post text depth even odd byuser".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 MAIN_WORDS = frozenset("article content post entry story".split())
+#: What says less than one in so many words of another candidate isn't the main text.
+SHARE = 4
 #: What a class name may say before the word that tells what the element is.
 PLACES = MAIN_WORDS | frozenset("site page main global primary secondary top bottom left right blog".split())
 BLOCKS = frozenset("""p div section article main header footer aside nav h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote
@@ -65,7 +75,15 @@ def _names_chrome(name: str) -> bool:
     parts = _WORD.findall(name)
     while parts and parts[0] in PLACES:
         parts.pop(0)
-    return bool(parts) and parts[-1] not in ("free", "less") and (parts[0] in CHROME_WORDS or parts[0].startswith(CHROME_STARTS))
+    if not parts or parts[-1] in WITHOUT:
+        return False
+    return parts[0] in CHROME_WORDS | LAST_WORDS or parts[0].startswith(CHROME_STARTS) or parts[-1] in LAST_WORDS and parts[0] not in ABOUT
+
+
+def _names_comment(name: str) -> bool:
+    """Whether a class name says a reader's comment and nothing else: comment-body and div-comment-12 do, comments-open doesn't."""
+    parts = set(_WORD.findall(name))
+    return not COMMENT_WORDS.isdisjoint(parts) and parts <= COMMENT_WORDS | COMMENT_PARTS
 
 
 ARTICLE, OPEN, NONE = 0, 1, 2
@@ -75,7 +93,7 @@ FORMS = frozenset(("form", "fieldset"))
 
 
 def _kind(name: str, attributes: str) -> tuple[int, bool, int]:
-    """Whether an element is chrome anywhere (SOFT: unless it holds the page's only main element), whether outside articles, and its rank as the place of the main text (0: none)."""
+    """Whether an element is chrome anywhere (SOFT: unless it holds the page's only main element, RESET: unless it is that), whether outside articles, and its rank as the place of the main text (0: none)."""
     words, names, hidden, role = set(), [], False, ""
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
@@ -93,33 +111,42 @@ def _kind(name: str, attributes: str) -> tuple[int, bool, int]:
                 hidden |= key == "hidden" or value == "true"
     # the page itself and its main elements are what they are, whatever their classes say
     whole = name in ("html", "body", "main", "article") or role in ("main", "article") or any((w := _WORD.findall(n)) and MAIN_WORDS.issuperset(w) for n in names)
-    chrome = HARD if hidden or name in CHROME and name not in FORMS else SOFT if name in FORMS or not whole and any(map(_names_chrome, names)) else 0
+    comment = name not in ("html", "body", "main") and any(map(_names_comment, names))
+    chrome = HARD if hidden or name in CHROME and name not in FORMS else SOFT if name in FORMS or comment or not whole and any(map(_names_chrome, names)) else 0
+    # an article that is nothing but a teaser or an advert by its classes
+    if not chrome and name == "article" and any(map(_names_chrome, names)) and not any((w := _WORD.findall(n)) and MAIN_WORDS.issuperset(w) for n in names):
+        chrome = RESET
     head = name == "header" or not whole and bool(words & HEAD_WORDS)
     main = 3 if name == "article" or role == "article" else 2 if name == "main" or role == "main" else 1 if name in ("div", "section", "td") and words & MAIN_WORDS else 0
     return chrome, head, main
 
 
-def parse(source: str) -> list[tuple[str, int, int]]:
-    """(text, rank of the main element around it, whether it is chrome: HARD, SOFT, or RESET in a main element within soft chrome) of each block, in order."""
-    blocks: list[tuple[str, int, int]] = []
+#: Where a block is: whether in a main element; the outermost article around it and the article next to that (0: none), by
+#: number; whether in an element named as content.
+NOWHERE = (False, 0, 0, False)
+
+
+def parse(source: str) -> list[tuple[str, tuple[bool, int, int, bool], int]]:
+    """(text, where it is, whether it is chrome: HARD, SOFT, or RESET in a main element within soft chrome) of each block, in order."""
+    blocks: list[tuple[str, tuple[bool, int, int, bool], int]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # name, rank, chrome
+    stack: list[tuple[str, tuple[bool, int, int, bool], int]] = []  # name, place, chrome
     opened: dict[str, int] = {}  # how many of a name are on the stack
-    rank, chrome = 0, 0
+    place, chrome, articles = NOWHERE, 0, 0
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                blocks.append((text, rank, chrome))
+                blocks.append((text, place, chrome))
             held.clear()
 
     def pop_to(depth: int) -> None:
-        nonlocal rank, chrome
+        nonlocal place, chrome
         for element in stack[depth:]:
             opened[element[0]] -= 1
         del stack[depth:]
-        rank, chrome = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+        place, chrome = (stack[-1][1], stack[-1][2]) if stack else (NOWHERE, 0)
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -154,32 +181,71 @@ def parse(source: str) -> list[tuple[str, int, int]]:
         if stack and (name in SELF_CLOSING and stack[-1][0] == name or name in BLOCKS and stack[-1][0] == "p"):
             pop_to(len(stack) - 1)
         own, head, main = _kind(name, m[4])
-        new_chrome = HARD if HARD in (chrome, own) else SOFT if own else RESET if chrome and main >= 2 else chrome
-        new_rank = rank if new_chrome in (HARD, SOFT) else max(rank, main)
-        if head and not new_rank and not new_chrome:
+        new_chrome = HARD if HARD in (chrome, own) else SOFT if own == SOFT else RESET if own == RESET or chrome and main >= 2 else chrome
+        new_place = place
+        if main and new_chrome not in (HARD, SOFT):
+            articles += main == 3
+            inside, outer, inner, named = place
+            new_place = (inside or main == 2, outer or (articles if main == 3 else 0), inner or (articles if main == 3 and outer else 0), named or main == 1)
+        if head and new_place == NOWHERE and not new_chrome:
             new_chrome = SOFT
         if new_chrome != chrome:
             flush()
         if m[4].endswith("/") and name not in BLOCKS:
             continue
-        if name in BLOCKS or new_rank != rank or new_chrome != chrome:
-            stack.append((name, new_rank, new_chrome))
+        if name in BLOCKS or new_place != place or new_chrome != chrome:
+            stack.append((name, new_place, new_chrome))
             opened[name] = opened.get(name, 0) + 1
-            rank, chrome = new_rank, new_chrome
+            place, chrome = new_place, new_chrome
     if at < len(source):
         held.append(source[at:])
     flush()
     return blocks
 
 
+def _chosen(blocks: list[tuple[int, tuple[bool, int, int, bool]]]) -> list[bool]:
+    """Which of the blocks (words, place) are the main text, by the words that each candidate holds.
+
+    A main element goes before articles outside it, and these before elements named as content, unless the latter hold over
+    SHARE times its words. In a main element its articles are the text if its own words are less than one in SHARE of
+    theirs, and teasers if its own words are as many; else it is the text as a whole. An article in an article goes with
+    it only if it is the longer one, as comments and related pages are not."""
+    size = [0, 0, 0]  # in a main element; of the longest article outside; elsewhere in elements named as content
+    inside, own, inner = 0, {}, {}
+    for n, (main, article, second, named) in blocks:
+        if main:
+            size[0] += n
+            inside += n * (article > 0)
+        elif not article:
+            size[2] += n * named
+        if article:
+            of, key = (inner, second) if second else (own, (main, article))
+            of[key] = of.get(key, 0) + n
+    size[1] = max([0, *(n for (main, _), n in own.items() if not main), *(inner[k] for n, (main, a, k, _) in blocks if k and not main)])
+    if not any(size):
+        return [False] * len(blocks)
+    best = next(i for i in range(3) if size[i] and SHARE * size[i] >= max(size[i:]))
+    rest = size[0] - inside
+    out = []
+    for _, (main, article, second, named) in blocks:
+        if best == 0:
+            ok = main and (rest < inside if article else not SHARE * rest < inside)
+        else:
+            ok = not main and (article > 0 or best == 2 and named) and (best == 1 or named)
+        out.append(ok and not (second and inner[second] <= own.get((main, article), 0)))
+    return out
+
+
 def zones(source: str) -> list[tuple[str, int]]:
     """(text, zone) of each block: with an element of the main text, its blocks are the article; without, all but chrome
     are open. A main element within soft chrome counts only if there is none elsewhere."""
     found = parse(source)
-    if not any(r for _, r, chrome in found if not chrome):
-        found = [(text, r, 0 if chrome == RESET else chrome) for text, r, chrome in found]
-    most = max((r for _, r, chrome in found if not chrome), default=0)
-    return [(text, NONE if chrome or most and r < most else ARTICLE if most else OPEN) for text, r, chrome in found]
+    if all(place == NOWHERE for _, place, chrome in found if not chrome):
+        found = [(text, place, 0 if chrome == RESET else chrome) for text, place, chrome in found]
+    live = [(len(text.split()), place) for text, place, chrome in found if not chrome]
+    chosen = _chosen(live)
+    marked, each = any(chosen), iter(chosen)
+    return [(text, NONE if chrome else ARTICLE if next(each) else NONE if marked else OPEN) for text, _, chrome in found]
 
 
 _STEP = seeds(RUN, 29) | U64(1)

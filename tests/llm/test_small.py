@@ -653,3 +653,30 @@ def test_extraction_of_quotes():
 ])
 def test_extraction_of_classes(page):
     assert [t for t, z in extraction.zones(page) if z == extraction.ARTICLE] == ["whole text"]
+
+
+STORY = " ".join(f"story{i}" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<main><p>Main story</p></main><article><p>teaser</p></article>", ["Main story"]),
+        ("<main><p>Main story</p><article><p>teaser</p></article></main>", ["Main story"]),
+        (f"<main><h1>Site</h1><article><p>{STORY}</p></article><p>More</p></main>", [STORY]),
+        (f"<main><p>{STORY}</p><article><p>{STORY} part</p></article><article><p>{STORY} end</p></article></main>", [STORY, STORY + " part", STORY + " end"]),
+        (f"<main><p>Loading</p></main><article><p>{STORY}</p></article>", [STORY]),
+        (f'<div class="content"><p>{STORY}</p></div><article><p>teaser</p></article>', [STORY]),
+        (f"<article><p>{STORY}</p><article><p>reader says</p></article><article><p>{STORY[:200]}</p></article></article>", [STORY]),
+        (f"<article><h1>Title</h1><article><p>{STORY}</p></article></article>", ["Title", STORY]),
+        ('<article><p>text</p></article><article class="comment"><p>reader says</p></article>', ["text"]),
+        ('<article><p>text</p></article><article id="div-comment-12" class="comment-body"><p>reader says</p></article>', ["text"]),
+        ('<article class="post comments-open category-social"><p>text</p></article>', ["text"]),
+        ('<article><p>text</p></article><article class="related-story"><p>teaser</p></article>', ["text"]),
+        ('<nav>menu</nav><article class="sponsored"><p>text</p></article>', ["text"]),
+        *[(f'<article><p>text</p><div class="{c}"><p>other</p></div><p>end</p></article>', ["text", "end"]) for c in ("reader-comments", "user-reviews", "discussion", "wp-block-ad", "gdpr", "alert", "legal", "site-alert")],
+        *[(f'<article><p>text</p><div class="{c}"><p>more</p></div></article>', ["text", "more"]) for c in ("has-sidebar", "ad-free", "no-comments", "with-ads", "legally", "adapter")],
+    ],
+)
+def test_extraction_chooses_by_evidence(page, expected):
+    assert [t for t, z in extraction.zones(page) if z == extraction.ARTICLE] == expected
