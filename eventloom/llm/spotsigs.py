@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, CHUNK, U64, mix, span_hashes, spans
+from ._common import ALNUM, CHUNK, U64, mix, saved, span_hashes, spans
 
 CHAIN = 2
 #: Common words of four languages.
@@ -29,7 +29,10 @@ el los las y por con para una del se al lo como más su sus
 """.split()
 #: Without enough common words, about one word in so many is an anchor.
 SPARSE = 16
-ROWS_A_PART, LEAST_PARTS, SAMPLE, FANOUT = 2048, 64, 64, 64
+#: A range of ids is a power of two of them: 2 ** LEAST_BITS, or more (STEP bits at a time) while none holds more than MOST rows.
+LEAST_BITS, STEP, MOST = 11, 2, 8192
+#: Tasks of the shuffle, and rows of one; ranges of a window; ranges up to which their list is sent to every task.
+LEAST_PARTS, ROWS_A_TASK, RANGES, FEW = 64, 4096, 1 << 12, 1_000_000
 _FIRST = np.iinfo(np.int64).min
 
 
@@ -142,16 +145,29 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, size = rows[-1:], len(text)
 
 
-def _range_of(k: Column, cuts: list[int]) -> Column:
-    """How many of the cuts are below k: a search tree of FANOUT branches a level."""
-    levels = [cuts]
-    while len(levels[0]) > FANOUT:
-        levels.insert(0, levels[0][FANOUT - 1 :: FANOUT])
-    below = F.lit(0)
-    for i, level in enumerate(levels):
-        near = F.slice(F.lit(level), below * FANOUT + 1, FANOUT) if i else F.lit(level)
-        below = (below * FANOUT if i else F.lit(0)) + F.size(F.filter(near, lambda x: x < k))
-    return below if cuts else F.lit(0)
+def ranges(ids: DataFrame) -> tuple[DataFrame, int]:
+    """Ranges of ids (k), and of how many bits of an id they are: (part, top, above) of each that has rows: its greatest
+    id, and the next range above it that has rows; of the highest range, the lowest.
+
+    An id tells its range, so no row looks for it among cuts. Where ids are dense, a range is as many rows; where they are
+    sparse everywhere, ranges are wider."""
+    fine = saved(ids.groupBy(F.shiftright("k", LEAST_BITS).alias("part")).agg(F.count("*").alias("rows"), F.max("k").alias("top")))
+    wide = 0
+    while LEAST_BITS + wide + STEP < 63:
+        counts = fine.groupBy(F.shiftright("part", wide + STEP).alias("part")).agg(F.sum("rows").alias("rows"))
+        most, n = counts.agg(F.max("rows"), F.count("*")).first()
+        if n == 0 or most > MOST:
+            break
+        wide += STEP
+        if n == 1:
+            break
+    found = fine.groupBy(F.shiftright("part", wide).alias("part")).agg(F.max("top").alias("top")).withColumn("block", F.floor(F.col("part") / RANGES))
+    # the next range within a block of ranges; of a block's last one, the first of the next block
+    blocks = found.groupBy("block").agg(F.min("part").alias("lowest"))
+    order = Window.orderBy("block")
+    blocks = blocks.withColumn("beyond", F.coalesce(F.lead("lowest").over(order), F.min("lowest").over(Window.partitionBy()))).drop("lowest")
+    found = found.withColumn("above", F.lead("part").over(Window.partitionBy("block").orderBy("part"))).join(blocks, "block")
+    return found.select("part", "top", F.coalesce("above", "beyond").alias("above")), LEAST_BITS + wide
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -165,22 +181,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Documents are dealt into ranges of doc_id; the first row of the range below is carried to the end of each range.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.coalesce("doc_id", F.lit(_FIRST)))
-    spark, ids = docs.sparkSession, docs.select("k")
-    n = ids.count()
-    parts = max(LEAST_PARTS, n // ROWS_A_PART)
-    # cuts from a sample of ids, SAMPLE a part
-    rate = min(1.0, parts * SAMPLE / max(n, 1)) * 1_000_000
-    some = ids.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate).toArrow().column("k").to_numpy()
-    cuts = np.unique(np.quantile(some, np.arange(1, parts) / parts, method="lower")).tolist() if len(some) else []
-    part = _range_of(F.col("k"), cuts)
-    # the greatest id of each range, and the range above it, where its row is carried; the greatest of all goes to the lowest
-    greatest = [tuple(r) for r in ids.groupBy(part.alias("part")).agg(F.max("k").alias("k")).orderBy("part").collect()]
-    above = [p for p, _ in greatest[1:] + greatest[:1]]
-    carry = spark.createDataFrame([(k, a) for (_, k), a in zip(greatest, above, strict=True)], "k long, above int")
-    rows = docs.withColumn("part", part.cast("int")).join(F.broadcast(carry), "k", "left")
+    ids = docs.select("k")
+    tasks = max(LEAST_PARTS, ids.count() // ROWS_A_TASK)
+    found, bits = ranges(ids)
+    carry = saved(found.select(F.col("top").alias("k"), "above"))
+    # the greatest id of each range says where its row is carried
+    rows = docs.withColumn("part", F.shiftright("k", bits)).join(F.broadcast(carry) if carry.count() <= FEW else carry, "k", "left")
     places = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("carried")), F.struct(F.col("above").alias("part"), F.lit(True).alias("carried")))
     rows = rows.select("k", "doc_id", "text", F.explode(F.filter(places, lambda x: x["part"].isNotNull())).alias("p")).select("p.part", "p.carried", "k", "doc_id", "text")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "carried", F.desc("k"), "text")
+    rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "carried", F.desc("k"), "text")
     return rows.select("part", "carried", "doc_id", "text").mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

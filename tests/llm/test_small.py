@@ -434,10 +434,27 @@ def test_spots_by_brute_force(docs):
 
 
 def test_ranges(spark):
-    for n in (0, 1, 64, 65, 5000):
-        cuts = sorted(rng.sample(range(20000), n))
-        for r in spark.range(0, 20000, 97).select("id", spotsigs._range_of(F.col("id"), cuts).alias("p")).collect():
-            assert r.p == sum(c < r.id for c in cuts)
+    far = [-(2**63), -5, 2**40, 2**62, 2**63 - 1]
+    for ids in ([], [7], range(0, 9000), [*range(3, 30000, 2), *far], sorted({rng.randrange(-(2**62), 2**62) for _ in range(3000)}), [5] * 20000 + [6, 2**50], range(0, 2**34, 2**20)):
+        found, bits = spotsigs.ranges(spark.createDataFrame([(i,) for i in ids], "k long"))
+        found = sorted(found.collect())
+        want = {}
+        for i in ids:
+            want.setdefault(i >> bits, []).append(i)
+        parts = sorted(want)
+        assert [(r.part, r.top, r.above) for r in found] == [(p, max(want[p]), parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)]
+        assert all(len(v) <= spotsigs.MOST or len(set(v)) <= 2**spotsigs.LEAST_BITS for v in want.values())
+    assert len(found) < 17000 // 100  # sparse ids: wide ranges
+
+
+def test_spotsigs_of_odd_ids(spark):
+    """Dense, sparse, negative and extreme ids: every row meets the next smaller id's."""
+    ids = [*range(0, 5000), *range(10**6, 10**9, 10**7), -3, -(2**62), 2**62, None]
+    frame = make(spark, [(i, f"text of {i} the {i} and", None, None) for i in ids])
+    order = sorted(ids, key=lambda i: -(2**63) if i is None else i, reverse=True)
+    text = lambda k: f"text of {order[k % len(ids)]} the {order[k % len(ids)]} and"
+    want = {i: hashlib.sha256(spotsigs.edited(text(k), text(k + 1)).encode()).hexdigest() for k, i in enumerate(order)}
+    assert {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(frame).collect()} == want
 
 
 def test_quality(docs, empty, spark):
