@@ -30,7 +30,7 @@ el los las y por con para una del se al lo como más su sus
 #: Without enough common words, about one word in so many is an anchor.
 SPARSE = 16
 #: A range of ids is a power of two of them: 2 ** LEAST_BITS, or more (STEP bits at a time) while none holds more than MOST rows.
-LEAST_BITS, STEP, MOST = 11, 2, 8192
+LEAST_BITS, STEP, MOST = 11, 2, 4096
 #: Tasks of the shuffle, and rows of one; ranges of a window; ranges up to which their list is sent to every task.
 LEAST_PARTS, ROWS_A_TASK, RANGES, FEW = 64, 4096, 1 << 12, 1_000_000
 _FIRST = np.iinfo(np.int64).min
