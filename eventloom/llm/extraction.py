@@ -14,6 +14,7 @@ frequent enough.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -47,6 +48,7 @@ CHROME_STARTS = tuple("commentlist commentform advert sidebar cookie newsletter
 LAST_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor promo banner cookie cookies consent gdpr notices alert legal disclaimer popup
 modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reviews discussion discussions disqus replies newsletter widget
 toolbar pagination pager""".split())
+FIRST_WORDS = CHROME_WORDS | LAST_WORDS
 #: Before such a word, what says that the element only has to do with it; after it, that it is without or only able to.
 ABOUT, WITHOUT = frozenset("has no not non with without is hide show js category tag".split()), frozenset("free less open closed enabled disabled".split())
 #: A reader's comment, and what else its class name may say: of articles these words count, whatever else they are.
@@ -77,7 +79,7 @@ def _names_chrome(name: str) -> bool:
         parts.pop(0)
     if not parts or parts[-1] in WITHOUT:
         return False
-    return parts[0] in CHROME_WORDS | LAST_WORDS or parts[0].startswith(CHROME_STARTS) or parts[-1] in LAST_WORDS and parts[0] not in ABOUT
+    return parts[0] in FIRST_WORDS or parts[0].startswith(CHROME_STARTS) or parts[-1] in LAST_WORDS and parts[0] not in ABOUT
 
 
 def _names_comment(name: str) -> bool:
@@ -92,6 +94,7 @@ HARD, SOFT, RESET = 1, 2, 3
 FORMS = frozenset(("form", "fieldset"))
 
 
+@functools.lru_cache(4096)
 def _kind(name: str, attributes: str) -> tuple[int, bool, int]:
     """Whether an element is chrome anywhere (SOFT: unless it holds the page's only main element, RESET: unless it is that), whether outside articles, and its rank as the place of the main text (0: none)."""
     words, names, hidden, role = set(), [], False, ""
