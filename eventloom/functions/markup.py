@@ -1,8 +1,8 @@
 """A page as one text and a flat list of its elements, from one pass with a stack; its scripts apart.
 
-An element is its tag, the attributes that parsers ask for, the range of the page's text that it holds, the place of its
-last descendant, and the places of the table row and of the list item around it. So its text is a slice, and what it holds
-is a slice of the list; no parser looks for where an element ends.
+An element is its tag, the attributes that parsers ask for, the ranges of the page's text and of its source that it holds,
+the place of its last descendant, and the places of the table row and of the list item around it. So its text, its markup
+and the markup around it are slices, and what it holds is a slice of the list; no parser looks for where an element ends.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .text import squeezed
 
-_KINDS = {**dict.fromkeys(("at", "last"), T.IntegerType()), **dict.fromkeys(("tag", "href", "cls", "id", "label"), T.StringType()), **dict.fromkeys(("a", "b", "row", "item"), T.IntegerType()), **dict.fromkeys(("main", "aside"), T.BooleanType())}
+_KINDS = {**dict.fromkeys(("at", "last"), T.IntegerType()), **dict.fromkeys(("tag", "href", "cls", "id", "label"), T.StringType()), **dict.fromkeys(("a", "b", "start", "end", "link", "row", "item"), T.IntegerType()), **dict.fromkeys(("main", "aside"), T.BooleanType())}
 PAGE = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("scripts", T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("type", "text")]))),
     T.StructField("elements", T.ArrayType(T.StructType([T.StructField(k, kind) for k, kind in _KINDS.items()]))),
@@ -40,9 +40,15 @@ def names_item(tag: str, cls: str) -> bool:
 
 
 class _Page(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, source: str) -> None:
         super().__init__(convert_charrefs=True)
         self.chunks, self.size, self.scripts, self.elements, self.open = [], 0, [], [], []
+        self.source, self.line_starts = source, [0, *(m.end() for m in re.finditer("\n", source))]
+
+    def _place(self) -> int:
+        """Where in the source the tag that is read begins."""
+        line, column = self.getpos()
+        return self.line_starts[line - 1] + column
 
     def _write(self, data: str) -> None:
         self.chunks.append(data)
@@ -50,6 +56,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = {k: v or "" for k, v in reversed(attrs)}
+        start, written = self._place(), self.get_starttag_text() or ""
+        link = re.search(r"(?i)\bhref\s*=", written) if "href" in own else None
         cls, at = own.get("class", ""), len(self.elements)
         above = self.elements[self.open[-1]] if self.open else {"row": None, "item": None, "main": False, "aside": False}
         if tag in LINES:
@@ -57,6 +65,7 @@ class _Page(HTMLParser):
         label = next((own[k].strip() for k in ("aria-label", "title", "alt") if own.get(k, "").strip()), None)
         element = {
             "at": at, "last": at, "tag": tag, "href": own.get("href"), "cls": cls, "id": own.get("id"), "label": label, "a": self.size, "b": self.size,
+            "start": start, "end": start + len(written), "link": start + link.start() if link else None,
             "row": at if tag == "tr" else above["row"], "item": at if names_item(tag, cls) else above["item"], "main": above["main"] or tag == "main",
             "aside": above["aside"] or tag in ASIDE_TAGS or tag in ASIDE_BLOCKS and any(w in cls.lower() for w in ASIDE_WORDS),
         }
@@ -69,15 +78,17 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
             if self.elements[self.open[depth]]["tag"] == tag:
-                for at in self.open[depth:]:
-                    self._end(at)
+                start = self._place()
+                for at in self.open[depth + 1 :]:
+                    self._end(at, start)
+                self._end(self.open[depth], self.source.find(">", start) + 1 or len(self.source))
                 del self.open[depth:]
                 break
         if tag in LINES:
             self._write("\n")
 
-    def _end(self, at: int) -> None:
-        self.elements[at]["last"], self.elements[at]["b"] = len(self.elements) - 1, self.size
+    def _end(self, at: int, end: int) -> None:
+        self.elements[at].update(last=len(self.elements) - 1, b=self.size, end=end)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.elements[self.open[-1]]["tag"] in SILENT:
@@ -88,13 +99,13 @@ class _Page(HTMLParser):
     def close(self) -> None:
         super().close()
         for at in self.open:
-            self._end(at)
+            self._end(at, len(self.source))
 
 
 def page_of(source: str | None) -> dict:
     """The page of a source; of null, one without elements."""
-    p = _Page()
-    p.feed(source or "")
+    p = _Page(source or "")
+    p.feed(p.source)
     p.close()
     return {"text": "".join(p.chunks), "scripts": p.scripts, "elements": p.elements}
 
@@ -118,10 +129,15 @@ def shown(p: Column, element: Column) -> Column:
     return squeezed(lines(p, element))
 
 
-def near(p: Column, element: Column, radius: int) -> Column:
-    """The text of an element and so many characters before and after it."""
-    start = F.greatest(element["a"] - radius, F.lit(0))
-    return F.substr(p["text"], start + 1, element["b"] + radius - start)
+def written(html: Column, element: Column) -> Column:
+    """An element's markup, from its start tag to its end tag, or to where another one's ends it."""
+    return F.substr(html, element["start"] + 1, element["end"] - element["start"])
+
+
+def around(html: Column, place: Column, radius: int) -> Column:
+    """So many characters of markup before a place in the source and from it on."""
+    start = F.greatest(place - radius, F.lit(0))
+    return F.substr(html, start + 1, place + radius - start)
 
 
 def inside(p: Column, element: Column) -> Column:

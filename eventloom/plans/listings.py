@@ -90,6 +90,24 @@ def listing_marathonmate(spark: SparkSession, sf: str) -> DataFrame:
     return listing.marathonmate(customers(spark, sf, form)).select("page_id", "name", "event_date", "detail")
 
 
+@query(C + r"""
+, s(source, href, radius, mark) AS (VALUES ('runningmap', '/race/view/', 300, '<a '), ('marathonmate', '/race/view/', 300, '<a '), ('kaaf', 'view.asp?no=', 500, '<a '), ('maedal', '/races/u-', 500, 'href=')),
+p AS (SELECT source, radius, mark, k, href || k AS detail, '<p>' || strftime(d, '%Y-%m-%d') || '</p>' || repeat('<i></i>', (k % 90)::INTEGER) || '<a href="' || href || k || '">대회 Marathon ' || k || '</a>' || repeat('<u></u>', (k * 7 % 80)::INTEGER) || '<p>장소: Field ' || k || '</p>' AS html FROM c, s),
+i AS (SELECT *, strpos(html, mark) - 1 AS i FROM p), w AS (SELECT *, substr(html, greatest(i - radius, 0) + 1, i + radius - greatest(i - radius, 0)) AS m FROM i)
+SELECT source AS source_id, k AS page_id, CASE WHEN source <> 'maedal' THEN '대회 Marathon ' || k ELSE coalesce(nullif(regexp_extract(m, '>([^<가-힣]{4,60})<', 1), ''), '마라톤 대회') END AS name, regexp_extract(m, '\d{4}-\d{2}-\d{2}') AS event_date, detail,
+coalesce(CASE WHEN source = 'runningmap' THEN nullif(trim(regexp_extract(m, '장소[^<]*?:\s*([^<\n]{2,30})', 1)), '') END, '미상') AS venue FROM w WHERE regexp_matches(m, '\d{4}-\d{2}-\d{2}')""")
+def listing_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Links outside of rows and items, at many distances from a date and a place: what counts is the markup between."""
+    key = F.col("c_custkey")
+    form = '<p>{day}</p>{before}<a href="{href}{k}">대회 Marathon {k}</a>{after}<p>장소: Field {k}</p>'
+    pads = {"before": F.repeat(F.lit("<i></i>"), (key % 90).cast("int")), "after": F.repeat(F.lit("<u></u>"), (key * 7 % 80).cast("int"))}
+    found = []
+    for parser, href in ((listing.runningmap, "/race/view/"), (listing.marathonmate, "/race/view/"), (listing.kaaf, "view.asp?no="), (listing.maedal, "/races/u-")):
+        pages = table(spark, sf, "customer").select(key.alias("page_id"), filled(form, **dated(key), **pads, href=F.lit(href)).alias("html"))
+        found.append(parser(pages).select(F.lit(parser.__name__).alias("source_id"), "page_id", "name", "event_date", "detail", "venue"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query(C + "SELECT k AS page_id, CASE WHEN k % 2 = 0 THEN 'Old Run ' ELSE 'Bare Run ' END || k AS name, CASE WHEN k % 2 = 0 THEN strftime(d, '%Y-%m-%d') ELSE '' END AS event_date, CASE WHEN k % 2 = 0 THEN '/race/view.php?idx=' ELSE '/races/b-' END || k AS detail FROM c")
 def listing_gorunning_undated(spark: SparkSession, sf: str) -> DataFrame:
     """Pages without dated headings: rows with a date of their own, or bare links without any."""

@@ -6,7 +6,7 @@ import random
 from pathlib import Path
 
 import pytest
-from eventloom.functions import text, urls
+from eventloom.functions import markup, text, urls
 from eventloom.operators import addresses, calendar, chains, dedupe, frontier, ordered, resolve
 from eventloom.sources import listing, published
 from eventloom.sources import pages as page_files
@@ -279,6 +279,29 @@ def test_list_parsers(page):
     assert rows_of(listing.marathonmate(page('<div class="race">2026-05-03 <a href="/race/m1">Mate Marathon</a></div>'))) == [("Mate Marathon", "2026-05-03", "/race/m1")]
 
 
+def test_windows_over_markup(page):
+    """Dates count by their distance in the source: markup between is counted, and a label of a neighbour is read."""
+    far, near = "<i></i>" * 80, "<i></i>" * 40
+    link = '<a href="/race/view/5">Map Marathon</a>'
+    for parse in (listing.runningmap, listing.marathonmate):
+        assert rows_of(parse(page(f"<p>2026-05-03</p>{far}{link}"))) == []
+        assert rows_of(parse(page(f"<p>2026-05-03</p>{near}{link}"))) == [("Map Marathon", "2026-05-03", "/race/view/5")]
+        assert rows_of(parse(page(f'{link}<b data-on="2026-05-03"></b>'))) == [("Map Marathon", "2026-05-03", "/race/view/5")]
+    assert rows_of(listing.maedal(page('<img alt="Maple Run"><a class="c" href="/races/u">x</a>2026.5.3'))) == [("Maple Run", "2026-05-03", "/races/u")]
+    assert rows_of(listing.kaaf(page(f'<p>2026.5.3</p>{far}<a href="v.asp">전국 마라톤</a>'))) == []
+    assert listing.runningmap(page(f"{link}<p>2026-05-03 장소 : Hall</p>")).first().venue == "Hall"
+
+
+def test_places_in_the_source():
+    source = "<ul>\n<li class='race'>a &amp; b<br>\n<a\n HREF='x'>c</a><p>d<p>e</li>\r\n<li>f</ul >g<b>h"
+    found = [(e["tag"], source[e["start"] : e["end"]]) for e in markup.page_of(source)["elements"]]
+    li = source[5 : source.index("</li>") + 5]
+    paragraphs = [("p", "<p>d<p>e"), ("p", "<p>e")]
+    assert found == [("ul", source[: source.index("g<b>")]), ("li", li), ("br", "<br>"), ("a", "<a\n HREF='x'>c</a>"), *paragraphs, ("li", "<li>f"), ("b", "<b>h")]
+    a = markup.page_of(source)["elements"][3]
+    assert source[a["link"] :].startswith("HREF")
+
+
 def test_registration_links(page):
     one = '\\"id\\":\\"%s\\",\\"registration_url\\":\\"https://a\\"' % ("a" * 36)
     two = '\\"id\\":\\"%s\\",\\"registration_url\\":null' % ("b" * 36)
