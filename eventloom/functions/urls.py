@@ -1,4 +1,8 @@
-"""URLs: one vectorised parser, and policies over its struct as built-in expressions."""
+"""URLs: one vectorised parser, and policies over its struct as built-in expressions.
+
+The parser also looks the labels of a host and the names and words of a path up among the fixed ones: what they say are bits of
+`marks`, so that a policy is a test of bits.
+"""
 
 from __future__ import annotations
 
@@ -59,8 +63,25 @@ IPV6_GLOBAL = "2000::/3"
 IPV6_PUBLIC = ["2001:1::1/128", "2001:1::2/128", "2001:1::3/128", "2001:3::/32", "2001:4:112::/48", "2001:30::/28"]
 IPV6_BLOCKED = ["2001::/23", "2001::/32", "2001:2::/48", "2001:10::/28", "2001:20::/28", "2001:db8::/32", "2002::/16", "3fff::/20"]
 
-_FIELDS = ["href", "scheme", "host", "port", "path", "query", "fragment", "credentials", "decoded", "deep", "family", "public"]
-URL_TYPE = T.StructType([T.StructField(k, {"credentials": T.BooleanType(), "public": T.BooleanType(), "family": T.IntegerType()}.get(k, T.StringType())) for k in _FIELDS])
+_FIELDS = ["href", "scheme", "host", "port", "path", "query", "fragment", "credentials", "decoded", "deep", "family", "public", "marks"]
+URL_TYPE = T.StructType([T.StructField(k, {"credentials": T.BooleanType(), "public": T.BooleanType(), "family": T.IntegerType(), "marks": T.IntegerType()}.get(k, T.StringType())) for k in _FIELDS])
+#: Bits of `marks`.
+PAYMENT, PRIVATE, REGISTRATION, LOGO, FILE, AGGREGATOR, LOCAL = (1 << i for i in range(7))
+
+
+def _bits(*classes: tuple[int, list[str]]) -> dict[str, int]:
+    """The bits of each word, over all classes that have it."""
+    out: dict[str, int] = {}
+    for bit, words in classes:
+        for word in words:
+            out[word] = out.get(word, 0) | bit
+    return out
+
+
+_LABELS = _bits((PAYMENT, PAYMENT_HOSTS), (REGISTRATION, REGISTRATION_NAMES))
+_NAMES = _bits((PRIVATE, PRIVATE_NAMES), (REGISTRATION, REGISTRATION_NAMES), (LOGO, LOGO_NAMES))
+_WORDS = _bits((PAYMENT, PAYMENT_PATHS))
+_HOSTS = _bits((AGGREGATOR, AGGREGATORS), (LOCAL, ["localhost"]))
 _SPECIAL = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 _PUBLIC6, _BLOCKED6 = ([ipaddress.ip_network(n) for n in x] for x in (IPV6_PUBLIC, IPV6_BLOCKED))
 _BLOCKED4, _GLOBAL6 = [ipaddress.ip_network(n) for n in IPV4_BLOCKED], ipaddress.ip_network(IPV6_GLOBAL)
@@ -125,6 +146,24 @@ def _decoded(path: str, passes: int, lower: bool) -> str | None:
     return None if re.search(r"%[0-9A-Fa-f]{2}", path) else path.lower() if lower else path
 
 
+def marks(host: str, path: str | None) -> int:
+    """What the labels of a host, without brackets and a final dot, and the names (segments without parameters and
+    extensions) and words of a decoded path say."""
+    out = _HOSTS.get(host.removeprefix("www."), 0)
+    if host.endswith((".localhost", ".local")):
+        out |= LOCAL
+    for label in host.split("."):
+        out |= _LABELS.get(label, 0)
+    if path is not None:
+        for segment in re.split(r"[\\/]", path):
+            out |= _NAMES.get(segment.partition(";")[0].rstrip(".").partition(".")[0], 0)
+        for word in re.split("[^a-z0-9]+", path):
+            out |= _WORDS.get(word, 0)
+        if path.endswith(tuple(FILES)):
+            out |= FILE
+    return out
+
+
 def parse_url(raw: str | None, base: str | None = None) -> dict | None:
     """The parts of a URL as browsers see them, resolved against a base; null if it can't be parsed or has no host."""
     if raw is None:
@@ -140,7 +179,7 @@ def parse_url(raw: str | None, base: str | None = None) -> dict | None:
     else:
         name, rest = scheme[1].lower(), text[scheme.end() :]
     if name not in _SPECIAL:
-        return {"href": text, "scheme": name, "host": "", "port": "", "path": "", "query": "", "fragment": "", "credentials": False, "decoded": None, "deep": None, "family": 0, "public": False}
+        return {"href": text, "scheme": name, "host": "", "port": "", "path": "", "query": "", "fragment": "", "credentials": False, "decoded": None, "deep": None, "family": 0, "public": False, "marks": 0}
     rest, _, fragment = rest.partition("#")
     rest, mark, query = rest.partition("?")
     rest = rest.replace("\\", "/")
@@ -169,15 +208,22 @@ def parse_url(raw: str | None, base: str | None = None) -> dict | None:
         address = ipaddress.ip_address(bare)
     except ValueError:
         address = None
+    decoded = _decoded(path, 4, True)
     return {
         "href": f"{name}://{host}{':' + port if port else ''}{path}{query}{fragment}", "scheme": name, "host": host, "port": port, "path": path, "query": query, "fragment": fragment,
-        "credentials": credentials, "decoded": _decoded(path, 4, True), "deep": _decoded(path, 8, False), "family": address.version if address else 0, "public": address is None or is_public(address),
+        "credentials": credentials, "decoded": decoded, "deep": _decoded(path, 8, False), "family": address.version if address else 0, "public": address is None or is_public(address),
+        "marks": marks(host.strip("[]").removesuffix("."), decoded),
     }
 
 
 @F.pandas_udf(URL_TYPE)
 def _url(raw: pd.Series, base: pd.Series) -> pd.DataFrame:
-    rows = [parse_url(a, b) for a, b in zip(raw, base, strict=True)]
+    seen: dict = {}
+    rows = []
+    for key in zip(raw, base, strict=True):
+        if key not in seen:
+            seen[key] = parse_url(*key)
+        rows.append(seen[key])
     return pd.DataFrame({k: pd.Series([None if r is None else r[k] for r in rows], dtype=object) for k in _FIELDS})
 
 
@@ -199,33 +245,18 @@ def bare_host(u: Column) -> Column:
     return F.regexp_replace(host_of(u), r"\Awww\.", "")
 
 
-def _names(path: Column) -> Column:
-    """The path's segments without parameters and extensions."""
-    return F.transform(F.split(path, r"[\\/]"), lambda s: F.split_part(F.regexp_replace(F.split_part(s, F.lit(";"), F.lit(1)), r"\.+\z", ""), F.lit("."), F.lit(1)))
-
-
-def _any(c: Column, words: list[str]) -> Column:
-    return F.coalesce(F.arrays_overlap(c, F.array(*map(F.lit, words))), F.lit(False))
-
-
-def has_private_name(path: Column) -> Column:
-    return _any(_names(path), PRIVATE_NAMES)
+def marked(u: Column, bits: int) -> Column:
+    """Whether an address has one of the marks."""
+    return F.coalesce(u["marks"].bitwiseAND(bits) != 0, F.lit(False))
 
 
 def is_web(u: Column) -> Column:
     return F.coalesce(u["scheme"].isin("http", "https"), F.lit(False))
 
 
-def is_local(host: Column) -> Column:
-    return (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
-
-
 def is_safe(u: Column) -> Column:
     """A public web page that isn't for payment or private."""
-    host, path = host_of(u), u["decoded"]
-    words = F.split(path, r"[^a-z0-9]+")
-    ok = is_web(u) & ~u["credentials"] & ~is_local(host) & u["public"] & ~_any(F.split(host, r"\."), PAYMENT_HOSTS)
-    return F.coalesce(ok & path.isNotNull() & ~has_private_name(path) & ~_any(words, PAYMENT_PATHS), F.lit(False))
+    return F.coalesce(is_web(u) & ~u["credentials"] & u["public"] & u["decoded"].isNotNull() & ~marked(u, PAYMENT | PRIVATE | LOCAL), F.lit(False))
 
 
 def safe_application(u: Column) -> Column:
@@ -233,7 +264,7 @@ def safe_application(u: Column) -> Column:
 
 
 def is_aggregator(u: Column) -> Column:
-    return F.coalesce(bare_host(u).isin(AGGREGATORS), F.lit(False))
+    return marked(u, AGGREGATOR)
 
 
 def query_pairs(u: Column) -> Column:
@@ -250,10 +281,9 @@ def is_homepage(u: Column) -> Column:
 
 def is_event_page(u: Column) -> Column:
     """Of an aggregator: whether the page is one event's."""
-    out = F.lit(False)
-    for hosts, path, query in EVENT_PAGES:
-        out |= bare_host(u).isin(hosts) & u["decoded"].rlike(rf"\A{path}\z") & (F.lit(True) if query is None else u["query"].rlike(rf"\A{query}\z"))
-    return F.coalesce(out, F.lit(False))
+    routes = [f"(?:{'|'.join(map(re.escape, hosts))})\n{path}\n" + ("[^\n]*" if query is None else query) for hosts, path, query in EVENT_PAGES]
+    parts = F.concat(bare_host(u), F.lit("\n"), u["decoded"], F.lit("\n"), u["query"])
+    return marked(u, AGGREGATOR) & F.coalesce(parts.rlike(rf"\A(?:{'|'.join(routes)})\z"), F.lit(False))
 
 
 def safe_event_application(u: Column) -> Column:
@@ -261,7 +291,7 @@ def safe_event_application(u: Column) -> Column:
 
 
 def is_registration(u: Column) -> Column:
-    return _any(F.split(host_of(u), r"\."), REGISTRATION_NAMES) | _any(_names(u["decoded"]), REGISTRATION_NAMES)
+    return marked(u, REGISTRATION)
 
 
 def safe_official(u: Column) -> Column:
@@ -305,11 +335,8 @@ def is_within(host: Column, hosts: Column) -> Column:
 
 def is_allowed_link(u: Column, kind: Column, own_hosts: Column) -> Column:
     safe = F.when(kind == "application", safe_application(u)).otherwise(safe_official(u))
-    host, path = F.regexp_replace(u["host"], r"\.+\z", ""), u["decoded"]
-    file = F.lit(False)
-    for extension in FILES:
-        file |= path.endswith(extension)
-    return F.coalesce(safe.isNotNull() & ~is_blocked_host(host) & ~file & ~is_within(host, own_hosts), F.lit(False))
+    host = F.regexp_replace(u["host"], r"\.+\z", "")
+    return F.coalesce(safe.isNotNull() & ~is_blocked_host(host) & ~marked(u, FILE) & ~is_within(host, own_hosts), F.lit(False))
 
 
 def destination(u: Column) -> Column:
@@ -323,7 +350,7 @@ def safe_logo(raw: Column, u: Column) -> Column:
     """An https image address without control characters, blocked names, or hosts that aren't public."""
     host = host_of(u)
     ok = (F.length(raw) <= 4096) & (raw == F.trim(raw)) & (raw != "") & ~raw.rlike(r"[\x00-\x1F\x7F]") & (u["scheme"] == "https") & ~u["credentials"]
-    ok &= (host != "") & ~F.array_contains(F.split(host, r"\."), "") & ~is_local(host) & u["public"] & u["decoded"].isNotNull() & ~_any(_names(u["decoded"]), LOGO_NAMES)
+    ok &= (host != "") & ~F.array_contains(F.split(host, r"\."), "") & u["public"] & u["decoded"].isNotNull() & ~marked(u, LOCAL | LOGO)
     return F.when(F.coalesce(ok, F.lit(False)), u["href"])
 
 
@@ -333,7 +360,7 @@ def safe_detail(raw: Column, u: Column, source: str) -> Column:
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(raw, r"\+", "%2B")), F.lit("\\"))
     clean = (raw == F.trim(raw)) & ~raw.rlike(r"[\x00-\x1F\x7F]") & ~F.contains(decoded, F.lit("\\")) & ~F.exists(F.split(F.regexp_extract(decoded, r"\A[^?#]*", 0), "/"), lambda s: s.isin(".", ".."))
     segments = F.split(F.lower(u["deep"]), "/")
-    clean &= ~u["credentials"] & (u["fragment"] == "") & u["deep"].isNotNull() & ~u["deep"].rlike(r"[\x00-\x1F\x7F\\]") & ~_any(segments, SENSITIVE) & ~F.exists(segments, lambda s: s.endswith(".pdf"))
+    clean &= ~u["credentials"] & (u["fragment"] == "") & u["deep"].isNotNull() & ~u["deep"].rlike(r"[\x00-\x1F\x7F\\]") & ~F.arrays_overlap(segments, F.array(*map(F.lit, SENSITIVE))) & ~F.exists(segments, lambda s: s.endswith(".pdf"))
     route = F.lit(False)
     for base, pages in DETAIL_PAGES[source]:
         here = F.concat(u["scheme"], F.lit("://"), u["host"], port_part(u)) == base
@@ -352,7 +379,7 @@ def resolve(u: Column, addresses: Column, official: Column) -> Column:
         F.when(u["href"].isNull(), "invalid-url")
         .when(~is_web(u), "unsupported-protocol")
         .when(u["credentials"], "credentials")
-        .when(is_local(host), "blocked-hostname")
+        .when(marked(u, LOCAL), "blocked-hostname")
         .when(literal & ~u["public"], "blocked-address")
         .when(~literal & (addresses.isNull() | (F.size(addresses) == 0)), "dns-failure")
         .when(~literal & F.exists(addresses, lambda a: ~a["public"]), "blocked-address")

@@ -251,7 +251,7 @@ def logo_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = _spread(spark, sf).select(k.alias("page_id"), name.alias("name"), day.alias("event_date"), _filled(form, n=name, d=day, c=c, k=k).alias("html"))
     rows = pages.withColumn("facts", html.page_facts("html")).withColumn("records", discover.records(F.col("facts.scripts")))
     rows = resolve.logos(rows.withColumn("candidates", resolve.logo_candidates(F.col("facts"), F.col("records"))), ["page_id"])
-    return rows.select("page_id", urls.safe_logo(F.col("raw"), urls.url(F.col("raw"))).alias("logo"))
+    return rows.withColumn("u", urls.url(F.col("raw"))).select("page_id", urls.safe_logo(F.col("raw"), F.col("u")).alias("logo"))
 
 
 def _faulty(spark: SparkSession, sf: str, faults: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _faulty(spark: SparkSession, sf: str, faults: int) -> DataFrame:
 def valid_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records with one fault each, or none: an empty name, no such day, a foreign course, no source, links that aren't safe, a logo
     of another spelling than its own, a negative price, a deadline in no month."""
-    return _faulty(spark, sf, 13).select(F.col("ord").alias("o_orderkey"), published.is_valid().alias("valid"))
+    return published.linked(_faulty(spark, sf, 13)).select(F.col("ord").alias("o_orderkey"), published.is_valid().alias("valid"))
 
 
 @query("""
@@ -281,7 +281,7 @@ WITH r(rule, m) AS (VALUES ('name', 1), ('event-date', 2), ('courses', 3), ('sou
 SELECT rule, count(o_orderkey) AS n FROM r LEFT JOIN orders ON o_orderkey % 13 = m GROUP BY rule""")
 def broken_rules(spark: SparkSession, sf: str) -> DataFrame:
     """How many events break each rule of the published document."""
-    return published.broken_rules(_faulty(spark, sf, 13), published.faults())
+    return published.broken_rules(published.linked(_faulty(spark, sf, 13)), published.faults())
 
 
 @query("""

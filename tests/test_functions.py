@@ -163,3 +163,38 @@ def test_page_facts():
     assert [(a["href"], a["text"], a["blocked"]) for a in facts["anchors"]] == [("/n", "n", True), ("/a", "A b", False), ("https://h.com", "https://h.com", False)]
     assert facts["scripts"] == ['{"a":1}'] and facts["errors"] == 0 and [f["href"] for f in facts["fields"]] == ["https://h.com"]
     assert html.facts_of("<div><a href='/x'>x</div>")["errors"] > 0 and html.facts_of(None)["anchors"] == []
+
+
+def test_marks_are_as_the_words_of_an_address():
+    """Against a plain reading of each class, on hosts and paths of all fixed words with what may stand around them."""
+    import re
+
+    def plain(host, path):
+        labels, names = host.split("."), [re.sub(r"\.+$", "", s.split(";")[0]).split(".")[0] for s in re.split(r"[\\/]", path)]
+        words = [w for w in re.split(r"[^a-z0-9]+", path) if w]
+        bare = host[4:] if host.startswith("www.") else host
+        return {
+            urls.PAYMENT: any(x in urls.PAYMENT_HOSTS for x in labels) or any(w in urls.PAYMENT_PATHS for w in words), urls.PRIVATE: any(n in urls.PRIVATE_NAMES for n in names),
+            urls.REGISTRATION: any(x in urls.REGISTRATION_NAMES for x in [*labels, *names]), urls.LOGO: any(n in urls.LOGO_NAMES for n in names), urls.FILE: any(path.endswith(f) for f in urls.FILES),
+            urls.AGGREGATOR: bare in urls.AGGREGATORS, urls.LOCAL: host == "localhost" or host.endswith(".localhost") or host.endswith(".local"),
+        }
+
+    words = sorted({*urls.PAYMENT_PATHS, *urls.PRIVATE_NAMES, *urls.REGISTRATION_NAMES, *urls.LOGO_NAMES, "races", ""})
+    hosts = [f"{w or 'a'}{end}" for w in words for end in ("", ".kr", "s.kr", "-x.kr", ".local")] + [f"www.{a}" for a in urls.AGGREGATORS] + ["localhost", "www.localhost", "x.localhost", "www.www.maedal.com"]
+    paths = [form % w for w in words for form in ("/%s", "/a/%s.php", "/%s;v=1/b", "/x-%s-y", "/%s../", "\\%s", "/%sx")] + [f"/a{f}" for f in urls.FILES] + ["/a.pdf/", "/"]
+    for host in hosts:
+        for path in paths[:: 1 if host == "localhost" else 7]:
+            want = plain(host, path)
+            assert urls.marks(host, path) == sum(bit for bit, on in want.items() if on), (host, path)
+    assert urls.marks("pay.kr", None) == urls.PAYMENT
+
+
+def test_routes_of_aggregators(spark):
+    """An event's page by host, path and query; the query counts only where a route names one."""
+    want = {
+        "https://gorunning.kr/races/12/seoul/": True, "https://www.gorunning.co.kr/races/seoul?x=1": True, "https://gorunning.kr/races/": False, "https://gorunning.kr/race/view.php?idx=3": True, "https://gorunning.kr/race/view.php?idx=3&a=1": False,
+        "https://gorunning.kr/race/view.php": False, "https://maedal.com/events/a": False, "https://maedal.com/races/a": True, "https://example.com/races/a": False, "https://m.kaaf.or.kr/a/b/inside_view.asp?no=1": True, "https://m.kaaf.or.kr/a%0Ab/inside_view.asp?no=1": False,
+        "https://runningmap.kr/race/view/%EC%84%9C%EC%9A%B8": True, "https://emarathon.or.kr/bbs/board.php?bo_table=emara04_01&wr_id=9": True, "nope": False,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "x string").withColumn("u", urls.url(X))
+    assert {r.x: r.ok for r in rows.select("x", urls.is_event_page(F.col("u")).alias("ok")).collect()} == want
