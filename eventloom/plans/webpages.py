@@ -67,6 +67,29 @@ def html_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", F.array_join("a.href", "|").alias("hrefs"), F.size("a").alias("n"))
 
 
+#: What is put after a page, and the errors that this makes.
+_DAMAGE = [
+    ("", ""), ("<p>a < b</p>", "invalid-first-character-of-tag-name"), ('<a href="/x" href="/y">z</a>', "duplicate-attribute"), ("<div/>", "non-void-html-element-start-tag-with-trailing-solidus"), ("<!-- x", "eof-in-comment"),
+    ('<a href="/x', "eof-in-tag"), ('<script>let a = "<a href=/x>y</a>"', "eof-in-element-that-can-contain-only-text"), ('<b><i>z</b></i><div><a href="/x">y</div> z', ""),
+    ("&bogus;", "unknown-named-character-reference"), ('<p title="&#0;">z</p>', "null-character-reference"), ('<br/><svg><path d="M0"/></svg><ul><li>a<li>b</ul><p title="a&copy=b">', ""), ('<a href="/x"title="y">z</a>', "missing-whitespace-between-attributes"),
+]
+
+
+@query(f"""
+WITH d(k, names) AS (VALUES {", ".join(f"({k}, '{names}')" for k, (_, names) in enumerate(_DAMAGE))}),
+p AS (SELECT page_id, page_id % {len(_DAMAGE)} AS k, CASE WHEN regexp_matches(html, '&(amp|lt|gt|quot)[^;=0-9A-Za-z]') THEN ['missing-semicolon-after-character-reference'] ELSE [] END AS own,
+len(regexp_extract_all(html, '<a href="[^"]+">')) + CASE WHEN page_id % {len(_DAMAGE)} = 7 THEN 2 ELSE 0 END AS n FROM pages),
+e AS (SELECT page_id, n, array_to_string(list_sort(own || list_filter(string_split(names, ' '), lambda x: x <> '')), ' ') AS errors FROM p JOIN d USING (k))
+SELECT page_id, errors, CASE WHEN errors = '' THEN n ELSE 0 END::INTEGER AS links FROM e""")
+def markup_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every given page, as it is or with a fault after its end: the errors that parsers report, by name, and its visible links,
+    which a page with such an error has none of. A link left open goes on after the element that it stands in."""
+    damage = F.get(F.array(*[F.lit(x) for x, _ in _DAMAGE]), (F.col("page_id") % len(_DAMAGE)).cast("int"))
+    rows = table(spark, sf, "pages").withColumn("facts", html.page_facts(F.concat("html", damage)))
+    reported = F.array_except("facts.error_names", F.array(*map(F.lit, html.MISPLACED)))
+    return rows.select("page_id", F.array_join(reported, " ").alias("errors"), F.size(html.anchors(F.col("facts"))).alias("links"))
+
+
 _CLEAN = "nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace({0}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), '')"
 
 

@@ -198,3 +198,55 @@ def test_routes_of_aggregators(spark):
     }
     rows = spark.createDataFrame([(k,) for k in want], "x string").withColumn("u", urls.url(X))
     assert {r.x: r.ok for r in rows.select("x", urls.is_event_page(F.col("u")).alias("ok")).collect()} == want
+
+
+ERRORS = {
+    "<!DOCTYPE html><p>a &amp; b<br/><img src=x alt=''></p>": [], '<div title="<a href=x>">x</div>': [], "<svg><path d='M0'/><![CDATA[x]]></svg>": [], "<math/>": [], "a > b & c &nbspx; ": ["missing-semicolon-after-character-reference"],
+    "<a href='?a=1&copy=2&b=3'>x</a>": [], "<a href='?a=1&copy;'>&copy</a>": ["missing-semicolon-after-character-reference"], "&bogus;": ["unknown-named-character-reference"], "&#;": ["absence-of-digits-in-numeric-character-reference"],
+    "&#x80;": ["control-character-reference"], "&#0;&#xD800;&#x110000;&#xFFFF;": ["character-reference-outside-unicode-range", "noncharacter-character-reference", "null-character-reference", "surrogate-character-reference"],
+    "&#12a;": ["missing-semicolon-after-character-reference"], "a < b": ["invalid-first-character-of-tag-name"], "a <": ["eof-before-tag-name"], "</": ["eof-before-tag-name"], "</>": ["missing-end-tag-name"], "</ p>": ["invalid-first-character-of-tag-name"],
+    "<p": ["eof-in-tag"], "<a href='x": ["eof-in-tag"], "<a href=>x</a>": ["missing-attribute-value"], "<a href=x'y>x</a>": ["unexpected-character-in-unquoted-attribute-value"], "<a href='x'id=y>x</a>": ["missing-whitespace-between-attributes"],
+    "<a x y x>x</a>": ["duplicate-attribute"], "<a =x>x</a>": ["unexpected-equals-sign-before-attribute-name"], "<a x'>x</a>": ["unexpected-character-in-attribute-name"], "<a / x>x</a>": ["unexpected-solidus-in-tag"],
+    "<div/></div>": ["non-void-html-element-start-tag-with-trailing-solidus"], "<p>x</p id=a>": ["end-tag-with-attributes"], "<p>x</p/>": ["end-tag-with-trailing-solidus"], "<!-->": ["abrupt-closing-of-empty-comment"], "<!-- x --!>": ["incorrectly-closed-comment"],
+    "<!-- x <!-- y -->": ["nested-comment"], "<!-- x": ["eof-in-comment"], "<!x>": ["incorrectly-opened-comment"], "<?x?>": ["unexpected-question-mark-instead-of-tag-name"], "<![CDATA[x]]>": ["cdata-in-html-content"], "<svg><![CDATA[x": ["eof-in-cdata"],
+    "<svg><div><![CDATA[x]]></div>": ["cdata-in-html-content"], "<svg><foreignObject><div/></foreignObject><g/></svg>": ["non-void-html-element-start-tag-with-trailing-solidus"], "<!DOCTYPE>": ["missing-doctype-name"], "<!DOCTYPEhtml>": ["missing-whitespace-before-doctype-name"],
+    "<!DOCTYPE html": ["eof-in-doctype"], '<!DOCTYPE html PUBLIC "-//W3C//DTD HTML 4.01//EN" "http://www.w3.org/TR/html4/strict.dtd">': [], "<!DOCTYPE html x>": ["invalid-character-sequence-after-doctype-name"], "<script>a < b && c</script>": [],
+    "<script>x": ["eof-in-element-that-can-contain-only-text"], "<script><!-- <script> </script> --></script>": [], "<script><!-- <script> </script>": ["eof-in-element-that-can-contain-only-text", "eof-in-script-html-comment-like-text"], "<script><!--></script>": [],
+    "<title>&bogus;</title>": ["unknown-named-character-reference"], "<style>&bogus; < </style>": [], "<textarea><p": ["eof-in-element-that-can-contain-only-text"], "<plaintext>a < </ <p": [], "a\x00\x01﷐": ["control-character-in-input-stream", "noncharacter-in-input-stream", "unexpected-null-character"], "": [],
+}
+
+
+@pytest.mark.parametrize("page", ERRORS)
+def test_tokenizer_errors(page):
+    from eventloom.functions.strict import tokenizer_errors
+
+    assert tokenizer_errors(page) == ERRORS[page]
+
+
+def test_pages_with_errors_have_no_anchors():
+    from eventloom.functions.strict import tokenizer_errors
+
+    assert tokenizer_errors(None) == []
+    for broken in ['<div title="<a href=\'x\'>a</a>', '<a href="x" b</a> <a href="y">c</a>', "<script>x <a href='y'>z</a>"]:
+        assert html.facts_of(broken)["error_names"]
+    facts = html.facts_of("<b><i>x</b></i></u>")
+    assert facts["error_names"] == ["closing-of-element-with-open-child-elements", "end-tag-without-matching-open-element"] and facts["errors"] == 2
+    assert html.facts_of("<ul><li>a<li>b</ul>")["errors"] == 0 and html.facts_of("<b>x")["error_names"] == ["open-elements-left-after-eof"]
+
+
+LINKS = {
+    "<div><a href='/x'>x</div>y": [("/x", "x"), ("/x", "y")], "<a href=/x>1<a href=/y>2</a>3": [("/x", "1"), ("/y", "2")], "<div><a href=/x>1</div><a href=/y>2</a>3": [("/x", "1"), ("/y", "2")], "<div><a href=/x>1</div></a>2": [("/x", "1")],
+    "<table><tr><td><a href=/x>1</td><td>2</td></tr></table>3": [("/x", "1")], "<div><a href=/x>1</div><p><b>2</b></p>": [("/x", "1"), ("/x", "2")], "<div><a href=/x>1</div><script>2</script><div></div>": [("/x", "1")],
+    "<a href=/x>1<b>2</a>3</b>": [("/x", "12")], "<p><b>bold<br><p><a href=/x>1</a>": [("/x", "1")],
+}
+
+
+@pytest.mark.parametrize("page", LINKS)
+def test_links_left_open(page):
+    assert [(a["href"], a["text"]) for a in html.facts_of(page)["anchors"]] == LINKS[page]
+
+
+def test_misplaced_elements_hide_no_links(spark):
+    pages = {"<b><i>x</b></i><a href=/x>x</a>": 1, "<a href=/x>x</a><div>": 1, "<a href=/x>x</a>&bogus;": 0, "<a href=/x>x</a><p": 0}
+    rows = spark.createDataFrame([(k,) for k in pages], "x string").withColumn("facts", html.page_facts("x"))
+    assert {r.x: r.n for r in rows.select("x", F.size(html.anchors(F.col("facts"))).alias("n")).collect()} == pages
