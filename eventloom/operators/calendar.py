@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
 
+#: Ordinals of one block: what a task ranks at most, of a date's events.
+BLOCK = 1 << 16
+
 
 def matches(region: str = "", course: str = "", status: str = "") -> Column:
     """Exact values, all of them; an empty one allows any, and a missing region matches none."""
@@ -30,6 +33,22 @@ def by_month(events: DataFrame, date: str, ord_: str, *keep: str) -> DataFrame:
     return events.groupBy(month_key(F.col(date)).alias("month")).agg(F.count("*").alias("n"), rows.alias("events")).orderBy("month")
 
 
+def placed(events: DataFrame, date: str, ord_: str, block: int = BLOCK) -> DataFrame:
+    """Events with their month, `place` in it (from 1, in order of date, then of `ord_`, a number of their own) and `n`, the month's
+    events. Those without a date are in no month.
+
+    Only a block of a date's ordinals is ranked in one task; what comes before it is known from the blocks' counts, of which there is one for
+    each date and block.
+    """
+    rows = events.where(F.col(date).isNotNull()).withColumns({"month": month_key(F.col(date)), "_block": F.floor(F.col(ord_) / block)})
+    keys, month = ["month", date, "_block"], Window.partitionBy("month")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(month.orderBy(date, "_block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_size").over(month).alias("n"))
+    inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(ord_)))
+    return inside.join(counts, keys).withColumn("place", F.col("_before") + F.col("_at")).drop("_block", "_before", "_at")
+
+
 def options(months: DataFrame, year: str = "") -> DataFrame:
     """kind (year, month) and value: the choices there are, months being those of the chosen year."""
     all_ = months.select("month").distinct()

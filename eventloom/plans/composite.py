@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -99,17 +99,33 @@ def traverse_chains(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.totals(found).select(F.col("seed").alias("chains"), "accepted", "fetched", "identity", "depth")
 
 
-@query("""
+_BUDGETS = """
 WITH c AS (SELECT o_orderkey AS k, o_orderkey // 64 AS run, CASE WHEN o_orderkey % 3 = 0 THEN 'shared' ELSE 'h' || o_orderkey END AS host FROM orders),
 h AS (SELECT *, row_number() OVER (PARTITION BY run, host ORDER BY k) <= 10 AS fits FROM c), u AS (SELECT *, coalesce(sum(fits::INT) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
-SELECT run::BIGINT AS run_id, sum((used < 40 AND fits)::INT)::BIGINT AS accepted, sum((used < 40 AND NOT fits)::INT)::BIGINT AS host_budget, sum((used >= 40)::INT)::BIGINT AS run_budget FROM u GROUP BY run""")
+"""
+
+
+@query(_BUDGETS + """SELECT run::BIGINT AS run_id, sum((used < 40 AND fits)::INT)::BIGINT AS accepted, sum((used < 40 AND NOT fits)::INT)::BIGINT AS host_budget, sum((used >= 40)::INT)::BIGINT AS run_budget FROM u GROUP BY run""")
 def traverse_budgets(spark: SparkSession, sf: str) -> DataFrame:
     """Chains of which a third share a host, in runs of 64 order keys: budgets of 40 fetches a run and 10 a host."""
+    return frontier.traversed(_sharing(spark, sf)).groupBy("run_id").agg(*[F.sum(k).alias(k) for k in ("accepted", "host_budget", "run_budget")])
+
+
+@query(_BUDGETS + """SELECT count(*) AS seed, sum((used < 40 AND fits)::INT)::BIGINT AS accepted, sum((used < 40 AND fits)::INT)::BIGINT AS fetched, sum((used < 40 AND NOT fits)::INT)::BIGINT AS host_budget,
+sum((used >= 40)::INT)::BIGINT AS run_budget, 0::BIGINT AS rejected FROM u""")
+def traverse_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """The sums over the chains of traverse_budgets as metrics of the job that writes them."""
+    watch = Observation()
+    kept(frontier.watched(frontier.traversed(_sharing(spark, sf)), watch))
+    return spark.createDataFrame([watch.get]).select("seed", "accepted", "fetched", "host_budget", "run_budget", "rejected")
+
+
+def _sharing(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of orders of which a third share a host, in runs of 64 order keys."""
     key = F.col("o_orderkey")
     url, host = F.concat(F.lit("https://h"), key, F.lit(".example.com/")), F.when(key % 3 == 0, "shared").otherwise(F.concat(F.lit("h"), key))
     step = F.struct(url.alias("url"), host.alias("host"), url.alias("final"), F.lit("ok").alias("outcome"), F.lit(True).alias("official"), F.lit(False).alias("application"), F.array().cast("array<string>").alias("children"), F.lit(0).alias("child_policy"))
-    rows = table(spark, sf, "orders").select(F.floor(key / 64).alias("run_id"), key.alias("ord"), url.alias("chain"), F.lit("official").alias("kind"), F.array(step.cast(frontier.STEP)).alias("steps"))
-    return frontier.traversed(rows).groupBy("run_id").agg(*[F.sum(k).alias(k) for k in ("accepted", "host_budget", "run_budget")])
+    return table(spark, sf, "orders").select(F.floor(key / 64).alias("run_id"), key.alias("ord"), url.alias("chain"), F.lit("official").alias("kind"), F.array(step.cast(frontier.STEP)).alias("steps"))
 
 
 @query("""

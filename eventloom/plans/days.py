@@ -29,6 +29,14 @@ def group_by_month(spark: SparkSession, sf: str) -> DataFrame:
     return months.select("month", "n", F.array_join(F.transform("events", lambda e: e["o_orderkey"].cast("string")), ",").alias("keys"))
 
 
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderdate, o_orderkey) AS place,
+count(*) OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')) AS n FROM orders""")
+def month_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's place in its month, without a month's orders in one task or one value."""
+    return calendar.placed(table(spark, sf, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "month", "place", "n")
+
+
 @query("""
 SELECT DISTINCT 'year' AS kind, strftime(o_orderdate, '%Y') AS value FROM orders
 UNION SELECT DISTINCT 'month', strftime(o_orderdate, '%m') FROM orders WHERE year(o_orderdate) = 2001""")

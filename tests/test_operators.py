@@ -378,3 +378,31 @@ def test_a_document_is_one_json_text_and_current_only_if_valid(spark, tmp_path):
     (Path(later) / "part-zzz.txt").write_text("{}\n")
     with pytest.raises(Exception, match="not a line of the document"):
         published.checked(spark, later).collect()
+
+
+def test_places_in_a_hot_month(spark):
+    """A third of all events on one date; places are those of one sorted list, whatever the blocks."""
+    rows = spark.range(30_000, numPartitions=8).select((F.col("id") * 7919 % 30_000 - 500).alias("ord"), F.when(F.col("id") % 3 == 0, "2026-05-03").otherwise(F.concat(F.lit("2026-0"), F.col("id") % 9 + 1, F.lit("-1"), F.col("id") % 7)).alias("d"), F.lit("x").alias("n_"))
+    rows = rows.withColumn("d", F.to_date("d")).unionByName(spark.createDataFrame([(10**6, None, "x")], rows.withColumn("d", F.to_date("d")).schema))
+    want, at = {}, {}
+    plain = sorted((r.d, r.ord) for r in rows.where("d is not null").collect())
+    for day, ord_ in plain:
+        at[f"{day:%Y-%m}"] = at.get(f"{day:%Y-%m}", 0) + 1
+        want[ord_] = (f"{day:%Y-%m}", at[f"{day:%Y-%m}"])
+    for block in (100, calendar.BLOCK):
+        got = calendar.placed(rows, "d", "ord", block).collect()
+        assert {r.ord: (r.month, r.place) for r in got} == want and all(r.n == at[r.month] for r in got) and len(got) == 30_000
+    assert calendar.placed(rows.limit(0), "d", "ord").count() == 0
+
+
+def test_watched_chains_say_what_totals_say(spark):
+    from pyspark.sql import Observation
+
+    page = ("https://a.kr/", "a.kr", "https://a.kr/", "ok", True, False, [], 1)
+    rows = spark.createDataFrame([(0, i, f"https://a.kr/{i}", "official", [page]) for i in range(60)], STEPS)
+    found = frontier.traversed(rows, run=40, per_host=30)
+    watch, none = Observation(), Observation()
+    frontier.watched(found, watch).write.format("noop").mode("overwrite").save()
+    assert watch.get == frontier.totals(found).first().asDict()
+    frontier.watched(found.limit(0), none).write.format("noop").mode("overwrite").save()
+    assert set(none.get.values()) == {0}
