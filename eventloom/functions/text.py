@@ -266,6 +266,17 @@ def courses_label(courses: Column) -> Column:
     return F.coalesce(nothing(F.array_join(F.transform(courses, lambda c: c["name"]), " · ")), F.lit("코스 미정"))
 
 
+def freshness(generated_at: Column, failed: Column) -> Column:
+    """What is said of a document's age, its time in the session's zone, and of the sources that failed (an array of ids, each name
+    once); without a time, that there is no document."""
+    ids = F.coalesce(failed, F.array().cast("array<string>"))
+    names = F.array_distinct(F.transform(ids, lambda x: lookup(x, SOURCE_LABELS, OTHER_SOURCE)))
+    time = F.concat(F.date_format(generated_at, "yyyy. M. d. "), F.when(F.hour(generated_at) < 12, "오전 ").otherwise("오후 "), F.date_format(generated_at, "h:mm"))
+    late = F.when(F.size(names) > 0, F.concat(F.lit(" · 일부 출처 확인 지연: "), F.array_join(names, ", "))).otherwise("")
+    none = F.concat(F.lit("일정 데이터를 불러오지 못했습니다 · 확인 실패: "), F.array_join(ids, ", "))
+    return F.when(generated_at.isNull(), none).otherwise(F.concat(F.lit("마지막 수집: "), time, late))
+
+
 def lookup(c: Column, labels: dict[str, str], other: str | None = None) -> Column:
     found = F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), c)
     return found if other is None else F.coalesce(found, F.lit(other))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import lookup
+
 # Weather codes by condition, upper bounds of air-quality levels, directions from north on.
 CONDITIONS = {"clear": [0], "cloudy": [1, 2, 3], "fog": [45, 48], "rain": [51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 80, 81, 82], "snow": [71, 73, 75, 77, 85, 86], "storm": [95, 96, 99]}
 AIR_LEVELS = [(50, "good"), (100, "moderate"), (150, "unhealthy-sensitive"), (200, "unhealthy"), (300, "very-unhealthy")]
 WORST_AIR = "hazardous"
+CONDITION_LABELS = {"clear": "맑음", "cloudy": "구름 많음", "fog": "안개", "rain": "비", "snow": "눈", "storm": "뇌우", "unknown": "날씨 변화"}
+AIR_LABELS = {"good": "좋음", "moderate": "보통", "unhealthy-sensitive": "민감군 주의", "unhealthy": "나쁨", "very-unhealthy": "매우 나쁨", "hazardous": "위험"}
 DIRECTIONS = ["북", "북동", "동", "남동", "남", "남서", "서", "북서"]
 CURRENT = "struct<time:string,temperature_2m:double,apparent_temperature:double,relative_humidity_2m:double,precipitation:double,cloud_cover:double,weather_code:double,wind_speed_10m:double,wind_direction_10m:double>"
 RANGES = {"temperature_2m": (-100, 70), "apparent_temperature": (-120, 80), "relative_humidity_2m": (0, 100), "precipitation": (0, None), "cloud_cover": (0, 100), "weather_code": (0, 99), "wind_speed_10m": (0, None), "wind_direction_10m": (0, 360)}
@@ -31,6 +35,14 @@ def air_level(index: Column) -> Column:
     return out
 
 
+def condition_label(condition_: Column) -> Column:
+    return lookup(condition_, CONDITION_LABELS)
+
+
+def air_label(level: Column) -> Column:
+    return lookup(level, AIR_LABELS)
+
+
 def half_up(c: Column) -> Column:
     """Rounded to a whole number, halves upwards (Spark's round takes them away from zero)."""
     return F.floor(c + 0.5)

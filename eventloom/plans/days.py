@@ -136,3 +136,19 @@ def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
     status = text.lookup(F.col("event_type"), {"view": "open", "click": "closing-soon", "signup": "closed"}, "unknown")
     source = F.when(F.col("event_type") == "error", "elsewhere").when(F.col("user_id") % 2 == 0, "gorunning").otherwise("maedal")
     return table(spark, sf, "events").select("event_id", text.lookup(status, text.STATUS_LABELS).alias("status_label"), text.lookup(source, text.SOURCE_LABELS, text.OTHER_SOURCE).alias("source_label"))
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 100 AS c, value, event_id % 4 AS k, CASE WHEN event_id % 7 > 0 THEN ts END AS t FROM events)
+SELECT event_id, CASE WHEN c = 0 THEN '맑음' WHEN c IN (1, 2, 3) THEN '구름 많음' WHEN c IN (45, 48) THEN '안개' WHEN c IN (51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 80, 81, 82) THEN '비'
+WHEN c IN (71, 73, 75, 77, 85, 86) THEN '눈' WHEN c IN (95, 96, 99) THEN '뇌우' ELSE '날씨 변화' END AS sky,
+CASE WHEN value <= 50 THEN '좋음' WHEN value <= 100 THEN '보통' WHEN value <= 150 THEN '민감군 주의' WHEN value <= 200 THEN '나쁨' WHEN value <= 300 THEN '매우 나쁨' ELSE '위험' END AS air,
+CASE WHEN t IS NULL THEN '일정 데이터를 불러오지 못했습니다 · 확인 실패: ' || ['', 'kaaf', 'kaaf, x, y', 'x'][k + 1]
+ELSE '마지막 수집: ' || year(t) || '. ' || month(t) || '. ' || day(t) || '. ' || CASE WHEN hour(t) < 12 THEN '오전 ' ELSE '오후 ' END || (hour(t) + 11) % 12 + 1 || ':' || lpad(minute(t)::VARCHAR, 2, '0')
+|| ['', ' · 일부 출처 확인 지연: 대한육상연맹', ' · 일부 출처 확인 지연: 대한육상연맹, 기타 일정 출처', ' · 일부 출처 확인 지연: 기타 일정 출처'][k + 1] END AS freshness FROM e""")
+def shown_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is shown of the weather and the air, and of a document's age and the sources that failed."""
+    k = F.col("event_id")
+    failed = F.get(F.array(*[F.array(*map(F.lit, ids)).cast("array<string>") for ids in ([], ["kaaf"], ["kaaf", "x", "y"], ["x"])]), (k % 4).cast("int"))
+    sky, air = weather.condition_label(weather.condition(k % 100)), weather.air_label(weather.air_level(F.col("value")))
+    return table(spark, sf, "events").select("event_id", sky.alias("sky"), air.alias("air"), text.freshness(F.when(k % 7 > 0, F.col("ts")), failed).alias("freshness"))

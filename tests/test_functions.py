@@ -250,3 +250,9 @@ def test_misplaced_elements_hide_no_links(spark):
     pages = {"<b><i>x</b></i><a href=/x>x</a>": 1, "<a href=/x>x</a><div>": 1, "<a href=/x>x</a>&bogus;": 0, "<a href=/x>x</a><p": 0}
     rows = spark.createDataFrame([(k,) for k in pages], "x string").withColumn("facts", html.page_facts("x"))
     assert {r.x: r.n for r in rows.select("x", F.size(html.anchors(F.col("facts"))).alias("n")).collect()} == pages
+
+
+def test_freshness(one):
+    said = lambda time, ids: one(text.freshness(F.lit(time).cast("timestamp"), F.array(*map(F.lit, ids)).cast("array<string>")), x="")
+    assert said("2026-07-01 00:05:00", []) == "마지막 수집: 2026. 7. 1. 오전 12:05" and said("2026-12-31 13:00:00", ["x", "maedal", "y"]) == "마지막 수집: 2026. 12. 31. 오후 1:00 · 일부 출처 확인 지연: 기타 일정 출처, 매달"
+    assert said(None, ["maedal", "x"]) == "일정 데이터를 불러오지 못했습니다 · 확인 실패: maedal, x"
