@@ -111,8 +111,9 @@ def _spread(parts: int):
         for batch in batches:
             text, at = byte_column(batch.column("text"))
             for lo, hi, data, own in chunks(text, at, 4 * CHUNK):
-                h, first = distinct_sorted(*shingles(data, own))
-                row = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(first))
+                # bytes are read in smaller steps than shingles are gathered: each byte takes many times its size
+                each, n = zip(*[(h, np.diff(first)) for h, first in (distinct_sorted(*shingles(x, y)) for _lo, _hi, x, y in chunks(data, own))], strict=True)
+                h, row = np.concatenate(each), np.repeat(np.arange(hi - lo, dtype=np.int32), np.concatenate(n))
                 order = np.argsort(h, kind="stable")
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)

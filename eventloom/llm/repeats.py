@@ -26,6 +26,8 @@ from ._common import CHUNK, U64, byte_column, chunks, mix
 Q = 16
 GROUP_BYTES = 8 << 20
 LEAST_GROUPS = 64
+#: Bytes of text, and of stretches to refine, that one numpy step holds: steps take some 100 times that.
+STEP = CHUNK >> 2
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -35,9 +37,9 @@ def words_at(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, start, anchor place and number of strings of each stretch in a chunk, and its anchor's hash."""
+    """Row, start and number of strings of each stretch in a chunk, and its anchor's hash."""
     n = len(data)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U64),)
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64),)
     if n < length:
         return none
     padded = np.concatenate([data, np.zeros(16, np.uint8)])
@@ -67,8 +69,7 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     count = np.diff(np.concatenate([first, [n]]))
     keep = anchor[first] >= 0
     first, count = first[keep], count[keep]
-    places = anchor[first]
-    return np.searchsorted(at, first, "right") - 1, first, places, count, h[places]
+    return np.searchsorted(at, first, "right") - 1, first, count, h[anchor[first]]
 
 
 class Group:
@@ -82,13 +83,13 @@ class Group:
         self.ids = ids.fill_null(NO_ID).to_numpy()
         self.data, self.at = byte_column(rows.column("text"))
         parts = []
-        for lo, _hi, data, at in chunks(self.data, self.at, CHUNK):
-            row, start, anchor, count, h = stretches(data, at, length)
-            parts.append((row + lo, start + self.at[lo], anchor + self.at[lo], count, h))
-        self.row, self.start, self.anchor, self.count, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else stretches(self.data, self.at, length)
+        for lo, _hi, data, at in chunks(self.data, self.at, STEP):
+            row, start, count, h = stretches(data, at, length)
+            parts.append((row + lo, start + self.at[lo], count, h))
+        self.row, self.start, self.count, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else stretches(self.data, self.at, length)
         if not self.known.all():
             keep = self.known[self.row]
-            self.row, self.start, self.anchor, self.count, self.hash = (x[keep] for x in (self.row, self.start, self.anchor, self.count, self.hash))
+            self.row, self.start, self.count, self.hash = (x[keep] for x in (self.row, self.start, self.count, self.hash))
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.start[i] + self.count[i] + self.length - 1].tobytes()
@@ -203,6 +204,18 @@ def refine(texts: list[bytes], low: np.ndarray, length: int) -> np.ndarray:
     return best[bucket]
 
 
+def whole_buckets(sizes: np.ndarray, bucket: np.ndarray, most: int) -> list[np.ndarray]:
+    """The stretches' numbers, in runs of whole buckets with about `most` bytes, one bucket at least."""
+    order = np.argsort(bucket, kind="stable")
+    end = np.flatnonzero(np.append(np.diff(bucket[order]) != 0, True)) + 1
+    total = np.cumsum(sizes[order])[end - 1]
+    cut, lo = [], 0
+    while lo < len(end):
+        lo = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        cut.append(int(end[lo - 1]))
+    return np.split(order, cut[:-1])
+
+
 def _classes(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """For each group: (its stretch, first and last string, least doc_id) wherever a document of the group is not the least."""
@@ -234,15 +247,18 @@ def _classes(length: int):
             done = np.ones(n, bool)
             done[open_] = False
             begin, end, best, of = ([x[0][done]] for x in (begin, end, best, of))
-            mins = refine([texts[i] for i in open_], least[open_], length)
-            each = np.repeat(open_, count[open_])
-            offset = np.arange(len(each)) - np.repeat(np.cumsum(count[open_]) - count[open_], count[open_])
-            edge = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (mins[1:] != mins[:-1])]))
-            last = np.concatenate([edge[1:], [len(each)]]) - 1
-            begin.append(offset[edge])
-            end.append(offset[last])
-            best.append(mins[edge])
-            of.append(each[edge])
+            # equal strings have one anchor, so buckets are refined apart
+            for some in whole_buckets(count[open_] + length - 1, inverse[open_], STEP):
+                own = open_[some]
+                mins = refine([texts[i] for i in own], least[own], length)
+                each = np.repeat(own, count[own])
+                offset = np.arange(len(each)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+                edge = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (mins[1:] != mins[:-1])]))
+                last = np.concatenate([edge[1:], [len(each)]]) - 1
+                begin.append(offset[edge])
+                end.append(offset[last])
+                best.append(mins[edge])
+                of.append(each[edge])
         begin, end, best, of = (np.concatenate(x) for x in (begin, end, best, of))
         order = np.argsort(of, kind="stable")
         begin, end, best, of = begin[order], end[order], best[order], of[order]
@@ -265,15 +281,36 @@ def _classes(length: int):
     return run
 
 
+def _left(g: Group, lo: int, hi: int, start: np.ndarray, end: np.ndarray, with_text: bool) -> list[pa.Array]:
+    """Of the group's rows lo..hi-1, without the bytes of the ranges (in order of start): what is left as text; or n_bytes, n_removed, n_spans, kept_sha256."""
+    at = g.at[lo : hi + 1] - g.at[lo]
+    data = g.data[g.at[lo] : g.at[hi]]
+    own = slice(*np.searchsorted(start, g.at[[lo, hi]]))
+    mark = np.zeros(len(data) + 1, np.int32)
+    np.add.at(mark, start[own] - g.at[lo], 1)
+    np.add.at(mark, end[own] - g.at[lo], -1)
+    gone = np.cumsum(mark[:-1]) > 0
+    before = np.concatenate([[0], np.cumsum(gone)])
+    removed = before[at[1:]] - before[at[:-1]]
+    kept = [data[a:b][~gone[a:b]].tobytes() if r else data[a:b].tobytes() for a, b, r in zip(at[:-1], at[1:], removed, strict=True)]
+    if with_text:
+        return [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+    starts = gone.copy()
+    starts[1:] &= ~gone[:-1]
+    edge = at[:-1][at[:-1] < len(gone)]
+    starts[edge] = gone[edge]
+    runs = np.concatenate([[0], np.cumsum(starts)])
+    return [pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs[at[1:]] - runs[at[:-1]], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+
+
 def _removed(length: int, with_text: bool):
     def run(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         g = Group(texts, length)
-        n = len(g.ids)
-        mark = np.zeros(len(g.data) + 1, np.int32)
+        start, end = np.zeros((2, 0), np.int64)
         if found.num_rows:
             kind = np.uint8 if length < 256 else np.uint32
             get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in found.column(name).to_pylist()])
-            first, begin, end, least = get("first", np.int64), get("begin", kind).astype(np.int64), get("end", kind).astype(np.int64), get("least", np.int64)
+            first, begin, end_, least = get("first", np.int64), get("begin", kind).astype(np.int64), get("end", kind).astype(np.int64), get("least", np.int64)
             runs: dict[bytes, list[int]] = {}
             for k, i in enumerate(first.tolist()):
                 runs.setdefault(g.text(i), []).append(k)
@@ -283,24 +320,15 @@ def _removed(length: int, with_text: bool):
                 i, k = np.array(pairs, np.int64).T
                 keep = least[k] < g.ids[g.row[i]]
                 i, k = i[keep], k[keep]
-                np.add.at(mark, g.start[i] + begin[k], 1)
-                np.add.at(mark, g.start[i] + end[k] + length, -1)
-        gone = np.cumsum(mark[:-1]) > 0
-        before = np.concatenate([[0], np.cumsum(gone)])
-        removed = before[g.at[1:]] - before[g.at[:-1]]
-        starts = gone.copy()
-        starts[1:] &= ~gone[:-1]
-        edge = g.at[:-1][g.at[:-1] < len(gone)]
-        starts[edge] = gone[edge]
-        runs_before = np.concatenate([[0], np.cumsum(starts)])
-        kept = [g.data[a:b][~gone[a:b]].tobytes() if r else g.data[a:b].tobytes() for a, b, r in zip(g.at[:-1], g.at[1:], removed, strict=True)]
-        out = {
-            "doc_id": g.rows.column("doc_id"), "n_bytes": pa.array(np.diff(g.at), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-            "n_spans": pa.array(runs_before[g.at[1:]] - runs_before[g.at[:-1]], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-        }
+                start, end = g.start[i] + begin[k], g.start[i] + end_[k] + length
+                order = np.argsort(start)
+                start, end = start[order], end[order]
+        parts = [_left(g, lo, hi, start, end, with_text) for lo, hi, *_ in chunks(g.data, g.at, STEP)]
+        columns = [pa.chunked_array(x) for x in zip(*parts, strict=True)] if parts else _left(g, 0, 0, start, end, with_text)
         if with_text:
-            out = {"whole": g.rows.column("whole"), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())}
-        assert n == len(kept)
+            out = {"whole": g.rows.column("whole"), "kept": columns[0]}
+        else:
+            out = {"doc_id": g.rows.column("doc_id")} | dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, strict=True))
         return pa.table(out)
 
     return run

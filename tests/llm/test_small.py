@@ -4,12 +4,16 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from eventloom.llm import extraction, graph, langid, licenses, mixing, neardup, packing, quality, repeats, spotsigs, topk
+from eventloom.llm._common import _powers, byte_column
 from pyspark.sql import functions as F
 
 VOCABULARY, TOKENIZER = corpus_pipeline.VOCABULARY, corpus_pipeline.TOKENIZER
@@ -697,3 +701,104 @@ STORY = " ".join(f"story{i}" for i in range(40))
 )
 def test_extraction_chooses_by_evidence(page, expected):
     assert [t for t, z in extraction.zones(page) if z == extraction.ARTICLE] == expected
+
+
+def peak_of(run, *args):
+    """The most bytes of Python's and numpy's own that a call held beyond those before it, and what it gave."""
+    tracemalloc.start()
+    try:
+        out = run(*args)
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def word_texts(n, size, seed):
+    own = random.Random(seed)
+    some = ["".join(own.choices("abcdefghij", k=own.randint(2, 9))) for _ in range(4000)]
+    return [" ".join(own.choices(some, k=size)) for _ in range(n)]
+
+
+class Key(int):
+    def as_py(self):
+        return int(self)
+
+
+def repeats_of(groups, parts, length=50):
+    """op3's task functions one after another, without Spark; and the last one's peak bytes."""
+
+    def by(tables, name):
+        whole = pa.concat_tables(tables)
+        return {k: whole.filter(pc.equal(whole.column(name), k)) for k in whole.column(name).unique().to_pylist()}
+
+    sent = by([repeats._buckets(parts, length)((Key(k),), x) for k, x in enumerate(groups)], "part")
+    asked = by([repeats._shared((Key(p),), x) for p, x in sent.items()], "g")
+    sent = by([repeats._stretches(parts, length)((Key(k),), x, asked[k]) for k, x in enumerate(groups)], "part")
+    found = by([repeats._classes(length)((Key(p),), x) for p, x in sent.items()], "g")
+    peaks, out = [], []
+    for k, x in enumerate(groups):
+        none = pa.table({"first": pa.array([], pa.binary())})
+        for with_text in (False, True):
+            peak, left = peak_of(repeats._removed(length, with_text), (Key(k),), x, found.get(k, none))
+            peaks.append(peak)
+            out.append(left.to_pylist())
+    return max(peaks), out
+
+
+def test_repeats_memory():
+    """What a group's task holds beside its text is a few times the text, not the 28 bytes a byte of before."""
+    texts = word_texts(400, 1600, 3)
+    texts[7] = texts[3][:2000] + texts[7]
+    group = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "whole": [{"doc_id": i} for i in range(len(texts))]})
+    size = sum(map(len, texts))
+    peak, (counts, left) = repeats_of([group], 4)
+    assert size > 4_000_000 and counts[7]["n_removed"] == 2000 and left[7]["kept"] == texts[7][2000:]
+    assert peak < 14 * size, f"{peak / size:.1f} bytes a byte of text"
+
+
+def test_repeats_in_steps(monkeypatch):
+    """However small the steps, every repeat goes: against brute force, with nulls, empty texts and hot passages."""
+    own = random.Random(4)
+    hot = ["".join(own.choices("abc é", k=90)) for _ in range(3)]
+    texts = [None, "", *("".join(own.choice([*hot, own.choice(hot)[:60], "".join(own.choices("abc é", k=40))]) for _ in range(own.randint(1, 9))) for _ in range(60))]
+    first = {}
+    for i, b in enumerate(t.encode() if t else b"" for t in texts):
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    want, kept = {}, {}
+    for i, b in enumerate(t.encode() if t else b"" for t in texts):
+        mark = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                mark[p : p + 50] = b"\1" * 50
+        left = bytes(c for c, m in zip(b, mark, strict=True) if not m)
+        want[i] = (len(b), sum(mark), len([x for x in bytes(mark).split(b"\0") if x]), hashlib.sha256(left).hexdigest())
+        kept[i] = left.decode("utf-8", "ignore")
+    groups = [pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([texts[i] for i in ids], pa.string()), "whole": [{"doc_id": i} for i in ids]}) for ids in (range(0, len(texts), 2), range(1, len(texts), 2))]
+    for step in (1 << 18, 700, 1):
+        monkeypatch.setattr(repeats, "STEP", step)
+        _peak, out = repeats_of(groups, 3)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for rows in out[::2] for r in rows}
+        assert got == want, step
+        assert {r["whole"]["doc_id"]: r["kept"] for rows in out[1::2] for r in rows} == kept
+
+
+def test_whole_buckets():
+    sizes, bucket = np.array([5, 90, 5, 5, 40, 5]), np.array([2, 0, 2, 1, 3, 1])
+    runs = repeats.whole_buckets(sizes, bucket, 20)
+    assert [sorted(x.tolist()) for x in runs] == [[1], [0, 2, 3, 5], [4]]
+
+
+def test_shingles_memory():
+    """Of 4 MB of text that are spread at once, shingles are held, not many numbers for each byte."""
+    texts = word_texts(380, 1600, 5)
+    size = sum(map(len, texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    _powers.cache_clear()
+    neardup.shingles(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]))
+    peak, made = peak_of(lambda: list(neardup._spread(3)([batch])))
+    assert len(made) == 1 and 3 << 20 < size < 4 << 20
+    h = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in made[0].column("hashes")]))
+    data, at = byte_column(pa.array(texts))
+    assert (h == np.unique(neardup.shingles(data, at)[0])).all()
+    assert peak < 14 * size, f"{peak / size:.1f} bytes a byte of text"
