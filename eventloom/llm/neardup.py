@@ -7,10 +7,10 @@ the signatures of pairs that got that far (the skip). At a similarity of 0.85 a
 with a probability of 4e-8, at 0.8 with one of 1.2e-5. Pairs that pass are confirmed on their full shingle sets.
 
 Equal sets are one document. Documents whose shingles mostly stand alone leave the lists first, as they can have no link.
-Within a posting list documents are then compared with one leader, first each with the leader of most of its lists, then in STARS
-rounds with all; last, only documents of different
-components are paired, and only if the parts they share with anyone are large enough. So a list of copies never makes all
-its pairs.
+Within a posting list documents are then compared with one leader, first each with the leader of most of its lists, then with
+all, for STARS rounds or until a round links few. Last, documents of lists that still hold several components are paired by
+their rarest shingles: two sets whose intersection has to be o or more share one of the n - o + 1 rarest of each. Edits of
+one text share the text, but seldom an edit; so neither copies nor edits too far apart to link make all their pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import CHUNK, NOT_SPACE, U64, byte_column, chunks, mix, saved, seeds, span_hashes, spans
@@ -175,15 +175,73 @@ def _linkable(signed: DataFrame, docs: DataFrame, several: DataFrame, percent: i
     return posts, docs, signed
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that agree in MATCHES coordinates and whose full sets are similar enough."""
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in MATCHES coordinates."""
     side = lambda name: signed.select(F.col("doc_id").alias(name), F.col("sig").alias(f"sig_{name}"))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= MATCHES).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= MATCHES).select("a", "b").distinct()
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     text = lambda name: docs.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
     return saved(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long").distinct())
 
 
+#: Classes of set sizes in a band.
+CLASSES = 4
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (d, component, n, s, hashes): a document's distinct shingles, their number and their sum, which tells its sets apart."""
+    for batch in batches:
+        text, at = byte_column(batch.column("text"))
+        for lo, hi, data, own in chunks(text, at):
+            h, first = distinct_sorted(*shingles(data, own))
+            n = np.diff(first)
+            s = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(1)))])
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in ("d", "component")), pa.array(n, pa.int64()), pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)), lists], ["d", "component", "n", "s", "hashes"])
+
+
+def _by_rare_shingles(docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components of docs (d, component, text) whose sets may be similar enough: all that are, and few others.
+
+    Shingles are ordered by how many of these documents hold them, then by hash. The first common one of two sets of n
+    and m shingles stands at n - o and m - o at most, counted from 0, where o = percent * (n + m) / (100 + percent) is
+    the least intersection that links. Sets are posted by size class, their own and the other's, so that o is known
+    well enough; shingles of one component make no pairs.
+    """
+    sets = docs.mapInArrow(_distinct, "d long, component long, n long, s long, hashes array<long>").where("n > 0").dropDuplicates(["d", "s", "n"])
+    # rows are dealt evenly, whatever their sizes were dealt by
+    each = saved(sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("d", "component", "n", "s", F.explode("hashes").alias("h")))
+    held = each.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("c > 1")
+    known = each.join(held, "h")
+    # those that one set alone holds come first; they are counted, not listed
+    own = Window.partitionBy("d", "s", "n")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "h")) - 1
+    step = math.log(100 / percent) / CLASSES
+    size = F.floor(F.log("n") / step).cast("int")
+    least = lambda k: F.ceil(percent / (100 + percent) * (F.col("n") + F.exp(k * step) * (1 - 1e-9)) - 1e-6)
+    other = F.filter(F.sequence(F.col("size") - (CLASSES + 1), F.col("size") + (CLASSES + 1)), lambda k: F.col("at") <= F.col("n") - least(k))
+    posts = known.withColumn("at", at).where("x <> y").withColumn("size", size).select("h", "d", "component", "n", "at", "size", F.explode(other).alias("other"))
+    posts = saved(posts.withColumn("low", F.least("size", "other")).withColumn("high", F.greatest("size", "other")).drop("other"))
+    keys = ["h", "low", "high"]
+    # a list of one component tells of none
+    mixed = posts.groupBy(*keys).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*keys)
+    posts = posts.join(mixed, keys, "left_semi")
+    left = posts.where("size = low").select(*keys, F.col("d").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    right = posts.where("size = high").select(*keys, F.col("d").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
+    once = (F.col("low") < F.col("high")) | (F.col("a") < F.col("b"))
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = left.join(right, keys).where((F.col("ca") != F.col("cb")) & once & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: A turn of leaders that links less than this share of what is linked is the last.
+FEW = 0.02
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text): the smallest doc_id reachable over
     links of Jaccard similarity percent / 100 or more between sets of 5-word shingles.
@@ -210,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     possible = lambda x, y: F.least(f"m{x}", f"m{y}") * (100 + percent) >= (F.col(f"n{x}") + F.col(f"n{y}")) * percent
     named = lambda df, x: df.withColumnsRenamed({"d": x, "n": f"n{x}", "m": f"m{x}"})
     edges = member.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = None
+    labels, linked = None, 0
     for turn in range(STARS + 1):
         # the first leader is the document that shares most of its set, as the common source of copies does
         by = F.struct(-F.col("m") / F.col("n") if turn < 2 else F.xxhash64("d", F.lit(turn)), F.col("d"))
@@ -222,22 +280,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             # one leader a document, that of most of its values: copies of one source meet there, and what the others would
             # tell of them needs no comparing any more; the next turns take all leaders of other components
             pairs = pairs.groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
-        edges = saved(edges.unionByName(_confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), signed, docs, percent)))
-        labels = saved(components(edges))
-    # what is left: documents of different components under one value, of sizes and shared parts that allow a link
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _confirmed(_agreeing(pairs, signed), docs, percent)
+        new = more.count()
+        if new or labels is None:
+            labels = saved(components(edges.unionByName(more)))
+            edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        linked += new
+        if turn and new <= FEW * linked:
+            break
+    # what is left: documents of different components under one value, of sizes that allow a link
     now = _labelled(posts, labels)
-    right = now.withColumn("k", F.explode(F.array("band", F.col("band") + 1)))
+    right = now.select("v", "d", "component", F.explode(F.array("band", F.col("band") + 1)).alias("k"))
     mixed = right.groupBy("v", "k").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v", "k")
-    right = saved(right.join(mixed, ["v", "k"], "left_semi").join(signed.select(F.col("doc_id").alias("d"), "sig"), "d"))
-    left = named(right.where("k = band").select("v", "k", "d", "n", "m", F.col("component").alias("ca"), F.col("sig").alias("sa")), "a")
-    right = named(right.withColumn("own", F.col("k") == F.col("band")).drop("band"), "b").withColumnsRenamed({"component": "cb", "sig": "sb"})
-    # a pair comes once, from the first value its documents share, and only if they share enough of them
-    same = F.zip_with("sa", "sb", lambda x, y: x == y)
-    counted = (F.array_position(same, F.lit(True)) == F.array_position("sa", F.col("v"))) & (F.size(F.filter(same, lambda x: x)) >= MATCHES)
-    pairs = left.join(right, ["v", "k"]).where((F.col("ca") != F.col("cb")) & (~F.col("own") | (F.col("a") < F.col("b"))) & possible("a", "b") & counted)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(pairs, signed, docs, percent)
-    labels = components(edges.unionByName(more)) if more.take(1) else labels
+    ends = right.join(mixed, ["v", "k"], "left_semi").select(F.col("d").alias("doc_id"), "component").distinct()
+    more = _confirmed(_by_rare_shingles(docs.join(ends, "doc_id").select(F.col("doc_id").alias("d"), "component", "text"), percent), docs, percent)
+    labels = components(edges.unionByName(more)) if more.count() else labels
     found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

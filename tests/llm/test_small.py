@@ -137,6 +137,28 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(make(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_one_text(spark, percent, monkeypatch):
+    """Edits of one text that others make too, most of them too far apart to link, don't meet in all their pairs."""
+    r = random.Random(3)
+    base = [f"word{k}" for k in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in r.sample(range(150), r.choice([0, 1, 1, 2, 3, 4, 4, 5])):
+            w[k] = f"edit{k}x{r.randrange(2)}"
+        rows.append((i, " ".join(w), "en", "a"))
+    met, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *more: met.append(pairs.count()) or confirmed(pairs, *more))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(make(spark, rows), percent).collect()}
+    sets, want = {i: each[0] for i, each in sets_of(rows).items()}, {i: i for i, *_ in rows}
+    for a, b in [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]:
+        low, high = sorted((want[a], want[b]))
+        want = {i: low if c == high else c for i, c in want.items()}
+    assert got == want
+    assert met[-1] < 10 * len(rows), met
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + k) for k in range(30)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
